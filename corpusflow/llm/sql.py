@@ -1,0 +1,94 @@
+"""The same results in DuckDB's SQL, written from the contracts and not from the operators."""
+
+from __future__ import annotations
+
+from .pii import KINDS, WINDOW
+
+MIXING = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS key, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), w AS (
+  SELECT key, sqrt(count(*)) AS w FROM d GROUP BY key
+), p AS (
+  SELECT key, row_number() OVER (ORDER BY key) AS i, 1 + CAST(floor((1000 - count(*) OVER ()) * w / sum(w) OVER ()) AS BIGINT) AS parts FROM w
+), a AS (
+  SELECT list(parts ORDER BY i) AS ps, CAST(sum(parts) AS BIGINT) AS period FROM p
+), r(t, had, pick) AS (
+  SELECT CAST(0 AS BIGINT), list_transform(ps, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM a
+  UNION ALL
+  SELECT t + 1, list_transform(had, lambda h, j: CASE WHEN j = chosen THEN h + 1 ELSE h END), chosen FROM (
+    SELECT t, had, CAST(list_min(list_filter(list_transform(had, lambda h, j:
+      CASE WHEN floor(h * period / ps[j]) <= t THEN ceil((h + 1) * period / ps[j]) * 10000 + j END), lambda x: x IS NOT NULL)) AS BIGINT) % 10000 AS chosen
+    FROM r, a WHERE t < period)
+), slots AS (
+  SELECT pick AS i, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM r WHERE t > 0
+), ranked AS (
+  SELECT doc_id, source, key, row_number() OVER (PARTITION BY key ORDER BY h, doc_id) - 1 AS n FROM d
+)
+SELECT doc_id, source, CAST(n // 16 AS BIGINT) AS block, CAST((n // 16) // parts * period + s.slot AS BIGINT) AS slot,
+  CAST(((n // 16) // parts * period + s.slot) * 16 + n % 16 AS BIGINT) AS position, parts / period AS weight
+FROM ranked JOIN p USING (key) CROSS JOIN a JOIN slots s ON s.i = p.i AND s.turn = (n // 16) % parts
+"""
+
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+#: The contract's patterns, and for IBANs one without lookaround.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({_DIGITS})[i] AS INT) ELSE CAST(reverse({_DIGITS})[i] AS INT) * 2 // 10 + CAST(reverse({_DIGITS})[i] AS INT) * 2 % 10 END)) % 10 = 0"
+_MOVED = "(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4))"
+_VALID = {
+    "email": "true",
+    "ip": "list_max(list_transform(string_split(m, '.'), lambda x: CAST(x AS DOUBLE))) <= 255",
+    "card": f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}",
+    "phone": f"length({_DIGITS}) BETWEEN 8 AND 15",
+    "iban": f"length({_MOVED}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split({_MOVED}, ''), lambda c: CAST(ascii(c) AS INT))), lambda a, c: CASE WHEN c < 65 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1",
+}
+
+
+def _near(words: tuple[str, ...], amount: str) -> str:
+    return f"CASE WHEN regexp_matches(around, '(?:^|[^a-z])(?:{'|'.join(words)})') THEN {amount} ELSE 0 END" if words else "0"
+
+
+def _pii() -> str:
+    matched = " UNION ALL ".join(
+        f"SELECT rid, t, '{k.name}' AS kind, {i} AS ord, regexp_extract_all(t, '{_PLAIN[k.name]}') AS ms, regexp_split_to_array(t, '{_PLAIN[k.name]}') AS ps FROM d WHERE regexp_matches(t, '{_PLAIN[k.name]}')"
+        for i, k in enumerate(KINDS)
+    )
+    fine = " OR ".join(f"(kind = '{k.name}' AND CASE WHEN kind = '{k.name}' THEN {_VALID[k.name]} END)" for k in KINDS)
+    score = "CASE kind " + " ".join(f"WHEN '{k.name}' THEN {k.score}::DOUBLE + {_near(k.more, '0.1::DOUBLE')} - {_near(k.less, '0.3::DOUBLE')}" for k in KINDS) + " END"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({matched}),
+e AS (SELECT rid, t, kind, ord, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p FROM x),
+s AS (SELECT *, sum(length(p)) OVER w + sum(length(m)) OVER w - length(m) AS a FROM e WINDOW w AS (PARTITION BY rid, kind ORDER BY i)),
+f AS (SELECT rid, kind, ord, CAST(a AS BIGINT) AS a, CAST(a + length(m) AS BIGINT) AS b,
+  lower(substr(t, greatest(a - {WINDOW}, 0)::BIGINT + 1, (a - greatest(a - {WINDOW}, 0))::BIGINT) || ' ' || substr(t, (a + length(m))::BIGINT + 1, {WINDOW})) AS around FROM s WHERE {fine}),
+g AS (SELECT rid, kind, ord, a, kind || ':' || a || ':' || b AS span, printf('%.2f', {score}) AS score FROM f),
+o AS (SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+  count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'iban') AS n_iban, string_agg(span, ',' ORDER BY ord, a) FILTER (kind <> 'iban') AS base,
+  string_agg(span, ',' ORDER BY ord, a) AS spans, string_agg(score, ',' ORDER BY ord, a) AS scores FROM g GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores, coalesce(n_iban, 0)::BIGINT AS n_iban
+FROM d LEFT JOIN o USING (rid)
+"""
+
+
+PII = _pii()
