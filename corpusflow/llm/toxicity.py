@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, with distance-weighted votes.
 
 Examples are EXAMPLES labelled training rows at most, those whose ids have the smallest hashes (a documented bound; the fit,
-not the scoring, is bounded). Terms are the character n-grams of letters, n from 3 to 6 and whole words as ` word `, that
-a chi-squared test finds more often in toxic examples; their TF-IDF vectors have unit length. The index keeps postings in
+not the scoring, is bounded). Terms are the character n-grams of letters, n from 4 to 6 and whole words, with a blank for a word's ends, that
+a chi-squared test finds more often in toxic examples, by sequential covering, repeated without the words that
+hold kept terms until nothing passes; their TF-IDF vectors have unit length. The index keeps postings in
 blocks of examples with each term's maximum per block. A query takes blocks by falling sums of its weights times these
 maxima, scores whole blocks through their postings, and stops when the next bound falls below the k-th cosine, so the k
 nearest are exact; ties go to the example with the smaller id.
@@ -12,7 +13,7 @@ isotonically on the examples' own votes without themselves. Texts without any te
 among those without any. Evidence: the nearest example's id and cosine.
 
 Edge cases: a null text counts as empty, an empty one has no term; null ids or labels teach nothing, several labels of
-an id count as their largest; without examples every score is 0. Long texts are scanned whole.
+an id count as their largest, of near copies among the examples one teaches; without examples every score is 0. Long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -24,27 +25,30 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import checkpoint, fold
 from .quality import isotonic
 
-EXAMPLES, TERMS, NEIGHBOURS, PRIOR = 16_384, 512, 15, 0.25
-#: Least chi-squared value, for a chance of about 1e-9 for one term, and least ratio of the toxic share to the base rate.
-LEAST_CHI2, LEAST_LIFT = 37.0, 2.0
+EXAMPLES, CANDIDATES, TERMS, NEIGHBOURS, PRIOR = 8192, 4096, 512, 15, 0.25
+#: Least chi-squared value, some seven toxic examples more than chance has, and least ratio of a term's odds to be in a toxic example to the base odds.
+LEAST_CHI2, LEAST_ODDS, ROUNDS = 60.0, 10.0, 6
 _BLOCK, _HELD_OUT, _FLUSH = 64, 0, 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(text: str) -> set[str]:
-    """Every different n-gram and word."""
+    """Every different word between blanks, and every n-gram of these."""
     found = set()
     for w in set(_WORD.findall(text.lower())):
-        for n in range(3, 7):
+        w = f" {w} "
+        for n in range(4, 7):
             found.update(w[i : i + n] for i in range(len(w) - n + 1))
         if len(w) < 40:
-            found.add(f" {w} ")
+            found.add(w)
     return found
 
 
@@ -52,6 +56,29 @@ def _plain(text: str) -> str:
     return f" {' '.join(_WORD.findall(text.lower()))} "
 
 
+def _rest(text: str, without: list[str]) -> str:
+    """The text's words that hold none of these terms."""
+    if not without:
+        return text
+    hit = re.compile("|".join(map(re.escape, without))).search
+    return " ".join(w for w in _WORD.findall(text.lower()) if not hit(f" {w} "))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def signature(texts: pd.Series) -> pd.Series:
+    """Four MinHash values of three-word shingles: texts that share half their shingles nearly always share a value."""
+    turns = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+
+    def values(text: str) -> list[int]:
+        words = text.split()
+        shingles = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+        h = np.array([xxhash.xxh64_intdigest(x) for x in shingles], dtype=np.uint64)
+        mixed = (h[:, None] ^ (h[:, None] >> np.uint64(29))) * turns
+        return (mixed ^ (mixed >> np.uint64(32))).min(axis=0).view(np.int64).tolist()
+
+    return pd.Series([values(t) for t in texts])
+
+
 def _automaton(terms: list[str]):
     automaton = ahocorasick.Automaton()
     for i, t in enumerate(terms):
@@ -60,14 +87,59 @@ def _automaton(terms: list[str]):
     return automaton
 
 
-def vector(text: str | None, automaton, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms, ascending, and weights of unit length."""
+def counts_of(text: str | None, automaton) -> tuple[list[int], list[float]]:
+    """Terms, ascending, and how often each occurs."""
     counts = Counter(i for _, i in automaton.iter(_plain(text))) if text else Counter()
-    at = np.array(sorted(counts), dtype=np.int32)
-    w = (1 + np.log(np.array([counts[i] for i in at], dtype=float))) * idf[at]
+    at = sorted(counts)
+    return at, [float(counts[i]) for i in at]
+
+
+def weighted(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms, ascending, and TF-IDF weights of unit length."""
+    order = np.argsort(at)
+    at, w = at[order], (1 + np.log(n[order])) * idf[at[order]]
     return at, w / np.sqrt((w * w).sum()) if len(at) else w
 
 
+def vector(text: str | None, automaton, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at, n = counts_of(text, automaton)
+    return weighted(np.array(at, dtype=np.int64), np.array(n), idf)
+
+
+def chi_squared(n, y, all_n, all_y):
+    return (y * all_n - n * all_y) ** 2 * all_n / (n * (all_n - n) * all_y * (all_n - all_y))
+
+
+def own_evidence(names: list[str], found: list[np.ndarray], toxic: np.ndarray) -> list[int]:
+    """Terms by sequential covering: the one with the largest chi-squared value among the examples that hold no kept term, until none
+    passes the test or TERMS are kept. Of those within a fifth of the largest the longest is taken, so pieces that occur
+    elsewhere by chance (`rthl` of ` worthless `) teach nothing, and neither does what stands beside another term."""
+    all_n, all_y = float(len(toxic)), float(toxic.sum())
+    where: list[list[int]] = [[] for _ in names]
+    n, y = np.zeros(len(names)), np.zeros(len(names))
+    for d, at in enumerate(found):
+        n[at] += 1
+        y[at] += toxic[d]
+        for i in at.tolist():
+            where[i].append(d)
+    length, open_, kept = np.array([len(t) for t in names]), np.ones(len(toxic), dtype=bool), []
+    while len(kept) < TERMS:
+        fine = (n > 0) & (n < all_n) & (y * (all_n - all_y) >= LEAST_ODDS * (n - y) * all_y)
+        value = np.zeros(len(names))
+        value[fine] = chi_squared(n[fine], y[fine], all_n, all_y)
+        if not value.max(initial=0) >= LEAST_CHI2:
+            break
+        close = np.flatnonzero((value >= LEAST_CHI2) & (value >= 0.8 * value.max()))
+        best = max(close.tolist(), key=lambda i: (length[i], value[i], names[i]))
+        kept.append(best)
+        for d in where[best]:
+            if open_[d]:
+                open_[d] = False
+                n[found[d]] -= 1
+                y[found[d]] -= toxic[d]
+    return kept
+
+
 class Index:
     """Block-max inverted index over unit vectors; the example's number is its order by id."""
 
@@ -75,12 +147,12 @@ class Index:
         self.n, self.blocks = len(vectors), -(-len(vectors) // _BLOCK)
         lengths = np.array([len(t) for t, _ in vectors], dtype=np.int64)
         example = np.repeat(np.arange(self.n), lengths)
-        term = np.concatenate([np.empty(0, np.int32), *[t for t, _ in vectors]])
+        term = np.concatenate([np.empty(0, np.int64), *[t for t, _ in vectors]])
         weight = np.concatenate([np.empty(0), *[w for _, w in vectors]])
         order = np.lexsort((example, term))
         self.example, self.weight = example[order], weight[order]
-        cell = term[order].astype(np.int64) * self.blocks + self.example // _BLOCK
-        self.start = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1)).reshape(-1)
+        cell = term[order] * self.blocks + self.example // _BLOCK
+        self.start = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
         self.most = np.zeros(n_terms * self.blocks)
         np.maximum.at(self.most, cell, self.weight)
         self.most = self.most.reshape(n_terms, self.blocks)
@@ -122,6 +194,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     chosen = spark.createDataFrame([(r["id"], r["toxic"]) for r in sample], f"id {known.schema['id'].dataType.simpleString()}, toxic int")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")  # at most EXAMPLES rows
 
+    texts = checkpoint(texts.withColumn("copy", signature(F.col("text"))))  # at most EXAMPLES texts
+    # copies and near copies of one text would pass for many examples of what is in it: the one with the smallest id teaches
+    seen, firsts = set(), []
+    for r in texts.select("id", "toxic", "copy").orderBy("id").collect():
+        if seen.isdisjoint(r["copy"]):
+            firsts.append((r["id"], r["toxic"]))
+        seen.update(r["copy"])
+    texts = texts.drop("toxic", "copy").dropDuplicates(["id"]).join(F.broadcast(spark.createDataFrame(firsts, chosen.schema)), "id")
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         all_, toxic, n, y = Counter(), Counter(), 0, 0
         out = lambda: pd.DataFrame({"term": list(all_), "n": list(all_.values()), "y": [toxic[t] for t in all_]})
@@ -147,27 +228,45 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     all_n, all_y = float(total["n"]), float(total["y"])
     if 0 < all_y < all_n:
         n, y = F.col("n").cast("double"), F.col("y").cast("double")
-        chi2 = F.pow(y * all_n - n * all_y, 2) * all_n / (n * (all_n - n) * all_y * (all_n - all_y))
-        picked = counts.where((F.col("term") != "") & (n < all_n) & (y / n >= LEAST_LIFT * all_y / all_n)).withColumn("chi2", chi2)
-        terms = picked.where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).select("term", "n").collect()
+        chi2 = chi_squared(n, y, all_n, all_y)
+        picked = counts.where((F.col("term") != "") & (n < all_n) & (y * (all_n - all_y) >= LEAST_ODDS * (n - y) * all_y)).withColumn("chi2", chi2)
+        terms = picked.where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(CANDIDATES).select("term", "n").collect()
     if not 0 < all_y < all_n or not terms:
         return model | {"base": all_y / all_n, "none": all_y / all_n}
     names = [r["term"] for r in terms]
-    idf = np.log(1 + all_n / np.array([r["n"] for r in terms], dtype=float))
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _automaton(names)
-        for batch in batches:
-            rows = [vector(t, automaton, idf) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"], "at": [r[0] for r in rows], "w": [r[1] for r in rows]})
-
-    held = texts.mapInPandas(vectors, f"id {chosen.schema['id'].dataType.simpleString()}, toxic int, at array<int>, w array<double>")
-    rows = held.groupBy("id").agg(F.min(F.struct("toxic", "at", "w")).alias("v")).select("id", "v.*").orderBy("id").collect()
-    empty = [r["toxic"] for r in rows if not r["at"]]
-    full = [r for r in rows if r["at"]]
-    base = sum(r["toxic"] for r in rows) / len(rows)
-    model |= {"terms": names, "idf": idf, "base": base, "none": (sum(empty) + base) / (len(empty) + 1)}
-    model |= {"ids": [r["id"] for r in full], "toxic": np.array([r["toxic"] for r in full]), "vectors": [(np.array(r["at"], dtype=np.int32), np.array(r["w"])) for r in full]}
+    kind = chosen.schema["id"].dataType.simpleString()
+
+    def counted(names: list[str], without: list[str]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            automaton = _automaton(names)
+            for batch in batches:
+                rows = [counts_of(_rest(t, without), automaton) for t in batch["text"]]
+                yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"], "at": [r[0] for r in rows], "n": [r[1] for r in rows]})
+
+        return texts.mapInPandas(run, f"id {kind}, toxic int, at array<int>, n array<double>").orderBy("id").collect()
+
+    kept: list[str] = []
+    for _ in range(ROUNDS):
+        rows = counted(names, kept)
+        more = own_evidence(names, [np.array(r["at"], dtype=np.int64) for r in rows], np.array([r["toxic"] for r in rows]))
+        kept += [names[i] for i in more if names[i] not in kept]
+        if not more or len(kept) >= TERMS:
+            break
+    names = kept[:TERMS]
+    if not names:
+        return model | {"base": all_y / all_n, "none": all_y / all_n}
+    rows = counted(names, [])
+    toxic = np.array([r["toxic"] for r in rows])
+    idf = np.log(1 + len(rows) / np.maximum(1, np.bincount(np.concatenate([np.array(r["at"], dtype=np.int64) for r in rows]), minlength=len(names))))
+    vectors = []
+    for r in rows:
+        vectors.append(weighted(np.array(r["at"], dtype=np.int64), np.array(r["n"]), idf))
+    full = [i for i, v in enumerate(vectors) if len(v[0])]
+    empty = [toxic[i] for i, v in enumerate(vectors) if not len(v[0])]
+    base = float(toxic.mean())
+    model |= {"terms": names, "idf": idf, "base": base, "none": float((sum(empty) + base) / (len(empty) + 1))}
+    model |= {"ids": [rows[i]["id"] for i in full], "toxic": toxic[full], "vectors": [vectors[i] for i in full]}
     index = Index(model["vectors"], len(names))
     seen: dict[bytes, list] = {}
     votes = []
