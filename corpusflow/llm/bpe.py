@@ -18,14 +18,15 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _CHUNK = 1 << 20
-_MEMO = 600_000
+#: Pre-tokens whose ids a worker keeps, some 80 MB; those of the vocabulary stay when it is full.
+_MEMO = 400_000
 _MASK = (1 << 64) - 1
 
 
@@ -157,8 +158,8 @@ class Codec:
             new = set(words).difference(self.memo)
             if new:
                 if len(self.memo) + len(new) > _MEMO:
-                    self.memo.clear()
-                    new = set(words)
+                    self.memo = {w: ids for w, ids in self.memo.items() if len(ids) == 4}
+                    new = set(words).difference(self.memo)
                 self._resolve(list(new))
             yield b"".join(map(self.memo.__getitem__, words))
             start = stop
@@ -185,11 +186,16 @@ def encode(text: Column, spark: SparkSession, tokens: list[bytes], pattern: str)
     """array<int> of the ids of a text."""
     get = _codec(spark, tokens, pattern)
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = get()
         for batch in texts:
-            yield pd.Series([np.frombuffer(b"".join(codec.encode(t or "")), "<i4") for t in batch])
+            ends, out = [0], bytearray()
+            for text in batch:
+                for part in codec.encode(text.as_py() or ""):
+                    out += part
+                ends.append(len(out) // 4)
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(out)]))
 
     return ids(text)
 
@@ -198,11 +204,11 @@ def decode(ids: Column, spark: SparkSession, tokens: list[bytes]) -> Column:
     """The bytes of an array of ids, as binary; null for null."""
     sent = spark.sparkContext.broadcast(tokens)
 
-    @F.pandas_udf("binary")
-    def data(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def data(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = sent.value
         for batch in batches:
-            yield pd.Series([None if x is None else b"".join(map(tokens.__getitem__, x)) for x in batch], dtype=object)
+            yield pa.array([None if x is None else b"".join(map(tokens.__getitem__, x)) for x in (v.as_py() for v in batch)], pa.binary())
 
     return data(ids)
 
@@ -211,18 +217,20 @@ def round_trip(text: Column, spark: SparkSession, tokens: list[bytes], pattern:
     """struct<n_tokens, ids_sha256, decoded_sha256, round_trip>: digests of what encoding gives and of what decoding that gives."""
     get = _codec(spark, tokens, pattern)
 
-    @F.pandas_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string, round_trip: boolean>")
-    def digests(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string, round_trip: boolean>")
+    def digests(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = get()
         for batch in texts:
             rows = []
             for text in batch:
-                text, n, ids, data = text or "", 0, hashlib.sha256(), hashlib.sha256()
+                text, n, ids, data = text.as_py() or "", 0, hashlib.sha256(), hashlib.sha256()
                 for part in codec.encode(text):
                     n += len(part) // 4
                     ids.update(part)
                     data.update(codec.decode(part))
                 rows.append((n, ids.hexdigest(), data.hexdigest(), data.digest() == hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
+            columns = list(zip(*rows)) or [(), (), (), ()]
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
     return digests(text)
