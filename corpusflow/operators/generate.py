@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import after_reasoning
 from ..schemas import CHAIN
@@ -75,7 +76,7 @@ def completed(requests: DataFrame, complete: Callable[[pd.Series], list[str]], a
     The model is called within one mapInPandas, so no later filter makes Spark call it again in the same plan; requests are
     dealt out first, and each task asks anew only for what failed. An error of the completer counts as an empty reply.
     """
-    schema = requests.schema.add("chain", "string")
+    schema = StructType([*requests.schema.fields, StructField("chain", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def valid(raw: str) -> str | None:
