@@ -40,7 +40,7 @@ def get(url: str, timeout: float = 20, attempts: int = 3, pause: float = 1.0, mo
 
 def fetch_pages(urls: DataFrame, url: str = "url", fetch: Callable[[str], tuple[int, str, bytes]] = get, parallel: int | None = None) -> DataFrame:
     """urls with (status, content_type, body, error); a failure is a row with a null body."""
-    schema = StructType([*urls.schema.fields]).add("status", "int").add("content_type", "string").add("body", "binary").add("error", "string")
+    schema = StructType([*urls.schema.fields]).add("status", "integer").add("content_type", "string").add("body", "binary").add("error", "string")
 
     def one(u: str) -> tuple:
         try:
