@@ -21,12 +21,14 @@ from ._shards import search, usable
 SCALE, EVERY, K, PER_SHARD, BLOCK = 1024, 100, 10, 32_768, 64
 
 
-def _exact(a: np.ndarray, b: np.ndarray) -> type:
-    """The fastest type in which no sum of products of these integers rounds or overflows."""
+def _kind(a: np.ndarray, b: np.ndarray) -> type:
+    """The fastest type in which no sum of products of these whole numbers rounds or overflows."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[-1])
-    if most >= 2.0**63:
-        raise OverflowError("a score needs more than 64 bits")
-    return np.float64 if most < 2.0**53 else np.int64
+    return np.float64 if most < 2.0**53 else np.int64 if most < 2.0**63 else object
+
+
+def _cast(x: np.ndarray, kind: type) -> np.ndarray:
+    return np.frompyfunc(int, 1, 1)(x) if kind is object else x.astype(kind, copy=False)
 
 
 def build(ids: np.ndarray, rows: np.ndarray):
@@ -44,9 +46,9 @@ def build(ids: np.ndarray, rows: np.ndarray):
 def find(index, queries: np.ndarray, vectors: np.ndarray, k: int = K):
     ids, whole, most, least = index
     asked = np.floor(SCALE * vectors)
-    kind = _exact(whole, asked)
-    rows, high, low = whole.astype(kind, copy=False), most.astype(kind, copy=False), least.astype(kind, copy=False)
-    for q, v in zip(queries, asked.astype(kind)):
+    kind = _kind(whole, asked)
+    rows, high, low = _cast(whole, kind), _cast(most, kind), _cast(least, kind)
+    for q, v in zip(queries, _cast(asked, kind)):
         bound = high @ np.maximum(v, 0) + low @ np.minimum(v, 0)
         best_score, best_id = np.empty(0, kind), np.empty(0, np.int64)
         for b in np.argsort(-bound, kind="stable"):
@@ -60,7 +62,7 @@ def find(index, queries: np.ndarray, vectors: np.ndarray, k: int = K):
             if not use.any():
                 continue
             score, who = np.concatenate([best_score, got[use]]), np.concatenate([best_id, here[use]])
-            order = np.lexsort((who, -score))[:k]
+            order = np.lexsort((who, -score))[:k] if kind is not object else sorted(range(len(who)), key=lambda i: (-score[i], who[i]))[:k]
             best_score, best_id = score[order], who[order]
         yield q, best_id, best_score.astype(np.int64)
 
