@@ -104,10 +104,93 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return prints.join(classes(prints, radius), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The row with the smallest id of each class. Rows without an id stay; of rows that repeat an id within a class the least stays."""
-    found = near_duplicates(docs, id_col, text, radius)
-    kept = checkpoint(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct())
+# Near copies by the similarity of their word sets. Texts that share 0.8 of their five-word shingles differ in about 7 of 64
+# bits, far more than a ball can hold. So a fingerprint is cut into TABLES windows of WINDOW bits, each looked up within RADIUS bits beside
+# an anchor, the least hash of the text's shingles in that table; what meets is verified by exact sets. Windows and anchors are
+# independent, so at a similarity of 0.8 a pair meets in some table with a chance of 0.99, above 0.9 nearly always.
+
+WORDS, SIMILARITY, TABLES, WINDOW = 5, 0.8, 6, 16
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_TURNS = np.array([0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
+
+
+def _shingles(text: str) -> Iterator[np.ndarray]:
+    """Hashes of the runs of WORDS words, in lists of about a megabyte of text; the whole sequence if there are fewer words."""
+    tail, any_ = np.empty(0, np.uint64), False
+    for words in _words(text.encode("utf-8", "surrogatepass").lower()):
+        h = np.concatenate([tail, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))])
+        if len(h) >= WORDS:
+            out = h[: len(h) - WORDS + 1].copy()
+            for i in range(1, WORDS):
+                out = (out ^ (out >> np.uint64(32))) * _STEP + h[i : len(h) - WORDS + 1 + i]
+            any_ = True
+            yield out
+        tail = h[max(0, len(h) - WORDS + 1) :]
+    if not any_ and len(tail):
+        yield np.array([xxhash.xxh64_intdigest(tail.tobytes())], dtype=np.uint64)
+
+
+def _signature(text: str | None) -> tuple[int, str, list[int]]:
+    """(fingerprint, digest of the word sequence, anchors; no anchors without words)"""
+    least, digest = None, xxhash.xxh3_128()
+    for words in _words((text or "").encode("utf-8", "surrogatepass").lower()):
+        if words:
+            digest.update(b" ".join(words) + b" ")
+    for h in _shingles(text or ""):
+        mixed = (h[:, None] ^ (h[:, None] >> np.uint64(29))) * _TURNS
+        low = (mixed ^ (mixed >> np.uint64(32))).min(axis=0)
+        least = low if least is None else np.minimum(least, low)
+    return fingerprint(text), digest.hexdigest(), [] if least is None else least.view(np.int64).tolist()
+
+
+@F.pandas_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("anchors", T.ArrayType(T.LongType()))]))
+def signatures(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_signature(t) for t in texts], columns=["fp", "digest", "anchors"])
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def shingle_set(texts: pd.Series) -> pd.Series:
+    """Distinct 32-bit hashes of a text's shingles."""
+    return pd.Series([np.unique(np.concatenate([np.empty(0, np.uint64), *_shingles(t or "")]).astype(np.uint32)).view(np.int32) for t in texts])
+
+
+def meeting(nodes: DataFrame) -> DataFrame:
+    """(a, b): each node of (node, fp, anchors) with the smallest node of every key it emits, different ones only."""
+    masks = F.lit([0] + [1 << i for i in range(WINDOW)]).cast("array<int>")
+    tables = F.sequence(F.lit(0), F.size("anchors") - 1)
+
+    def keys(t: Column) -> Column:
+        shift = (t * 10).cast("int")  # windows overlap a little: six of 16 bits in 64
+        window = F.call_function("shiftrightunsigned", F.col("fp"), shift).bitwiseAND(F.lit((1 << WINDOW) - 1))
+        return F.transform(masks, lambda m: F.xxhash64(t, F.get(F.col("anchors"), t), window.bitwiseXOR(m)))
+
+    emitted = nodes.where(F.size("anchors") > 0).select("node", F.explode(F.flatten(F.transform(tables, keys))).alias("key"))
+    met = emitted.withColumn("b", F.min("node").over(Window.partitionBy("key"))).where("node <> b")
+    return met.select(F.col("node").alias("a"), "b").distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id): the smallest id of every class of texts that copies and near copies link; rows without an id are left out.
+
+    Equal word sequences are one node before anything is compared, so a large group of copies costs one row. The sets of those
+    texts alone that met another are made, and a link needs an exact Jaccard similarity.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    signed = rows.select("doc_id", signatures("text").alias("s")).groupBy("s.digest").agg(F.min("doc_id").alias("node"), F.min(F.struct("s.fp", "s.anchors")).alias("s"))
+    nodes = checkpoint(signed.select("node", "s.fp", "s.anchors"))
+    met = checkpoint(meeting(nodes))
+    wanted = met.select(F.col("a").alias("doc_id")).union(met.select(F.col("b").alias("doc_id"))).distinct()
+    sets = checkpoint(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", shingle_set("text").alias("set")))
+    pairs = met.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    alike = pairs.where(both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+    later = components(checkpoint(alike)).where("node <> component").select("node")
+    return nodes.select("node").distinct().join(later, "node", "left_anti").select(F.col("node").alias("doc_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The row with the smallest id of each class of near_copies(). Rows without an id stay; of rows that repeat an id the least stays."""
+    kept = checkpoint(near_copies(docs, id_col, text, similarity).withColumnRenamed("doc_id", id_col))
     named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
     rest = [c for c in docs.columns if c != id_col]
     # the join has the rows of an id together and in order, so the least of them needs no more shuffle

@@ -385,3 +385,34 @@ def test_pipeline(spark, tmp_path):
     ids = {r["doc_id"] for r in rows.collect()}
     assert kept[0] == 8 + 500 and kept[1] == kept[2] == kept[3] == kept[4] and not ids & set(range(100, 700, 6)) and {1, None} <= ids and 6 not in ids and 3 not in ids
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept[4]
+
+
+def test_near_copies_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], (r["text"].lower().split())) for r in docs.select("doc_id", "text").collect()]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for _, w in rows]
+    holders, root = {}, list(range(len(rows)))
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = Counter(p for x in holders.values() for p in combinations(x, 2))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, j), both in pairs.items():
+        if both >= 0.8 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    want = {rows[i][0] for i in range(len(rows)) if find(i) == i}
+    got = [r["doc_id"] for r in simhash.near_copies(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(got) < len(rows)
+
+
+def test_near_copies_edges(spark):
+    docs = documents(spark, [(20, "a b c d e f g h i j k l m n o p q r s t u v w x y z", "en", "a", 1, "", ""), (21, "A b c d e f g h i j k l m n o p q r s t  u v w x y changed", "en", "a", 1, "", "")])
+    kept = [r["doc_id"] for r in simhash.one_of_each(docs).orderBy("doc_id").collect()]
+    assert kept == [None, 1, 2, 4, 5, 20]  # a null text is as empty as an empty one
+    assert simhash.one_of_each(docs).columns == docs.columns and simhash.one_of_each(empty(docs)).collect() == []
