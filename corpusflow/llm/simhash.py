@@ -101,7 +101,8 @@ def classes(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs."""
     prints = checkpoint(docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text)).alias("fp")))
-    return prints.join(classes(prints, radius), "fp", "left").select("doc_id", "fp", "component_id")
+    # a stage of its own, so that both sides of the join are shuffled for it and a fingerprint with very many rows can be split
+    return prints.join(checkpoint(classes(prints, radius)), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 # Near copies by the similarity of their word sets. Texts that share 0.8 of their five-word shingles differ in about 7 of 64
