@@ -13,7 +13,8 @@ isotonically on the examples' own votes without themselves. Texts without any te
 among those without any. Evidence: the nearest example's id and cosine.
 
 Edge cases: a null text counts as empty, an empty one has no term; null ids or labels teach nothing, several labels of
-an id count as their largest, of near copies among the examples one teaches; without examples every score is 0. Long texts are scanned whole.
+an id count as their largest, of near copies among the examples one teaches, as does
+the least text of a repeated id; without examples every score is 0. Long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -192,16 +193,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         return model
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r["id"], r["toxic"]) for r in sample], f"id {known.schema['id'].dataType.simpleString()}, toxic int")
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")  # at most EXAMPLES rows
-
-    texts = checkpoint(texts.withColumn("copy", signature(F.col("text"))))  # at most EXAMPLES texts
+    # at most EXAMPLES ids; of rows that repeat an id the least text stands for it, by partial minima
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id").agg(F.min(F.struct("text", "toxic")).alias("x")).select("id", "x.text", "x.toxic")
+    texts = checkpoint(texts.withColumn("copy", signature(F.col("text"))))
     # copies and near copies of one text would pass for many examples of what is in it: the one with the smallest id teaches
     seen, firsts = set(), []
     for r in texts.select("id", "toxic", "copy").orderBy("id").collect():
         if seen.isdisjoint(r["copy"]):
             firsts.append((r["id"], r["toxic"]))
         seen.update(r["copy"])
-    texts = texts.drop("toxic", "copy").dropDuplicates(["id"]).join(F.broadcast(spark.createDataFrame(firsts, chosen.schema)), "id")
+    texts = texts.drop("toxic", "copy").join(F.broadcast(spark.createDataFrame(firsts, chosen.schema)), "id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         all_, toxic, n, y = Counter(), Counter(), 0, 0
