@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,6 +18,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path below spark.checkpoint.dir, which all executors see; below a temporary one where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusflow-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def number(df: DataFrame, order: list[str], keys: list[str] | None = None, into: str = "n") -> DataFrame:
     """df with `into`: 1, 2, 3 ... in the order of the columns `order`, anew for each value of `keys`; null keys are one group.
 

@@ -6,7 +6,6 @@ messages = conversations; arriving records = events.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.patterns import FIELDS
 from ..operators import acquire, discover, generate, prepare, relational, samples, split, structure
-from ..operators.numbering import number
+from ..operators.numbering import number, shared_folder
 from ..sources import html
 from ..streaming.resume import process_new
 
@@ -472,7 +471,7 @@ def generate_stub(spark, sf_dir):
 @query()
 def resume_stream(spark, sf_dir):
     """New events by two incremental runs, of which the second finds nothing."""
-    base = tempfile.mkdtemp(prefix="corpusflow-")
+    base = shared_folder(spark)
     source = read(spark, sf_dir, "events")
     source.write.parquet(f"{base}/in")
     for _ in range(2):
