@@ -82,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op2_mixing": sql.MIXING, "op6_exact_top_k": sql.TOP_K, "op9_pii": sql.PII}
+    return {"op1_language_id": sql.LANGUAGE, "op2_mixing": sql.MIXING, "op6_exact_top_k": sql.TOP_K, "op9_pii": sql.PII}

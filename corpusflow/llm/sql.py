@@ -92,3 +92,35 @@ FROM d LEFT JOIN o USING (rid)
 
 
 PII = _pii()
+
+
+def crc32(text: str) -> str:
+    """SQL for the CRC-32 of an ASCII text expression."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"list_reduce(range(8), lambda c, i: {step}, xor(crc, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda crc, b: {byte}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+LANGUAGE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce({crc32("CAST(doc_id AS VARCHAR)")}, 0) % 4 = 2 AS held_out,
+    coalesce(regexp_matches(text, '\\p{{L}}'), false) AS letters, regexp_replace(' ' || lower(text) || ' ', '[^\\p{{L}}]+', ' ', 'g') AS t FROM documents
+), c AS (
+  SELECT rid, unnest(string_split(t, '')) AS a, unnest(range(length(t))) AS i FROM d WHERE letters
+), w AS (
+  SELECT rid, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM c WINDOW o AS (PARTITION BY rid ORDER BY i)
+), g AS (
+  SELECT rid, gram, count(*) AS n FROM (
+    SELECT rid, a AS gram FROM w WHERE a <> ' ' UNION ALL SELECT rid, a || b FROM w WHERE b IS NOT NULL UNION ALL SELECT rid, a || b || c FROM w WHERE c IS NOT NULL) GROUP BY ALL
+), p AS (
+  SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(gram), gram) - 1 AS place FROM g JOIN d USING (rid) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, gram QUALIFY place < 300
+), own AS (
+  SELECT rid, gram, row_number() OVER (PARTITION BY rid ORDER BY n DESC, length(gram), gram) - 1 AS place FROM g QUALIFY place < 300
+), away AS (
+  SELECT own.rid, l.lang, sum(CASE WHEN p.place IS NULL THEN 300 ELSE least(abs(p.place - own.place), 300) END) AS far, count(*) AS k
+  FROM own CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.gram = own.gram GROUP BY ALL
+), best AS (
+  SELECT rid, lang, 1 - far / (300 * k) AS score FROM away QUALIFY row_number() OVER (PARTITION BY rid ORDER BY far, lang) = 1
+)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN best USING (rid)
+"""
