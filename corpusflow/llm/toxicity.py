@@ -36,7 +36,9 @@ from .quality import isotonic
 
 EXAMPLES, CANDIDATES, TERMS, NEIGHBOURS, PRIOR = 8192, 4096, 512, 15, 0.25
 #: Least chi-squared value, some seven toxic examples more than chance has, and least ratio of a term's odds to be in a toxic example to the base odds.
-LEAST_CHI2, LEAST_ODDS, ROUNDS = 60.0, 10.0, 6
+LEAST_CHI2, LEAST_ODDS, ROUNDS = 60.0, 5.0, 6
+#: How often a term must occur for each of its dimensions: in place of a weight by frequency, which a vector of one term would lose.
+LEVELS = (1, 2, 3, 5)
 _BLOCK, _HELD_OUT, _FLUSH = 64, 0, 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -95,11 +97,17 @@ def counts_of(text: str | None, automaton) -> tuple[list[int], list[float]]:
     return at, [float(counts[i]) for i in at]
 
 
+def levels(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The dimensions of terms that occur n times: one for each of LEVELS that n reaches, ascending."""
+    own = at[:, None] * len(LEVELS) + np.arange(len(LEVELS))
+    return np.sort(own[n[:, None] >= np.array(LEVELS)])
+
+
 def weighted(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms, ascending, and TF-IDF weights of unit length."""
-    order = np.argsort(at)
-    at, w = at[order], (1 + np.log(n[order])) * idf[at[order]]
-    return at, w / np.sqrt((w * w).sum()) if len(at) else w
+    """Dimensions, ascending, and TF-IDF weights of unit length."""
+    dims = levels(at, n)
+    w = idf[dims]
+    return dims, w / np.sqrt((w * w).sum()) if len(dims) else w
 
 
 def vector(text: str | None, automaton, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,7 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         return model | {"base": all_y / all_n, "none": all_y / all_n}
     rows = counted(names, [])
     toxic = np.array([r["toxic"] for r in rows])
-    idf = np.log(1 + len(rows) / np.maximum(1, np.bincount(np.concatenate([np.array(r["at"], dtype=np.int64) for r in rows]), minlength=len(names))))
+    dims = np.concatenate([levels(np.array(r["at"], dtype=np.int64), np.array(r["n"])) for r in rows])
+    idf = np.log(1 + len(rows) / np.maximum(1, np.bincount(dims, minlength=len(names) * len(LEVELS))))
     vectors = []
     for r in rows:
         vectors.append(weighted(np.array(r["at"], dtype=np.int64), np.array(r["n"]), idf))
@@ -269,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     base = float(toxic.mean())
     model |= {"terms": names, "idf": idf, "base": base, "none": float((sum(empty) + base) / (len(empty) + 1))}
     model |= {"ids": [rows[i]["id"] for i in full], "toxic": toxic[full], "vectors": [vectors[i] for i in full]}
-    index = Index(model["vectors"], len(names))
+    index = Index(model["vectors"], len(idf))
     seen: dict[bytes, list] = {}
     votes = []
     for i, (at, w) in enumerate(model["vectors"]):
@@ -292,7 +301,7 @@ def score(text: Column, model: dict, spark) -> Column:
     @F.pandas_udf("struct<score: double, neighbour: string, cosine: double>")
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        automaton, index = _automaton(m["terms"]) if m["terms"] else None, Index(m["vectors"], len(m["terms"]))
+        automaton, index = _automaton(m["terms"]) if m["terms"] else None, Index(m["vectors"], len(m["idf"]))
         for batch in texts:
             rows = []
             for t in batch:

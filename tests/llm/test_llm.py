@@ -358,11 +358,11 @@ def test_nearest_examples_by_brute_force():
     vectors = []
     for _ in range(500):
         at = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
-        vectors.append(toxicity.weighted(at, rng.integers(1, 3, len(at)).astype(float), np.ones(40)))
-    dense = np.zeros((500, 40))
+        vectors.append(toxicity.weighted(at, rng.integers(1, 3, len(at)).astype(float), np.ones(160)))
+    dense = np.zeros((500, 160))
     for i, (at, w) in enumerate(vectors):
         dense[i, at] = w
-    index = toxicity.Index(vectors, 40)
+    index = toxicity.Index(vectors, 160)
     for i in range(60):
         score = np.round(dense @ dense[i], 9)
         want = sorted(((s, j) for j, s in enumerate(score) if s > 0), key=lambda x: (-x[0], x[1]))[:15]
