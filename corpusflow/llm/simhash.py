@@ -15,6 +15,7 @@ smallest id of the class, null if no row of the class has an id; repeated rows a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -105,14 +106,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return prints.join(checkpoint(classes(prints, radius)), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-# Near copies by the similarity of their word sets. Texts that share 0.8 of their five-word shingles differ in about 7 of 64
-# bits, far more than a ball can hold. So a fingerprint is cut into TABLES windows of WINDOW bits, each looked up within RADIUS bits beside
-# an anchor, the least hash of the text's shingles in that table; what meets is verified by exact sets. Windows and anchors are
-# independent, so at a similarity of 0.8 a pair meets in some table with a chance of 0.99, above 0.9 nearly always.
+# Near copies by the similarity of their word sets, by an exact prefix filter. All shingles have one order, those found often in a
+# sample last. Two sets of a similarity of t share one of the first n - ceil(t * n) + 1 shingles of each in any such order, so every pair
+# meets in a bucket, the rows that emit the same shingle. What meets is verified by exact sets. The sample decides the cost alone.
 
-WORDS, SIMILARITY, TABLES, WINDOW = 5, 0.8, 6, 16
+WORDS, SIMILARITY = 5, 0.8
+#: Rows that frequencies are taken from, rows that make a shingle frequent, and most shingles that are placed last.
+SAMPLE, OFTEN, FREQUENT = 1 << 14, 8, 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_TURNS = np.array([0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
 def _shingles(text: str) -> Iterator[np.ndarray]:
@@ -131,43 +132,68 @@ def _shingles(text: str) -> Iterator[np.ndarray]:
         yield np.array([xxhash.xxh64_intdigest(tail.tobytes())], dtype=np.uint64)
 
 
-def _signature(text: str | None) -> tuple[int, str, list[int]]:
-    """(fingerprint, digest of the word sequence, anchors; no anchors without words)"""
-    least, digest = None, xxhash.xxh3_128()
+def _distinct(text: str | None) -> np.ndarray:
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *_shingles(text or "")]).view(np.int64))
+
+
+def _digest(text: str | None) -> str:
+    """Of the word sequence."""
+    digest = xxhash.xxh3_128()
     for words in _words((text or "").encode("utf-8", "surrogatepass").lower()):
         if words:
             digest.update(b" ".join(words) + b" ")
-    for h in _shingles(text or ""):
-        mixed = (h[:, None] ^ (h[:, None] >> np.uint64(29))) * _TURNS
-        low = (mixed ^ (mixed >> np.uint64(32))).min(axis=0)
-        least = low if least is None else np.minimum(least, low)
-    return fingerprint(text), digest.hexdigest(), [] if least is None else least.view(np.int64).tolist()
+    return digest.hexdigest()
 
 
-@F.pandas_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("anchors", T.ArrayType(T.LongType()))]))
-def signatures(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_signature(t) for t in texts], columns=["fp", "digest", "anchors"])
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def shingles(texts: pd.Series) -> pd.Series:
+    return pd.Series([_distinct(t) for t in texts])
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def shingle_set(texts: pd.Series) -> pd.Series:
     """Distinct 32-bit hashes of a text's shingles."""
-    return pd.Series([np.unique(np.concatenate([np.empty(0, np.uint64), *_shingles(t or "")]).astype(np.uint32)).view(np.int32) for t in texts])
+    return pd.Series([np.unique(_distinct(t).astype(np.uint32)).view(np.int32) for t in texts])
+
+
+def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in order, sampled rows that have each) of those that are frequent in a sample of rows (doc_id, text)."""
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
+    counts = some.select(F.explode(shingles("text")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas().sort_values("shingle")
+    return found["shingle"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def prefix(h: np.ndarray, similarity: float, last: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of the distinct shingles h, as many as a set of that similarity can't all lack."""
+    often = np.zeros(len(h), dtype=np.int64)
+    if len(last[0]):
+        at = np.minimum(np.searchsorted(last[0], h), len(last[0]) - 1)
+        often = np.where(last[0][at] == h, last[1][at], 0)
+    return h[np.lexsort((h, often))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]]
 
 
-def meeting(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node of (node, fp, anchors) with the smallest node of every key it emits, different ones only."""
-    masks = F.lit([0] + [1 << i for i in range(WINDOW)]).cast("array<int>")
-    tables = F.sequence(F.lit(0), F.size("anchors") - 1)
+def signatures(similarity: float, last: tuple[np.ndarray, np.ndarray]):
+    """A function of texts: (digest of the word sequence, size of the set, its prefix)."""
 
-    def keys(t: Column) -> Column:
-        shift = (t * 10).cast("int")  # windows overlap a little: six of 16 bits in 64
-        window = F.call_function("shiftrightunsigned", F.col("fp"), shift).bitwiseAND(F.lit((1 << WINDOW) - 1))
-        return F.transform(masks, lambda m: F.xxhash64(t, F.get(F.col("anchors"), t), window.bitwiseXOR(m)))
+    @F.pandas_udf(T.StructType([T.StructField("digest", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+    def sign(texts: pd.Series) -> pd.DataFrame:
+        sets = [_distinct(t) for t in texts]
+        return pd.DataFrame({"digest": [_digest(t) for t in texts], "size": [len(h) for h in sets], "keys": [prefix(h, similarity, last) for h in sets]}, columns=["digest", "size", "keys"])
 
-    emitted = nodes.where(F.size("anchors") > 0).select("node", F.explode(F.flatten(F.transform(tables, keys))).alias("key"))
-    met = emitted.withColumn("b", F.min("node").over(Window.partitionBy("key"))).where("node <> b")
-    return met.select(F.col("node").alias("a"), "b").distinct()
+    return sign
+
+
+def _near(similarity: float) -> Column:
+    """Sets of sizes further apart can't be so similar."""
+    return F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9
+
+
+def meeting(buckets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each row of buckets (key, node, size) with the one of its bucket that has the smallest node, different ones only."""
+    least = F.min(F.struct("node", "size")).over(Window.partitionBy("key"))
+    met = buckets.withColumn("least", least).select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("least.node").alias("b"), F.col("least.size").alias("size_b"))
+    return met.where("a <> b").where(_near(similarity)).select("a", "b").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -177,15 +203,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
     texts alone that met another are made, and a link needs an exact Jaccard similarity.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    signed = rows.select("doc_id", signatures("text").alias("s")).groupBy("s.digest").agg(F.min("doc_id").alias("node"), F.min(F.struct("s.fp", "s.anchors")).alias("s"))
-    nodes = checkpoint(signed.select("node", "s.fp", "s.anchors"))
-    met = checkpoint(meeting(nodes))
-    wanted = met.select(F.col("a").alias("doc_id")).union(met.select(F.col("b").alias("doc_id"))).distinct()
+    sign = signatures(similarity, frequent(rows))
+    signed = rows.select("doc_id", sign("text").alias("s")).groupBy("s.digest").agg(F.min("doc_id").alias("node"), F.min(F.struct("s.size", "s.keys")).alias("s"))
+    nodes = checkpoint(signed.select("node", "s.size", "s.keys"))
+    emitted = nodes.select("node", "size", F.explode("keys").alias("key"))
+    buckets = checkpoint(emitted.withColumn("held", F.count("*").over(Window.partitionBy("key"))).where("held > 1"))
+    wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
     sets = checkpoint(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", shingle_set("text").alias("set")))
-    pairs = met.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    alike = pairs.where(both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
-    later = components(checkpoint(alike)).where("node <> component").select("node")
+
+    def alike(met: DataFrame) -> DataFrame:
+        pairs = met.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        return checkpoint(pairs.where(both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"))
+
+    later = components(alike(checkpoint(meeting(buckets, similarity)))).where("node <> component").select("node")
     return nodes.select("node").distinct().join(later, "node", "left_anti").select(F.col("node").alias("doc_id"))
 
 

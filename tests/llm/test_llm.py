@@ -416,3 +416,13 @@ def test_near_copies_edges(spark):
     kept = [r["doc_id"] for r in simhash.one_of_each(docs).orderBy("doc_id").collect()]
     assert kept == [None, 1, 2, 4, 5, 20]  # a null text is as empty as an empty one
     assert simhash.one_of_each(docs).columns == docs.columns and simhash.one_of_each(empty(docs)).collect() == []
+
+
+def test_near_copies_with_repeated_lines(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for i in range(30):
+        text, line = " ".join(f"w{i}x{x}" for x in rng.integers(0, 10**9, 200)), " ".join(f"l{i}y{x}" for x in range(8))
+        texts += [(2 * i, f"{text} {line}"), (2 * i + 1, f"{text} {(line + ' ') * 100}")]
+    got = {r["doc_id"] for r in simhash.near_copies(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == set(range(0, 60, 2))
