@@ -189,13 +189,29 @@ def _near(similarity: float) -> Column:
     return F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9
 
 
-def meeting(buckets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): each row of buckets (key, node, size) with the one of its bucket that has the smallest node, different ones only."""
-    least = F.min(F.struct("node", "size")).over(Window.partitionBy("key"))
-    met = buckets.withColumn("least", least).select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("least.node").alias("b"), F.col("least.size").alias("size_b"))
+def stars(buckets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each row of buckets (key, node, size, held) with one of its bucket: the node that shares most, as an original does with its variants."""
+    weights = buckets.groupBy("node").agg(F.sum("held").alias("weight"))
+    most = F.max(F.struct("weight", "node", "size")).over(Window.partitionBy("key"))
+    met = buckets.join(weights, "node").withColumn("most", most).select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("most.node").alias("b"), F.col("most.size").alias("size_b"))
     return met.where("a <> b").where(_near(similarity)).select("a", "b").distinct()
 
 
+def others(buckets: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of a bucket that classes (node, component) do not hold together.
+
+    A bucket's largest class is never paired with itself, so a large group that stars have linked costs nothing.
+    """
+    by = Window.partitionBy("key")
+    held = buckets.join(classes, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("class"))
+    split = checkpoint(held.withColumn("low", F.min("class").over(by)).withColumn("high", F.max("class").over(by)).where("low <> high").drop("low", "high"))
+    largest = split.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "class"))["class"].alias("largest"))
+    few = split.join(largest, "key").where("class <> largest").select("key", F.col("node").alias("x"), F.col("size").alias("size_a"), F.col("class").alias("class_x"))
+    every = split.select("key", F.col("node").alias("y"), F.col("size").alias("size_b"), F.col("class").alias("class_y"))
+    pairs = few.join(every, "key").where("class_x <> class_y").where(_near(similarity))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id): the smallest id of every class of texts that copies and near copies link; rows without an id are left out.
 
@@ -216,7 +232,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
         both = F.size(F.array_intersect("set_a", "set_b"))
         return checkpoint(pairs.where(both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"))
 
-    later = components(alike(checkpoint(meeting(buckets, similarity)))).where("node <> component").select("node")
+    linked = alike(checkpoint(stars(buckets, similarity)))
+    rest = alike(checkpoint(others(buckets, components(linked), similarity)))
+    later = components(linked.union(rest)).where("node <> component").select("node")
     return nodes.select("node").distinct().join(later, "node", "left_anti").select(F.col("node").alias("doc_id"))
 
 

@@ -426,3 +426,21 @@ def test_near_copies_with_repeated_lines(spark):
         texts += [(2 * i, f"{text} {line}"), (2 * i + 1, f"{text} {(line + ' ') * 100}")]
     got = {r["doc_id"] for r in simhash.near_copies(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == set(range(0, 60, 2))
+
+
+def test_near_copies_of_an_original_with_the_largest_id(spark):
+    rng = np.random.default_rng(13)
+    rows = []
+    for f in range(4):
+        base = [f"w{f}x{x}" for x in range(160)]
+        for v in range(12):  # each is like the original, but not like the other variants
+            words = list(base)
+            for at in rng.choice(np.arange(5, 155), 3, replace=False):
+                words[at] = f"v{f}x{v}x{at}"
+            rows.append((100 * f + v, " ".join(words)))
+        rows.append((100 * f + 99, " ".join(base)))
+    passage = " ".join(f"p{x}" for x in range(60))  # an unlike text with the smallest id shares a passage with two copies
+    own = " ".join(f"q{x}" for x in range(100))
+    rows += [(-3, passage), (-2, f"{passage} {own}"), (-1, f"{passage} {own} end")]
+    got = {r["doc_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0, 100, 200, 300, -3, -2}
