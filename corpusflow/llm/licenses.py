@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Lines that hold a word of TRIGGERS are candidates; so is the block of lines around them that is as long as a longer template. A
-block's size when compressed alone is compared with its size when each template is the compressor's raw dictionary;
+Lines that hold a word of TRIGGERS are candidates; so are the blocks of words around them that are as long as a template, from as many
+words before the line to as many after it, wherever lines and sentences end. A block's size when compressed alone is compared with its size when each template is the compressor's raw dictionary;
 the templates with the largest reductions are confirmed, best first, by the exact differences between the words of block and template:
 at least `likeness` of the template's words must stand in the block in order. The confirmed template, its place and the differing words are
 reported. Whole texts are read; templates are a parameter.
@@ -61,6 +61,7 @@ class Scanner:
             plain = " ".join(words(templates[name]))
             raw = zstandard.ZstdCompressionDict(plain.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.templates.append((name, plain.split(), zstandard.ZstdCompressor(level=3, dict_data=raw)))
+        self.length = {name: len(wording) for name, wording, _ in self.templates}
         self.known: dict[str, tuple | None] = {}
 
     def best(self, block: list[str]) -> tuple | None:
@@ -108,12 +109,43 @@ class Scanner:
                     options.append((i, j, found))
             if not options:  # a sentence within a line
                 options = [(i, i, found) for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", line) if self.trigger.search(s) and (found := self.best(words(s)))]
+            options += self.around(lines, i, done)
             if options:
-                low, high, found = max(options, key=lambda o: (o[2][2] * (o[1] - o[0] + 1), o[2][1]))
+                low, high, found = max(options, key=lambda o: (o[2][2] * self.length[o[2][0]], o[0] - o[1], o[2][1]))
                 out.append((low, high, *found))
                 done = high
         return out
 
+    def around(self, lines: list[str], i: int, done: int) -> list[tuple]:
+        """(first line, last line, finding): wordings by words, wherever lines and sentences end, that hold a word of line i.
+
+        A window starts where a template's first words would put it, for each place of one of its runs of three words that is near.
+        """
+        most = max(len(w) for _, w, _ in self.templates)
+        before, k = [], i - 1
+        while k > done and len(before) < most + most // 5:
+            before[:0] = [(w, k) for w in words(lines[k])]
+            k -= 1
+        here = [(w, i) for w in words(lines[i])]
+        after, k = [], i + 1
+        while k < len(lines) and len(after) < most + most // 5:
+            after += [(w, k) for w in words(lines[k])]
+            k += 1
+        near = before + here + after
+        runs: dict[tuple, list[int]] = {}
+        for at in range(len(near) - 2):
+            runs.setdefault((near[at][0], near[at + 1][0], near[at + 2][0]), []).append(at)
+        low, high, found = len(before), len(before) + len(here), []
+        for _, wording, _ in self.templates:
+            starts = {place - at for at in range(len(wording) - 2) for place in runs.get(tuple(wording[at : at + 3]), ())}
+            for start in starts:
+                # words left out or put in move the end against the start
+                for end in {e for e in starts if abs(e - start) <= (1 - LIKENESS) * len(wording)}:
+                    first, last = max(0, start), min(len(near), end + len(wording))
+                    if first < high and last > low and last > first and (hit := self.best([w for w, _ in near[first:last]])):
+                        found.append((near[first][1], near[last - 1][1], hit))
+        return found
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per finding: (doc_id, first_line, last_line, license, gain, likeness, missing, besides)."""

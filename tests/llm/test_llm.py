@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter
 from functools import reduce
 from itertools import combinations
@@ -150,6 +151,17 @@ def test_licenses(spark):
     assert licenses.scan(empty(docs)).collect() == []
 
 
+def test_licenses_wrapped_and_inline():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name in ("GPL-header", "ISC", "MPL-2.0", "Apache-2.0-header"):
+        wording = licenses.TEMPLATES[name]
+        for width in (40, 60, 72):
+            lines = textwrap.wrap(wording, width)
+            found = scanner.scan("\n".join(["int x", "foo bar", *lines, "other words"]))
+            assert [f[:3] for f in found] == [(2, 1 + len(lines), name)]
+        assert [f[:3] for f in scanner.scan(f"Some words stand before it. {wording} And more words stand behind it.")] == [(0, 0, name)]
+
+
 def test_licenses_find_every_planted_line(spark, tables):
     lines = tables["documents"].where(F.col("text").rlike(r"(?:Released|Licensed|licensed) under"))
     assert licenses.scan(tables["documents"]).select("doc_id").distinct().count() == lines.count() > 0
