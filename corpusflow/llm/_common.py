@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The columns of the table `documents`, in its order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Most keys that looked_up() splits, rows of such a key in one part, and most parts.
+HOT, PER_PART, PARTS = 1000, 256, 4096
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,11 +24,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` in the folder that the cluster shares (spark.checkpoint.dir); a lost executor costs no data.
 
-    Only where that setting is absent, as in tests, a temporary folder takes its place.
+    Only in local mode, as in tests, a temporary folder may take its place.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusflow-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusflow-checkpoint-"))
     return df.checkpoint()
 
 
@@ -31,5 +40,35 @@ def fold(column: Column, n: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string")) % n, F.lit(0)).cast("int")
 
 
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with table, which holds each value of `key` once.
+
+    The HOT keys with most rows are split into parts of about PER_PART rows, and their row of the table is repeated for each part; any
+    other key has at most a HOT-th of all rows. Only those keys and their numbers of parts are broadcast. `rows` is read twice.
+    """
+    parts = F.least(F.ceil(F.col("__n") / PER_PART), F.lit(PARTS)).cast("int")
+    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > PER_PART).orderBy(F.desc("__n"), key).limit(HOT).select(key, parts.alias("__parts"))
+    others = [F.col(c) for c in rows.columns if c != key]
+    many = rows.join(F.broadcast(hot), key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*others), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    each = table.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return many.join(each, [key, "__part"]).drop("__part")
+
+
+def packed(x: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(x, dtype=np.float64).tobytes(), 1)
+
+
+def added(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Sums by key of (key int, data: packed array). A task adds up one row after the other and holds one array for each of its keys, so
+    memory does not follow the number of rows. What reaches the driver is one array for each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(zlib.decompress(data.as_py()))
+                held[k] = held[k] + x if k in held else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(map(packed, held.values())), pa.binary())], ["key", "data"])
+
+    rows = parts.select("key", "data").repartition("key").mapInArrow(run, "key int, data binary").collect()
+    return {r["key"]: np.frombuffer(zlib.decompress(r["data"])) for r in rows}

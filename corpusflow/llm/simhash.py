@@ -16,34 +16,40 @@ smallest id of the class, null if no row of the class has an id; repeated rows a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checkpoint
+from ._common import added, checkpoint, looked_up, packed
 from ._components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 _CHUNK = 1 << 20
 
 
-def _words(data: bytes) -> Iterator[list[bytes]]:
-    """The words in lists of about a megabyte; a long text is never split into all its words at once."""
+def _chunks(data: bytes) -> Iterator[bytes]:
+    """Pieces of about a megabyte that end between words."""
     start, end = 0, len(data)
     while start < end:
         stop = min(start + _CHUNK, end)
         while stop < end and data[stop] not in b" \t\n\v\f\r":
             stop += 1
-        yield data[start:stop].split()
+        yield data[start:stop]
         start = stop
 
 
+def _words(data: bytes) -> Iterator[list[bytes]]:
+    """The words in lists of about a megabyte; a long text is never split into all its words at once."""
+    return (chunk.split() for chunk in _chunks(data))
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """As a signed 64-bit number."""
     digest, ones, n, tail = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), 0, []
@@ -91,158 +97,299 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def classes(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of `fingerprints` (doc_id, fp): the smallest doc_id that it reaches."""
-    smallest = fingerprints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    smallest = checkpoint(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     joined = components(checkpoint(links(smallest.select("fp"), radius)))
     root = smallest.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     least = root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = joined.join(least.withColumnRenamed("root", "component"), "component").select(F.col("node").alias("fp"), "component_id")
+    linked = looked_up(joined, least.withColumnRenamed("root", "component"), "component").select(F.col("node").alias("fp"), "component_id")
     return smallest.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs."""
     prints = checkpoint(docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text)).alias("fp")))
-    # a stage of its own, so that both sides of the join are shuffled for it and a fingerprint with very many rows can be split
-    return prints.join(checkpoint(classes(prints, radius)), "fp", "left").select("doc_id", "fp", "component_id")
+    return looked_up(prints, checkpoint(classes(prints, radius)), "fp").select("doc_id", "fp", "component_id")
 
 
-# Near copies by the similarity of their word sets, by an exact prefix filter. All shingles have one order, those found often in a
-# sample last. Two sets of a similarity of t share one of the first n - ceil(t * n) + 1 shingles of each in any such order, so every pair
-# meets in a bucket, the rows that emit the same shingle. What meets is verified by exact sets. The sample decides the cost alone.
+# Near copies by the similarity of their sets of five-word shingles, by an exact prefix filter. All shingles have one order, those that
+# occur in few texts first. Two sets of a similarity of t share one of the first n - ceil(t * n) + 1 shingles of each in any such order, so
+# every pair meets in a bucket, the texts that emit the same shingle. How many texts hold a shingle is counted over all rows, in COUNTERS
+# counters by hash; that decides the cost alone. What meets is sifted by sizes, by the shingle's places in both orders and by parity bits,
+# all of which only rule out what can't be similar, and then verified by the sets themselves (64-bit hashes of the shingles).
 
 WORDS, SIMILARITY = 5, 0.8
-#: Rows that frequencies are taken from, rows that make a shingle frequent, and most shingles that are placed last.
-SAMPLE, OFTEN, FREQUENT = 1 << 14, 8, 1 << 20
+COUNTERS, _SLICES = 1 << 20, 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _shingles(text: str) -> Iterator[np.ndarray]:
-    """Hashes of the runs of WORDS words, in lists of about a megabyte of text; the whole sequence if there are fewer words."""
-    tail, any_ = np.empty(0, np.uint64), False
-    for words in _words(text.encode("utf-8", "surrogatepass").lower()):
-        h = np.concatenate([tail, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))])
-        if len(h) >= WORDS:
-            out = h[: len(h) - WORDS + 1].copy()
-            for i in range(1, WORDS):
-                out = (out ^ (out >> np.uint64(32))) * _STEP + h[i : len(h) - WORDS + 1 + i]
-            any_ = True
-            yield out
-        tail = h[max(0, len(h) - WORDS + 1) :]
-    if not any_ and len(tail):
-        yield np.array([xxhash.xxh64_intdigest(tail.tobytes())], dtype=np.uint64)
+def _letters() -> np.ndarray:
+    """A random number for each byte, for A-Z those of a-z, 0 for white space."""
+    table = np.random.default_rng(WORDS).integers(1, 2**64, 256, dtype=np.uint64)
+    table[65:91] = table[97:123]
+    table[[9, 10, 11, 12, 13, 32]] = 0
+    return table
+
 
+_LETTERS, _BASE = _letters(), 0x9E3779B97F4A7C17
+_POWERS = np.cumprod(np.full(64, _BASE, dtype=np.uint64))
 
-def _distinct(text: str | None) -> np.ndarray:
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *_shingles(text or "")]).view(np.int64))
 
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts, and its hash: the sum of its bytes' numbers, each times a power by its place."""
+    global _POWERS
+    numbers = _LETTERS[np.frombuffer(data, np.uint8)]
+    filled = numbers != 0
+    starts = np.flatnonzero(filled & ~np.concatenate(([False], filled[:-1])))
+    if not len(starts):
+        return starts, np.empty(0, np.uint64)
+    place = np.arange(starts[0], len(numbers)) - np.repeat(starts, np.diff(starts, append=len(numbers)))
+    if (longest := int(place.max())) >= len(_POWERS):
+        _POWERS = np.cumprod(np.full(2 * longest, _BASE, dtype=np.uint64))
+    h = np.add.reduceat(numbers[starts[0] :] * _POWERS[place], starts - starts[0])
+    return starts, (h ^ (h >> np.uint64(32))) * _STEP
 
-def _digest(text: str | None) -> str:
+
+def _runs(h: np.ndarray) -> np.ndarray:
+    """A hash of each run of WORDS words."""
+    n = max(0, len(h) - WORDS + 1)
+    out = h[:n].copy()
+    for i in range(1, WORDS):
+        out = (out ^ (out >> np.uint64(32))) * _STEP + h[i : n + i]
+    return out ^ (out >> np.uint64(29))
+
+
+def _whole(h: np.ndarray) -> np.ndarray:
+    """The one shingle of a text with fewer words; none without words."""
+    return np.array([xxhash.xxh64_intdigest(h.tobytes())][: len(h)], dtype=np.uint64)
+
+
+def _long(data: bytes) -> np.ndarray:
+    """The set of one long text, a megabyte after the other."""
+    tail, found = np.empty(0, np.uint64), []
+    for chunk in _chunks(data):
+        h = np.concatenate([tail, _word_hashes(chunk)[1]])
+        found.append(np.unique(_runs(h)))
+        tail = h[max(0, len(h) - WORDS + 1) :]
+    sets_ = np.unique(np.concatenate(found))
+    return sets_ if len(sets_) else _whole(tail)
+
+
+def _short(group: list[bytes]) -> list[np.ndarray]:
+    """The sets of several texts, made together."""
+    starts, h = _word_hashes(b"\n".join(group))
+    ends = np.cumsum([len(d) + 1 for d in group])
+    owner = np.searchsorted(ends, starts, side="right")
+    runs = _runs(h)
+    inside = owner[: len(runs)] == owner[len(owner) - len(runs) :]
+    runs, text = runs[inside], owner[: len(runs)][inside]
+    order = np.lexsort((runs, text))
+    runs, text = runs[order], text[order]
+    new = np.ones(len(runs), dtype=bool)
+    new[1:] = (runs[1:] != runs[:-1]) | (text[1:] != text[:-1])
+    runs, text = runs[new], text[new]
+    cuts = np.searchsorted(text, np.arange(len(group) + 1))
+    words = np.searchsorted(owner, np.arange(len(group) + 1))
+    return [runs[a:b] if a < b else _whole(h[c:d]) for a, b, c, d in zip(cuts, cuts[1:], words, words[1:])]
+
+
+def sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """For each text the ascending distinct hashes of its runs of WORDS words; the whole sequence is one if there are fewer words."""
+    group, size = [], 0
+    for text in texts:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        if size + len(data) > _CHUNK:
+            yield from _short(group) if group else ()
+            group, size = [], 0
+        if len(data) > _CHUNK:
+            yield _long(data)
+        else:
+            group.append(data)
+            size += len(data) + 1
+    yield from _short(group) if group else ()
+
+
+def _digest(text: str | None) -> bytes:
     """Of the word sequence."""
     digest = xxhash.xxh3_128()
     for words in _words((text or "").encode("utf-8", "surrogatepass").lower()):
         if words:
             digest.update(b" ".join(words) + b" ")
-    return digest.hexdigest()
+    return digest.digest()
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def shingles(texts: pd.Series) -> pd.Series:
-    return pd.Series([_distinct(t) for t in texts])
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(44)).astype(np.int64)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def shingle_set(texts: pd.Series) -> pd.Series:
-    """Distinct 32-bit hashes of a text's shingles."""
-    return pd.Series([np.unique(_distinct(t).astype(np.uint32)).view(np.int32) for t in texts])
+def counted(rows: DataFrame) -> np.ndarray:
+    """COUNTERS sums over rows (text): how many texts hold a shingle, and what else falls on its counter. Tasks add up their own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size = np.zeros(COUNTERS), [], 0
+        for batch in batches:
+            for h in sets(text.as_py() for text in batch.column(0)):
+                held.append(_counter(h))
+                size += len(held[-1])
+                if size > COUNTERS:
+                    total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+        slices = list(map(packed, total.reshape(_SLICES, -1)))
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(slices, pa.binary())], ["key", "data"])
+
+    sums = added(rows.select("text").mapInArrow(run, "key int, data binary"))
+    return np.concatenate([sums[i] for i in range(_SLICES)]) if sums else np.zeros(COUNTERS)
+
+
+def prefix(h: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndarray:
+    """The first of the distinct shingles h in the order of their counts, as many as a set of that similarity can't all lack."""
+    return h[np.lexsort((h, counts[_counter(h)]))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]]
+
+
+def parity(h: np.ndarray) -> bytes:
+    """Bits, a power of two and no fewer than shingles: whether an odd number of shingles falls on each."""
+    n = max(64, 1 << max(0, len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1, bitorder="little").tobytes()
 
 
-def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles in order, sampled rows that have each) of those that are frequent in a sample of rows (doc_id, text)."""
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows.count() // SAMPLE))) == 0)
-    counts = some.select(F.explode(shingles("text")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    found = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas().sort_values("shingle")
-    return found["shingle"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+def apart(a: bytes, b: bytes) -> int:
+    """A number that the shingles in only one of two sets can't be fewer than, from their parity bits."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, n = int.from_bytes(a, "little"), 8 * len(a)
+    while n > 8 * len(b):
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
 
 
-def prefix(h: np.ndarray, similarity: float, last: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first of the distinct shingles h, as many as a set of that similarity can't all lack."""
-    often = np.zeros(len(h), dtype=np.int64)
-    if len(last[0]):
-        at = np.minimum(np.searchsorted(last[0], h), len(last[0]) - 1)
-        often = np.where(last[0][at] == h, last[1][at], 0)
-    return h[np.lexsort((h, often))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]]
+def signed(rows: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, hash, digest, size, keys, bits) of rows (doc_id, hash, text). A word sequence that a task has met has no keys and bits."""
+    sent = rows.sparkSession.sparkContext.broadcast(counted(rows))  # of fixed size
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = sent.value, set()
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            digests, sizes, keys, bits = list(map(_digest, texts)), [], [], []
+            for digest, h in zip(digests, sets(texts)):
+                if digest in seen:
+                    sizes.append(None), keys.append(None), bits.append(None)
+                    continue
+                if len(seen) >= 1_000_000:
+                    seen.clear()
+                seen.add(digest)
+                sizes.append(len(h)), keys.append(prefix(h, similarity, counts).view(np.int64)), bits.append(parity(h))
+            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "hash", "digest", "size", "keys", "bits"])
 
-def signatures(similarity: float, last: tuple[np.ndarray, np.ndarray]):
-    """A function of texts: (digest of the word sequence, size of the set, its prefix)."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "hash", "text").mapInArrow(run, f"doc_id {kind}, hash long, digest binary, size int, keys array<long>, bits binary")
 
-    @F.pandas_udf(T.StructType([T.StructField("digest", T.StringType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
-    def sign(texts: pd.Series) -> pd.DataFrame:
-        sets = [_distinct(t) for t in texts]
-        return pd.DataFrame({"digest": [_digest(t) for t in texts], "size": [len(h) for h in sets], "keys": [prefix(h, similarity, last) for h in sets]}, columns=["digest", "size", "keys"])
 
-    return sign
+def _least_shared(similarity: float, a: Column, b: Column) -> Column:
+    """How many shingles two sets of sizes a and b share at least, if they are so similar."""
+    return F.lit(similarity / (1 + similarity)) * (a + b) - 1e-9
 
 
-def _near(similarity: float) -> Column:
-    """Sets of sizes further apart can't be so similar."""
-    return F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b") - 1e-9
+def _can_be(similarity: float) -> Column:
+    """Whether two members (size, pos) of a bucket, of which its shingle is the first that they share, can be so similar."""
+    n, m = F.col("size_a"), F.col("size_b")
+    left = F.least(n - F.col("pos_a"), m - F.col("pos_b"))
+    return (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - 1e-9) & (left >= _least_shared(similarity, n, m))
+
+
+def _side(name: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{name}") for c in ("node", "size", "pos", "class")]
 
 
 def stars(buckets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): each row of buckets (key, node, size, held) with one of its bucket: the node that shares most, as an original does with its variants."""
-    weights = buckets.groupBy("node").agg(F.sum("held").alias("weight"))
-    most = F.max(F.struct("weight", "node", "size")).over(Window.partitionBy("key"))
-    met = buckets.join(weights, "node").withColumn("most", most).select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("most.node").alias("b"), F.col("most.size").alias("size_b"))
-    return met.where("a <> b").where(_near(similarity)).select("a", "b").distinct()
+    """(a, b): each member of buckets (key, node, size, pos) with one of its bucket: the node that meets most, as an original does with its variants."""
+    weights = buckets.groupBy("node").agg(F.count("*").alias("weight"))
+    most = F.max(F.struct("weight", "node", "size", "pos")).over(Window.partitionBy("key"))
+    met = buckets.join(weights, "node").withColumn("most", most)
+    met = met.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"), F.col("most.node").alias("b"), F.col("most.size").alias("size_b"), F.col("most.pos").alias("pos_b"))
+    return met.where("a <> b").where(_can_be(similarity)).select("a", "b").distinct()
 
 
 def others(buckets: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of a bucket that classes (node, component) do not hold together.
+    """(a, b): all pairs of a bucket that can be so similar and that classes (node, component) do not hold together.
 
-    A bucket's largest class is never paired with itself, so a large group that stars have linked costs nothing.
+    Of two sets the smaller has the shingle in its first places (`early`), else it could not be the first that they share; so members
+    that have it later, as they share a frequent passage, never pair with each other. Nor does a bucket's largest class with itself, so a
+    large group that stars have linked costs nothing.
     """
     by = Window.partitionBy("key")
-    held = buckets.join(classes, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("class"))
+    held = buckets.join(classes, "node", "left").select("key", "node", "size", "pos", F.coalesce("component", "node").alias("class"))
     split = checkpoint(held.withColumn("low", F.min("class").over(by)).withColumn("high", F.max("class").over(by)).where("low <> high").drop("low", "high"))
     largest = split.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "class"))["class"].alias("largest"))
-    few = split.join(largest, "key").where("class <> largest").select("key", F.col("node").alias("x"), F.col("size").alias("size_a"), F.col("class").alias("class_x"))
-    every = split.select("key", F.col("node").alias("y"), F.col("size").alias("size_b"), F.col("class").alias("class_y"))
-    pairs = few.join(every, "key").where("class_x <> class_y").where(_near(similarity))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    named = split.join(largest, "key")
+    early = named.where(F.col("size") - F.col("pos") >= _least_shared(similarity, F.col("size"), F.col("size")))
+    fits = (F.col("class_a") != F.col("class_b")) & (F.col("size_a") <= F.col("size_b")) & _can_be(similarity)
+    pairs = None
+    for x, y in ((early.where("class <> largest"), named), (early.where("class = largest"), named.where("class <> largest"))):
+        some = x.select("key", *_side("a")).join(y.select("key", *_side("b")), "key").where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        pairs = some if pairs is None else pairs.union(some)
+    return pairs.distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id): the smallest id of every class of texts that copies and near copies link; rows without an id are left out.
+    """(doc_id, hash): of every class of texts that copies and near copies link the row of smallest id (then of smallest hash).
 
-    Equal word sequences are one node before anything is compared, so a large group of copies costs one row. The sets of those
-    texts alone that met another are made, and a link needs an exact Jaccard similarity.
+    `hash` is xxhash64 of the text, so that different texts under one id are told apart. Rows without an id are left out. Equal word
+    sequences are one node before anything is compared, so a large group of copies costs one row. The sets of those texts alone that
+    met another and passed the sieves are made, and a link needs an exact Jaccard similarity.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    sign = signatures(similarity, frequent(rows))
-    signed = rows.select("doc_id", sign("text").alias("s")).groupBy("s.digest").agg(F.min("doc_id").alias("node"), F.min(F.struct("s.size", "s.keys")).alias("s"))
-    nodes = checkpoint(signed.select("node", "s.size", "s.keys"))
-    emitted = nodes.select("node", "size", F.explode("keys").alias("key"))
-    buckets = checkpoint(emitted.withColumn("held", F.count("*").over(Window.partitionBy("key"))).where("held > 1"))
-    wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
-    sets = checkpoint(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", shingle_set("text").alias("set")))
-
-    def alike(met: DataFrame) -> DataFrame:
-        pairs = met.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        return checkpoint(pairs.where(both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"))
-
-    linked = alike(checkpoint(stars(buckets, similarity)))
-    rest = alike(checkpoint(others(buckets, components(linked), similarity)))
-    later = components(linked.union(rest)).where("node <> component").select("node")
-    return nodes.select("node").distinct().join(later, "node", "left_anti").select(F.col("node").alias("doc_id"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    marks = checkpoint(signed(rows, similarity).withColumn("node", F.xxhash64("digest")))
+    # the node is a short name of the digest: should two digests share it, both texts are met and compared, but never taken for equal
+    reps = checkpoint(marks.groupBy("digest").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "hash")).alias("rep")))
+    emitted = marks.where("keys is not null").select("node", "size", F.posexplode("keys").alias("pos", "key"))
+    by = Window.partitionBy("key")
+    met = emitted.withColumn("low", F.min("node").over(by)).withColumn("high", F.max("node").over(by)).where("low <> high")
+    buckets = checkpoint(met.groupBy("key", "node", "size").agg(F.min("pos").alias("pos")))
+    bits = checkpoint(marks.where("bits is not null").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["digest"]).select("node", "digest", "size", "bits"))
+
+    @F.pandas_udf("int")
+    def least_apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([apart(x, y) for x, y in zip(a, b)], dtype="int32")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """(a, b) as digests, those of pairs (a, b) of nodes that are so similar."""
+        sides = [bits.select(F.col("node").alias(s), F.struct("digest", "size", "bits").alias(f"x{s}")) for s in "ab"]
+        both = checkpoint(looked_up(pairs, sides[0], "a"))
+        both = looked_up(both, sides[1], "b").where(F.col("xa.size") + F.col("xb.size") - least_apart("xa.bits", "xb.bits") >= 2 * _least_shared(similarity, F.col("xa.size"), F.col("xb.size")))
+        sifted = checkpoint(both.select(F.col("xa.digest").alias("a"), F.col("xb.digest").alias("b")))
+        wanted = sifted.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(reps, "digest").select("digest", "rep.*")
+        sets = rows.join(wanted, ["doc_id", "hash"]).select("digest", shingle_set("text").alias("set")).dropDuplicates(["digest"])
+        sets = checkpoint(sets)
+        one = checkpoint(looked_up(sifted, sets.select(F.col("digest").alias("a"), F.col("set").alias("set_a")), "a"))
+        two = looked_up(one, sets.select(F.col("digest").alias("b"), F.col("set").alias("set_b")), "b")
+        same = F.size(F.array_intersect("set_a", "set_b"))
+        return checkpoint(two.where(same >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - same) - 1e-9).select("a", "b"))
+
+    first = alike(checkpoint(stars(buckets, similarity)))
+    found = components(first.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
+    linked = first.union(alike(checkpoint(others(buckets, found, similarity))))
+    joined = components(linked).withColumnRenamed("node", "digest").join(reps.select("digest", "rep"), "digest")
+    joined = checkpoint(joined)
+    stays = joined.groupBy("component").agg(F.min("rep").alias("stays"))
+    goes = looked_up(joined, stays, "component").where("rep <> stays").select("digest")
+    return reps.join(goes, "digest", "left_anti").select("rep.*")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The row with the smallest id of each class of near_copies(). Rows without an id stay; of rows that repeat an id the least stays."""
-    kept = checkpoint(near_copies(docs, id_col, text, similarity).withColumnRenamed("doc_id", id_col))
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi")
+    """The row of each class that near_copies() names; of rows of that very id and text the least stays. Rows without an id stay."""
+    kept = checkpoint(near_copies(docs, id_col, text, similarity).select(F.col("doc_id").alias(id_col), F.col("hash").alias("__hash")))
+    named = docs.where(F.col(id_col).isNotNull()).withColumn("__hash", F.xxhash64(F.col(text))).join(kept, [id_col, "__hash"], "left_semi")
     rest = [c for c in docs.columns if c != id_col]
-    # the join has the rows of an id together and in order, so the least of them needs no more shuffle
-    least = named.groupBy(id_col).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("row"))
+    # the join has the rows of an id and text together and in order, so the least of them needs no more shuffle
+    least = named.groupBy(id_col, "__hash").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("row"))
     return least.select(id_col, "row.*").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def shingle_set(texts: pd.Series) -> pd.Series:
+    """Distinct hashes of a text's shingles."""
+    return pd.Series([h.view(np.int64) for h in sets(texts)])

@@ -419,7 +419,7 @@ def test_near_copies_by_brute_force(spark):
             a, b = find(i), find(j)
             root[max(a, b)] = min(a, b)
     want = {rows[i][0] for i in range(len(rows)) if find(i) == i}
-    got = [r["doc_id"] for r in simhash.near_copies(docs).collect()]
+    got = [r["doc_id"] for r in simhash.near_copies(docs).select("doc_id").collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(got) < len(rows)
 
 
@@ -456,3 +456,33 @@ def test_near_copies_of_an_original_with_the_largest_id(spark):
     rows += [(-3, passage), (-2, f"{passage} {own}"), (-1, f"{passage} {own} end")]
     got = {r["doc_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0, 100, 200, 300, -3, -2}
+
+
+def test_near_copies_of_texts_under_one_id(spark):
+    p, q = (" ".join(f"{x}{i}" for i in range(60)) for x in "pq")
+    docs = spark.createDataFrame([(1, p), (1, q), (2, f"{p} more"), (3, f"{q} more"), (1, p), (1, p.upper())], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"][0].lower()) for r in simhash.one_of_each(docs).collect()) == [(1, "p"), (1, "q")]
+
+
+def test_sieves_rule_out_no_similar_pair():
+    rng = np.random.default_rng(14)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**64, int(rng.integers(1, 400)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**64, int(rng.integers(0, 60)), dtype=np.uint64)]))
+        only = len(np.setxor1d(a, b))
+        assert simhash.apart(simhash.parity(a), simhash.parity(b)) <= only
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            counts = rng.integers(0, 3, simhash.COUNTERS)
+            assert np.intersect1d(simhash.prefix(a, 0.8, counts), simhash.prefix(b, 0.8, counts)).size
+
+
+def test_near_copies_in_a_hot_group(spark):
+    rng = np.random.default_rng(15)
+    base, rows = [f"w{x}" for x in range(120)], []
+    for v in range(900):
+        words = list(base)
+        words[int(rng.integers(0, 120))] = f"v{v}"
+        rows.append((v, " ".join(words)))
+    rows += [(1000 + i, " ".join(base)) for i in range(600)] + [(2000 + i, f"common line of many texts that stands here {i} own {i} words {i * 7} follow") for i in range(20)]
+    got = {r["doc_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert got == {0, *range(2000, 2020)}
