@@ -40,14 +40,15 @@ def fold(column: Column, n: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string")) % n, F.lit(0)).cast("int")
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
     """rows joined with table, which holds each value of `key` once.
 
     The HOT keys with most rows are split into parts of about PER_PART rows, and their row of the table is repeated for each part; any
-    other key has at most a HOT-th of all rows. Only those keys and their numbers of parts are broadcast. `rows` is read twice.
+    other key has at most a HOT-th of all rows. Only those keys and their numbers of parts are broadcast. They are counted in `counted`, where
+    its keys are about as frequent as those of rows and it is cheaper to read, else in rows.
     """
     parts = F.least(F.ceil(F.col("__n") / PER_PART), F.lit(PARTS)).cast("int")
-    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > PER_PART).orderBy(F.desc("__n"), key).limit(HOT).select(key, parts.alias("__parts"))
+    hot = (rows if counted is None else counted).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > PER_PART).orderBy(F.desc("__n"), key).limit(HOT).select(key, parts.alias("__parts"))
     others = [F.col(c) for c in rows.columns if c != key]
     many = rows.join(F.broadcast(hot), key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*others), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
     each = table.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")

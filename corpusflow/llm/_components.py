@@ -20,9 +20,10 @@ def components(links: DataFrame) -> DataFrame:
     labels = checkpoint(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")))
     while True:
         near = looked_up(both, labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        low = checkpoint(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "near").alias("low"), F.col("component").alias("was")))
+        low = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "near").alias("low"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("next"))
-        moved = checkpoint(looked_up(low, jump, "low").select("node", F.least("low", "next").alias("component"), "was"))
+        before = labels.select(F.col("component").alias("low"))  # a label of many nodes had many before
+        moved = checkpoint(looked_up(low, jump, "low", before).select("node", F.least("low", "next").alias("component"), "was"))
         labels = moved.select("node", "component")
         if moved.where("component <> was").isEmpty():
             return labels

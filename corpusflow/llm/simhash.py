@@ -358,21 +358,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
     def alike(pairs: DataFrame) -> DataFrame:
         """(a, b) as digests, those of pairs (a, b) of nodes that are so similar."""
         sides = [bits.select(F.col("node").alias(s), F.struct("digest", "size", "bits").alias(f"x{s}")) for s in "ab"]
-        both = checkpoint(looked_up(pairs, sides[0], "a"))
-        both = looked_up(both, sides[1], "b").where(F.col("xa.size") + F.col("xb.size") - least_apart("xa.bits", "xb.bits") >= 2 * _least_shared(similarity, F.col("xa.size"), F.col("xb.size")))
+        both = looked_up(looked_up(pairs, sides[0], "a"), sides[1], "b", pairs)
+        both = both.where(F.col("xa.size") + F.col("xb.size") - least_apart("xa.bits", "xb.bits") >= 2 * _least_shared(similarity, F.col("xa.size"), F.col("xb.size")))
         sifted = checkpoint(both.select(F.col("xa.digest").alias("a"), F.col("xb.digest").alias("b")))
         wanted = sifted.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(reps, "digest").select("digest", "rep.*")
-        sets = rows.join(wanted, ["doc_id", "hash"]).select("digest", shingle_set("text").alias("set")).dropDuplicates(["digest"])
-        sets = checkpoint(sets)
-        one = checkpoint(looked_up(sifted, sets.select(F.col("digest").alias("a"), F.col("set").alias("set_a")), "a"))
-        two = looked_up(one, sets.select(F.col("digest").alias("b"), F.col("set").alias("set_b")), "b")
+        whole = checkpoint(rows.join(wanted, ["doc_id", "hash"]).dropDuplicates(["digest"]).select("digest", shingle_set("text").alias("set")))
+        one = looked_up(sifted, whole.select(F.col("digest").alias("a"), F.col("set").alias("set_a")), "a")
+        two = looked_up(one, whole.select(F.col("digest").alias("b"), F.col("set").alias("set_b")), "b", sifted)
         same = F.size(F.array_intersect("set_a", "set_b"))
         return checkpoint(two.where(same >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - same) - 1e-9).select("a", "b"))
 
-    first = alike(checkpoint(stars(buckets, similarity)))
-    found = components(first.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
-    linked = first.union(alike(checkpoint(others(buckets, found, similarity))))
-    joined = components(linked).withColumnRenamed("node", "digest").join(reps.select("digest", "rep"), "digest")
+    linked = alike(checkpoint(stars(buckets, similarity)))
+    found = components(linked)
+    rest = alike(checkpoint(others(buckets, found.select(F.xxhash64("node").alias("node"), F.xxhash64("component").alias("component")), similarity)))
+    if not rest.isEmpty():  # classes that stars have made, joined further
+        found = components(rest.union(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    joined = found.withColumnRenamed("node", "digest").join(reps.select("digest", "rep"), "digest")
     joined = checkpoint(joined)
     stays = joined.groupBy("component").agg(F.min("rep").alias("stays"))
     goes = looked_up(joined, stays, "component").where("rep <> stays").select("digest")
