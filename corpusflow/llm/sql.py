@@ -8,18 +8,20 @@ MIXING = """
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS key, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
 ), w AS (
-  SELECT key, sqrt(count(*)) AS w FROM d GROUP BY key
+  SELECT key, count(*) AS n, row_number() OVER (ORDER BY key) AS i FROM d GROUP BY key
+), q AS (
+  SELECT key, i, n, sqrt(n) / (SELECT list_sum(list(sqrt(n) ORDER BY key)) FROM w) * (4000 - (SELECT count(*) FROM w)) AS share FROM w
 ), p AS (
-  SELECT key, row_number() OVER (ORDER BY key) AS i, 1 + CAST(floor((1000 - count(*) OVER ()) * w / sum(w) OVER ()) AS BIGINT) AS parts FROM w
+  SELECT key, i, n, CAST(1 + floor(share) + CASE WHEN row_number() OVER (ORDER BY floor(share) - share, key) <= 4000 - count(*) OVER () - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS parts FROM q
 ), a AS (
-  SELECT list(parts ORDER BY i) AS ps, CAST(sum(parts) AS BIGINT) AS period FROM p
+  SELECT list(parts ORDER BY i) AS ps, CAST(sum(parts) AS BIGINT) AS period, CAST(max(ceil((n + 15) // 16 * 4000 / parts)) AS BIGINT) AS needed FROM p
 ), r(t, had, pick) AS (
   SELECT CAST(0 AS BIGINT), list_transform(ps, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM a
   UNION ALL
   SELECT t + 1, list_transform(had, lambda h, j: CASE WHEN j = chosen THEN h + 1 ELSE h END), chosen FROM (
-    SELECT t, had, CAST(list_min(list_filter(list_transform(had, lambda h, j:
-      CASE WHEN floor(h * period / ps[j]) <= t THEN ceil((h + 1) * period / ps[j]) * 10000 + j END), lambda x: x IS NOT NULL)) AS BIGINT) % 10000 AS chosen
-    FROM r, a WHERE t < period)
+    SELECT t, had, list_min(list_filter(list_transform(had, lambda h, j:
+      CASE WHEN h * period // ps[j] <= t THEN ((h + 1) * period + ps[j] - 1) // ps[j] * 10000 + j END), lambda x: x IS NOT NULL)) % 10000 AS chosen
+    FROM r, a WHERE t < least(period, needed))
 ), slots AS (
   SELECT pick AS i, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn FROM r WHERE t > 0
 ), ranked AS (
@@ -27,7 +29,7 @@ WITH RECURSIVE d AS (
 )
 SELECT doc_id, source, CAST(n // 16 AS BIGINT) AS block, CAST((n // 16) // parts * period + s.slot AS BIGINT) AS slot,
   CAST(((n // 16) // parts * period + s.slot) * 16 + n % 16 AS BIGINT) AS position, parts / period AS weight
-FROM ranked JOIN p USING (key) CROSS JOIN a JOIN slots s ON s.i = p.i AND s.turn = (n // 16) % parts
+FROM (SELECT ranked.doc_id, ranked.source, ranked.n, p.i, p.parts FROM ranked JOIN p USING (key)) JOIN a ON true JOIN slots s USING (i) WHERE s.turn = (n // 16) % parts
 """
 
 TOP_K = """

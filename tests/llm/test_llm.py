@@ -92,20 +92,44 @@ def test_mixing_edges(spark):
     assert mixing.mix(empty(docs)).collect() == []
 
 
-def test_mixing_keeps_within_a_block_of_its_targets(spark):
-    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, "b").otherwise("c").alias("source"))
-    weights = {"hot": 0.2, "b": 0.5, "c": 0.3}
-    rows = mixing.mix(docs, weights=weights, block=4).collect()
-    share = {r["row"]["source"]: r["weight"] for r in rows}
-    assert all(abs(share[s] - w) < 0.005 for s, w in weights.items())
+def deviations(rows, targets, block):
+    """The largest difference between blocks had and blocks due, in any prefix until a source runs out."""
     slots = {}
     for r in rows:
         assert slots.setdefault(r["slot"], r["row"]["source"]) == r["row"]["source"]
-    ends = min(max(r["slot"] for r in rows if r["row"]["source"] == s) for s in weights)
-    had = Counter()
+    ends = min(max(r["slot"] for r in rows if r["row"]["source"] == s) for s, w in targets.items() if w)
+    had, most = Counter(), 0
     for t in range(ends):
         had[slots[t]] += 1
-        assert all(abs(had[s] - share[s] * (t + 1)) < 1 for s in share)
+        most = max(most, *(abs(had[s] - w * (t + 1)) for s, w in targets.items()))
+    return most
+
+
+def test_mixing_keeps_within_a_block_of_its_targets(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, "b").otherwise("c").alias("source"))
+    for weights in ({"hot": 0.2, "b": 0.5, "c": 0.3}, {"hot": 0.9, "b": 0.0111, "c": 0.0889}, {"hot": 1, "b": 2, "c": 4}):
+        rows = mixing.mix(docs, weights=weights, block=1).collect()
+        assert Counter(r["row"]["doc_id"] for r in rows) == Counter(range(4000)) and len({r["position"] for r in rows}) == 4000
+        assert deviations(rows, {s: w / sum(weights.values()) for s, w in weights.items()}, 1) < 1
+    rows = mixing.mix(docs, block=2, period=40).collect()  # several periods
+    assert deviations(rows, {r["row"]["source"]: r["weight"] for r in rows}, 2) < 1 and sum({r["row"]["source"]: r["weight"] for r in rows}.values()) == 1
+
+
+def test_mixing_of_few_parts_and_none(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 10, "no").when(F.col("id") % 2 == 0, "x").otherwise("y").alias("source"))
+    rows = sorted(mixing.mix(docs, weights={"x": 0.5, "y": 0.5, "no": 0}, block=4).collect(), key=lambda r: r["position"])
+    assert len(rows) == 300 and {r["row"]["source"] for r in rows[-10:]} == {"no"} and {r["slot"] for r in rows[-10:]} == {None}
+    with pytest.raises(ValueError, match="fewer digits"):
+        mixing.mix(docs, weights={"x": 0.123457, "y": 0.876541})
+    many = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"))
+    share = {r["row"]["source"]: r["weight"] for r in mixing.mix(many, weights={"s0": 0.5} | {f"s{i}": 0.001 for i in range(1, 500)}).collect()}
+    assert abs(share["s0"] - 0.5 / 0.999) < 1e-12
+
+
+def test_mixing_of_repeated_ids_is_the_same_each_time(spark):
+    rows = [(i % 5, f"text {i}", "en", "ab"[i % 2], i, "", "") for i in range(60)]
+    first, second = (sorted((r["position"], r["row"]["n_chars"]) for r in mixing.mix(spark.createDataFrame(x, DOCS), block=2).collect()) for x in (rows, rows[::-1]))
+    assert first == second
 
 
 def test_mixing_refuses_too_many_sources(spark):
