@@ -177,15 +177,42 @@ def test_licenses(spark):
 
 def test_licenses_wrapped_and_inline():
     scanner = licenses.Scanner(licenses.TEMPLATES)
-    for name in ("GPL-header", "ISC", "MPL-2.0", "Apache-2.0-header"):
-        wording = licenses.TEMPLATES[name]
-        for width in (40, 60, 72):
-            lines = textwrap.wrap(wording, width)
-            found = scanner.scan("\n".join(["int x", "foo bar", *lines, "other words"]))
-            assert [f[:3] for f in found] == [(2, 1 + len(lines), name)]
+    for name, wording in licenses.TEMPLATES.items():
+        for width in (40, 60, 70, 80):
+            for sign in ("", "# ", "// ", " * "):
+                lines = [sign + x for x in textwrap.wrap(wording, width)]
+                found = scanner.scan("\n".join(["int x", "foo bar", *lines, "other words"]))
+                assert [f[:3] for f in found] == [(2, 1 + len(lines), name)], (name, width, sign)
+            around = textwrap.wrap(f"Some words stand before it. {wording} And more words stand behind it.", width)
+            assert [f[2] for f in scanner.scan("\n".join(around))] == [name]
         assert [f[:3] for f in scanner.scan(f"Some words stand before it. {wording} And more words stand behind it.")] == [(0, 0, name)]
 
 
+def test_licenses_by_brute_force():
+    """Against every window of every template's length, with words changed, put in and left out."""
+    templates = {k: v for k, v in licenses.TEMPLATES.items() if k in ("GPL-header", "ISC", "MIT", "zlib", "MPL-2.0")}
+    scanner, rng = licenses.Scanner(templates), np.random.default_rng(3)
+    for _ in range(60):
+        name = str(rng.choice(sorted(templates)))
+        block = licenses.words(templates[name])
+        for _ in range(int(rng.integers(0, 2 + len(block) // 8))):
+            at = int(rng.integers(0, len(block)))
+            block[at : at + 1] = [[], ["other"], ["put", block[at]]][int(rng.integers(0, 3))]
+        text = [f"w{i}" for i in range(int(rng.integers(0, 30)))] + block + [f"x{i}" for i in range(int(rng.integers(0, 30)))]
+        n, found = len(licenses.words(templates[name])), set()
+        for length in range(n - n // 10, n + n // 10 + 1):
+            for i in range(max(1, len(text) - length + 1)):
+                if len(set(text[i : i + length]) & set(block)) > 0.7 * len(set(block)):
+                    found |= {f[1] for f in scanner.confirmed(text[i : i + length])}
+        got = [f[2] for f in scanner.scan(" ".join(text))]
+        assert set(got) == found and len(got) <= 1, (name, text)
+
+
+def test_licenses_in_a_very_long_text():
+    text = "word under the license " * 200_000 + "\n" + licenses.TEMPLATES["ISC"]
+    assert [f[2] for f in licenses.Scanner(licenses.TEMPLATES).scan(text)] == ["ISC"]
+
+
 def test_licenses_find_every_planted_line(spark, tables):
     lines = tables["documents"].where(F.col("text").rlike(r"(?:Released|Licensed|licensed) under"))
     assert licenses.scan(tables["documents"]).select("doc_id").distinct().count() == lines.count() > 0
