@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .pii import KINDS, WINDOW
+from .pii import IBAN, KINDS, WINDOW
 
 MIXING = """
 WITH RECURSIVE d AS (
@@ -51,7 +51,7 @@ _PLAIN = {
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    "iban": rf"\b{IBAN}\b",
 }
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({_DIGITS})[i] AS INT) ELSE CAST(reverse({_DIGITS})[i] AS INT) * 2 // 10 + CAST(reverse({_DIGITS})[i] AS INT) * 2 % 10 END)) % 10 = 0"
@@ -79,10 +79,10 @@ def _pii() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 x AS ({matched}),
-e AS (SELECT rid, t, kind, ord, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p FROM x),
+e AS (SELECT rid, t, kind, ord, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, unnest(ps[2:len(ms) + 1]) AS after FROM x),
 s AS (SELECT *, sum(length(p)) OVER w + sum(length(m)) OVER w - length(m) AS a FROM e WINDOW w AS (PARTITION BY rid, kind ORDER BY i)),
 f AS (SELECT rid, kind, ord, CAST(a AS BIGINT) AS a, CAST(a + length(m) AS BIGINT) AS b,
-  lower(substr(t, greatest(a - {WINDOW}, 0)::BIGINT + 1, (a - greatest(a - {WINDOW}, 0))::BIGINT) || ' ' || substr(t, (a + length(m))::BIGINT + 1, {WINDOW})) AS around FROM s WHERE {fine}),
+  lower(right(p, {WINDOW}) || ' ' || left(after, {WINDOW})) AS around FROM s WHERE {fine}),
 g AS (SELECT rid, kind, ord, a, kind || ':' || a || ':' || b AS span, printf('%.2f', {score}) AS score FROM f),
 o AS (SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
   count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'iban') AS n_iban, string_agg(span, ',' ORDER BY ord, a) FILTER (kind <> 'iban') AS base,

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import textwrap
+import time
 from collections import Counter
 from functools import reduce
 from itertools import combinations
@@ -375,6 +376,31 @@ def test_pii(spark):
     assert pii.detect(empty(docs)).collect() == []
 
 
+def test_pii_ibans_before_other_words(spark):
+    texts = ["to ES91 2100 0418 4502 0005 1332 BIC X", "ES9121000418450200051332 EUR", "BE68 5390 0754 7034 2024", "at version 1.2.3.4 of it", "XX12 3456 7890 1234 5678"]
+    rows = [r["text"] for r in pii.redact(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    assert rows == ["to [IBAN] BIC X", "[IBAN] EUR", "[IBAN] 2024", *texts[3:]]
+
+
+def test_pii_spans_that_overlap(spark):
+    text = "see 10.0.0.1.10.0.0.2@a.org and +1 4111 1111 1111 1111, a@b.de,c@d.de " + "é" * 5000 + " x@y.zz end"
+    row = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["text"] == "see [IP] and +1 [CARD], [EMAIL],[EMAIL] " + "é" * 5000 + " [EMAIL] end"
+
+
+def test_pii_time_follows_the_number_of_matches(spark):
+    n = 100_000
+    text = " ".join(f"é{i}@host{i}.org 10.0.{i % 300}.7" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.monotonic()
+    row = pii.detect(docs).first()
+    assert row["n_email"] == n and row["n_ip"] == sum(i % 300 < 256 for i in range(n))
+    start = text.index("99999@")
+    assert f"email:{start}:{start + len('99999@host99999.org')}," in row["spans"]
+    assert pii.redact(docs).first()["text"] == re.sub(r"\d+@host\d+\.org", "[EMAIL]", re.sub(r"10\.0\.(\d+)\.7", lambda m: "[IP]" if int(m[1]) < 256 else m[0], text))
+    assert time.monotonic() - began < 120
+
+
 def test_pii_patterns_like_the_plain_ones(spark, tables):
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     rng = np.random.default_rng(4)
