@@ -32,6 +32,8 @@ from ._components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 _CHUNK = 1 << 20
+#: Bytes of short texts whose shingles are made together, and texts that one batch of marks is made of.
+_GROUP, _BATCH = 1 << 17, 512
 
 
 def _chunks(data: bytes) -> Iterator[bytes]:
@@ -197,10 +199,10 @@ def sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     group, size = [], 0
     for text in texts:
         data = (text or "").encode("utf-8", "surrogatepass")
-        if size + len(data) > _CHUNK:
+        if size + len(data) > _GROUP:
             yield from _short(group) if group else ()
             group, size = [], 0
-        if len(data) > _CHUNK:
+        if len(data) > _GROUP:
             yield _long(data)
         else:
             group.append(data)
@@ -225,12 +227,12 @@ def counted(rows: DataFrame) -> np.ndarray:
     """COUNTERS sums over rows (text): how many texts hold a shingle, and what else falls on its counter. Tasks add up their own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(COUNTERS), [], 0
+        total, held, size = np.zeros(COUNTERS, np.int64), [], 0
         for batch in batches:
             for h in sets(text.as_py() for text in batch.column(0)):
                 held.append(_counter(h))
                 size += len(held[-1])
-                if size > COUNTERS:
+                if size > COUNTERS // 4:
                     total += np.bincount(np.concatenate(held), minlength=COUNTERS)
                     held, size = [], 0
         if held:
@@ -239,7 +241,7 @@ def counted(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(slices, pa.binary())], ["key", "data"])
 
     sums = added(rows.select("text").mapInArrow(run, "key int, data binary"))
-    return np.concatenate([sums[i] for i in range(_SLICES)]) if sums else np.zeros(COUNTERS)
+    return np.concatenate([sums[i] for i in range(_SLICES)]).astype(np.float32) if sums else np.zeros(COUNTERS, np.float32)
 
 
 def prefix(h: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndarray:
@@ -270,7 +272,7 @@ def signed(rows: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sent.value, set()
-        for batch in batches:
+        for batch in (x.slice(i, _BATCH) for x in batches for i in range(0, x.num_rows, _BATCH)):
             texts = batch.column(2).to_pylist()
             digests, sizes, keys, bits = list(map(_digest, texts)), [], [], []
             for digest, h in zip(digests, sets(texts)):

@@ -39,7 +39,7 @@ EXAMPLES, CANDIDATES, TERMS, NEIGHBOURS, PRIOR = 8192, 4096, 512, 15, 0.25
 LEAST_CHI2, LEAST_ODDS, ROUNDS = 60.0, 5.0, 6
 #: How often a term must occur for each of its dimensions: in place of a weight by frequency, which a vector of one term would lose.
 LEVELS = (1, 2, 3, 5)
-_BLOCK, _HELD_OUT, _FLUSH = 64, 0, 400_000
+_BLOCK, _HELD_OUT, _FLUSH = 64, 0, 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
