@@ -11,6 +11,7 @@ Rows with a null or letterless text, or a null language, teach nothing. Repeated
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,19 +28,25 @@ _FLUSH = 1_000_000
 
 
 def _letters() -> np.ndarray:
-    """Marks the UTF-16 units that count as letters; halves of surrogate pairs do."""
+    """Marks the UTF-16 units that count as letters; halves of surrogate pairs do, as _grams() keeps them for letters alone."""
     table = np.fromiter((chr(i).isalpha() for i in range(0x10000)), dtype=bool, count=0x10000)
     table[0xD800:0xE000] = True
     return table
 
 
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
 def _has_letter(text: str) -> bool:
     return text.isalpha() or any(map(str.isalpha, text))
 
 
 def _grams(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the distinct n-grams, ascending, and their counts."""
-    units = np.frombuffer(text.lower().encode("utf-16-le", "surrogatepass"), dtype="<u2")
+    plain = text.lower()
+    if not plain.isascii() and _BEYOND.search(plain):  # what is no letter, such as emoji, is a boundary like any other
+        plain = _BEYOND.sub(lambda m: m[0] if m[0].isalpha() else " ", plain)
+    units = np.frombuffer(plain.encode("utf-16-le", "surrogatepass"), dtype="<u2")
     units = np.where(letters[units], units, 0).astype(np.int64)
     units = np.concatenate(([0], units, [0]))
     keep = np.ones(len(units), dtype=bool)
