@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, fold
+from ._common import added, checkpoint, fold, packed
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "distinct_words", "top_word", "same_as_before", "distinct_lines", "line_length",
@@ -108,13 +108,10 @@ def fit(train: DataFrame) -> dict:
             if len(batch):
                 z = features(np.vstack(batch["x"].to_numpy()))
                 a += z.T @ np.hstack([z, batch["y"].to_numpy()[:, None]])
-        yield pd.DataFrame({"i": range(size), "a": list(a)})
+        yield pd.DataFrame({"key": range(size), "data": list(map(packed, a))})
 
-    def added(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": batch["i"][:1], "a": [np.sum(np.vstack(batch["a"].to_numpy()), axis=0)]})
-
-    parts = train.where(F.col("fold") != _CALIBRATION).select("x", "y").mapInPandas(sums, "i int, a array<double>")
-    a = np.vstack([r["a"] for r in sorted(parts.groupBy("i").applyInPandas(added, "i int, a array<double>").collect())])
+    total = added(train.where(F.col("fold") != _CALIBRATION).select("x", "y").mapInPandas(sums, "key int, data binary"))
+    a = np.vstack([total[i] for i in range(size)])
     n = max(1.0, a[-1, -2])
     weights = np.linalg.solve(a[:, :-1] + RIDGE * n * np.eye(size), a[:, -1])
     model = flat | {"mean": mean, "deviation": deviation, "weights": weights}

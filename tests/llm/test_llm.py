@@ -65,7 +65,7 @@ def test_language_edges(spark):
 
 
 def test_language_profiles_by_brute_force(spark):
-    texts = [("Ab, ab c", "x"), ("cd CD é", "y"), ("ab cd", "x")]
+    texts = [("Ab, ab\U0001f600c", "x"), ("cd CD é", "y"), ("ab cd", "x")]
     model = langid.fit(spark.createDataFrame(texts, "text string, lang string"))
     for lang in ("x", "y"):
         counts = Counter()
@@ -160,6 +160,23 @@ def test_quality_statistics_and_isotonic():
     assert np.all(np.diff(height) > 0) and np.isclose(np.interp(x, at, height).min(), height.min())
 
 
+def test_quality_fit_by_brute_force(spark):
+    """Normal equations over all rows at once, and isotonic steps over all bins."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i % 5), rng.normal(size=len(quality.STATISTICS)).tolist(), float(rng.random() < 0.4)) for i in range(900)]
+    model = quality.fit(spark.createDataFrame(rows, "fold int, x array<double>, y double").repartition(5))
+    x, y, fold = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[0] for r in rows])
+    z = quality._maps(x.mean(axis=0), x.std(axis=0))(x)
+    own = fold != quality._CALIBRATION
+    weights = np.linalg.solve(z[own].T @ z[own] + quality.RIDGE * own.sum() * np.eye(z.shape[1]), z[own].T @ y[own])
+    assert np.allclose(model["weights"], weights)
+    raw = (z @ weights)[~own]
+    bins = np.floor(np.clip(raw, -0.5, 1.5) * quality.BINS / 2)
+    kinds = np.unique(bins)
+    at, height = quality.isotonic(*(np.array([f(bins == b) for b in kinds]) for f in (lambda m: raw[m].mean(), lambda m: float(m.sum()), lambda m: y[~own][m].sum())))
+    assert np.allclose(model["at"], at) and np.allclose(model["height"], height)
+
+
 def test_quality_held_out(spark, tables):
     rows = quality.classify(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), known := spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).join(known, "doc_id").where("held_out").collect()
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.93
