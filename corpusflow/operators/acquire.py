@@ -68,8 +68,9 @@ def fetched(entries: DataFrame, key: str, urls: str, fetch: Callable[[str], byte
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [one(u) for u in batch[urls]]
-            yield pd.DataFrame({key: batch[key], "url": [g[0] for g in got], "content": [g[1] for g in got]})
+            for k, us in zip(batch[key], batch[urls]):  # a document can be large: it is handed over before the next is fetched
+                url, content = one(us)
+                yield pd.DataFrame({key: [k], "url": [url], "content": [content]})
 
     return entries.select(key, urls).repartition(key).mapInPandas(run, f"{key} {kind}, url string, content binary")
 
@@ -90,14 +91,12 @@ def pages_of(documents: DataFrame, key: str, content: str, read: Callable[[bytes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for k, data in zip(batch[key], batch[content]):
                 try:
                     texts = [t.strip() for t in read(data)]
                 except Exception:
                     continue
-                for i, t in enumerate(texts):
-                    rows.append((k, i, t, ocr(data, i) if ocr and len(t) < least else None))
-            yield pd.DataFrame(rows, columns=[key, "page", "text", "ocr"])
+                rows = [(k, i, t, ocr(data, i) if ocr and len(t) < least else None) for i, t in enumerate(texts)]
+                yield pd.DataFrame(rows, columns=[key, "page", "text", "ocr"])
 
     return documents.select(key, content).mapInPandas(run, f"{key} {kind}, page int, text string, ocr string")

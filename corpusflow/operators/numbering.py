@@ -10,18 +10,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only in local mode, as in tests, a temporary one may take its place."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="corpusflow-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder of spark.checkpoint.dir, or, where that is unset, in a temporary one."""
+    """Cut lineage in the shared folder of spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusflow-checkpoint-"))
+        sc.setCheckpointDir(_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir, which all executors see; below a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusflow-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder's path below spark.checkpoint.dir, which all executors see."""
+    return f"{_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def number(df: DataFrame, order: list[str], keys: list[str] | None = None, into: str = "n") -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import or_empty, strip
+from .numbering import number
 
-IGNORED, MOST_TOKENS, LEAST_TOKENS, MULTIPLE = -100, 2048, 4, 8
+IGNORED, MOST_TOKENS, LEAST_TOKENS, MULTIPLE, BATCH = -100, 2048, 4, 8, 16
 #: Fields that every sample must have.
 REQUIRED = ("sample_id", "source_id", "mission_name", "organization", "aspect", "difficulty", "chain_id", "messages")
 
@@ -78,6 +79,12 @@ def lengths(rows: DataFrame, ids: str = "input_ids") -> DataFrame:
     return rows.agg(F.min(F.size(ids)).alias("min_tokens"), F.max(F.size(ids)).alias("max_tokens"), F.round(F.avg(F.size(ids)), 0).alias("mean_tokens"))
 
 
+def batched(rows: DataFrame, id_col: str, size: int = BATCH) -> DataFrame:
+    """rows with `batch`: `size` rows of about equal length each, the last one fewer."""
+    numbered = number(rows.withColumn("__length", F.size("input_ids")), ["__length", id_col], into="__number")
+    return numbered.withColumn("batch", F.floor((F.col("__number") - 1) / size)).drop("__length", "__number")
+
+
 def padded(rows: DataFrame, batch: str, pad: int = 0, multiple: int = MULTIPLE) -> DataFrame:
     """Each batch's rows brought to its longest length, rounded up to a multiple."""
     longest = F.max(F.size("input_ids")).over(Window.partitionBy(batch))

@@ -163,13 +163,24 @@ def anti_join_done(spark, sf_dir):
 LINKS_SQL = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href, unnest(range(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)))) AS rank FROM pages"
 
 
-@query(f"SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN rank % 3 = 0 THEN 0 ELSE 1 END, rank) AS place FROM ({LINKS_SQL}) WHERE rank < 15 AND (rank % 3 = 0 OR rank <= 6)")
+RESULTS_SQL = f"SELECT page_id, rank, 'http://h' || href || CASE rank % 3 WHEN 0 THEN '.pdf' ELSE '' END AS url FROM ({LINKS_SQL})"
+
+
+def _results(spark, sf_dir) -> DataFrame:
+    """Search results made of a page's links: each third is a document."""
+    found = read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("rank", "href"))
+    return found.select("page_id", "rank", F.concat(F.lit("http://h"), "href", F.when(F.col("rank") % 3 == 0, ".pdf").otherwise("")).alias("url"))
+
+
+@query(f"""WITH r AS ({RESULTS_SQL}), s AS (SELECT page_id, rank, url || '.pdf' AS url FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank) AS n FROM r WHERE rank < 15 AND rank % 3 <> 0) WHERE n <= 6),
+d AS (SELECT page_id, 0 AS late, rank, url FROM r WHERE rank < 15 AND rank % 3 = 0)
+SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY late, rank, url) AS place FROM (
+SELECT * FROM d UNION ALL SELECT page_id, 1, rank, url FROM s WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.page_id = s.page_id AND d.url = s.url))""")
 def candidate_order(spark, sf_dir):
-    found = read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("rank", "url")).where(F.col("rank") < acquire.RESULTS)
-    direct = found.where("rank % 3 = 0").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"]).alias("a"))
-    late = found.where(f"rank % 3 <> 0 and rank <= {acquire.SNIFFED}").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"]).alias("b"))
-    both = direct.join(late, "page_id", "full").select("page_id", F.concat(F.coalesce("a", F.array().cast("array<string>")), F.coalesce("b", F.array().cast("array<string>"))).alias("urls"))
-    return both.select("page_id", F.posexplode("urls").alias("p", "href")).select("page_id", "href", (F.col("p") + 1).cast("long").alias("place"))
+    results_ = _results(spark, sf_dir)
+    sniffed = acquire.to_sniff(results_, "page_id").select("page_id", "rank", F.concat("url", F.lit(".pdf")).alias("url"))
+    found = acquire.candidates(results_, sniffed, "page_id")
+    return found.select("page_id", F.posexplode("urls").alias("p", "url")).select("page_id", "url", (F.col("p") + 1).cast("long").alias("place"))
 
 
 URL_SQL = "url || CASE page_id % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '/pdf/' WHEN 2 THEN '?format=pdf' WHEN 3 THEN '?a=1&type=PDF' ELSE '/pdf' END"
@@ -267,10 +278,10 @@ def method_reduce_unlabelled(spark, sf_dir):
     return _methods(spark, sf_dir, False)
 
 
-@query("SELECT conv_id, count(*) AS n_blocks, left(string_agg(text, chr(10) ORDER BY turn), 2000) AS text FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) AS n_blocks, left(string_agg(text, chr(10) ORDER BY turn), 60000) AS text FROM conversations GROUP BY conv_id")
 def full_text_join(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("pages"))
-    return turns.select("conv_id", F.size("pages").cast("long").alias("n_blocks"), T.head(structure.full_text(F.col("pages")), 2000).alias("text"))
+    return turns.select("conv_id", F.size("pages").cast("long").alias("n_blocks"), T.head(structure.full_text(F.col("pages")), structure.STORED).alias("text"))
 
 
 @query("""SELECT c_custkey AS key, ctx AS context, length(ctx) >= 50 AS kept FROM (SELECT c_custkey, concat_ws(chr(10), 'Mission: ' || c_name, 'Objective: ' || nullif(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END, ''),
@@ -288,11 +299,11 @@ def slug_ids(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", source.alias("source_id"), T.chain_id(source, F.col("p_size") * 40).alias("chain_id"), T.sample_id(F.col("p_partkey") * 999).alias("sample_id"))
 
 
-@query("SELECT doc_id, md5(text) AS checksum, CASE doc_id % 4 WHEN 0 THEN trim(text, ' ' || chr(10)) WHEN 3 THEN trim(text, ' ' || chr(10)) ELSE text END AS text FROM (SELECT doc_id, left(text, 200) AS text FROM documents)")
+@query("SELECT doc_id, md5(text) AS checksum, CASE doc_id % 4 WHEN 0 THEN trim(text, ' ' || chr(10)) WHEN 3 THEN trim(text, ' ' || chr(10)) ELSE text END AS text FROM documents")
 def think_strip(spark, sf_dir):
-    head = read(spark, sf_dir, "documents").select("doc_id", T.head(F.col("text"), 200).alias("t"))
+    whole = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     wrapped = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("<think>a\n b</think> "), "t")).when(F.col("doc_id") % 4 == 3, F.concat(F.lit("x<think></think>"), "t")).otherwise(F.col("t"))
-    return head.select("doc_id", F.md5("t").alias("checksum"), T.after_reasoning(wrapped).alias("text"))
+    return whole.select("doc_id", F.md5("t").alias("checksum"), T.after_reasoning(wrapped).alias("text"))
 
 
 # Chains and samples
@@ -367,10 +378,10 @@ def report_counts(spark, sf_dir):
     return relational.report(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id")
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority LIKE '1%') AS ok_document, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority NOT LIKE '1%') AS ok_other, count(*) FILTER (o_orderstatus <> 'F') AS failed FROM orders")
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority LIKE '1%') AS ok_document, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority NOT LIKE '1%') AS ok_other, count(*) FILTER (o_orderstatus <> 'F') AS failed, string_agg(lpad(CAST(o_orderkey AS VARCHAR), 9, '0'), ',' ORDER BY o_orderkey) FILTER (o_orderstatus <> 'F') AS failed_names FROM orders")
 def run_summary(spark, sf_dir):
-    status = read(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", "ok").otherwise("failed").alias("status"), F.when(F.startswith("o_orderpriority", F.lit("1")), "pdf").otherwise("webpage").alias("source"), F.lit(None).cast("string").alias("name"))
-    return relational.run_summary(status).drop("failed_names")
+    status = read(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", "ok").otherwise("failed").alias("status"), F.when(F.startswith("o_orderpriority", F.lit("1")), "pdf").otherwise("webpage").alias("source"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("name"))
+    return relational.run_summary(status).withColumn("failed_names", F.array_join("failed_names", ","))
 
 
 @query("SELECT p_brand, string_agg(p_name, '|' ORDER BY p_partkey) AS names FROM part GROUP BY p_brand")
@@ -425,18 +436,21 @@ def seq_len_stats(spark, sf_dir):
     return prepare.lengths(prepare.examples(conversations(spark, sf_dir), "conv_id"))
 
 
-@query(f"WITH {_TOKENS} SELECT conv_id % 16 AS batch, CAST(ceil(max(n_tokens) / 8) * 8 AS INTEGER) AS padded_len, count(*) AS n, CAST(sum(ceil(m / 8) * 8 - n_tokens) AS BIGINT) AS n_pad FROM (SELECT *, max(n_tokens) OVER (PARTITION BY conv_id % 16) AS m FROM x WHERE n_masked < n_tokens) GROUP BY conv_id % 16")
+@query(f"WITH {_TOKENS}, b AS (SELECT *, (row_number() OVER (ORDER BY n_tokens, conv_id) - 1) // 16 AS batch FROM x WHERE n_masked < n_tokens) SELECT batch, CAST(ceil(max(n_tokens) / 8) * 8 AS INTEGER) AS padded_len, count(*) AS n, CAST(count(*) * ceil(max(n_tokens) / 8) * 8 - sum(n_tokens) AS BIGINT) AS n_pad FROM b GROUP BY batch")
 def pad_batches(spark, sf_dir):
-    rows = prepare.examples(conversations(spark, sf_dir), "conv_id").withColumn("batch", F.col("conv_id") % 16)
-    rows = prepare.padded(rows, "batch")
+    rows = prepare.padded(prepare.batched(prepare.examples(conversations(spark, sf_dir), "conv_id"), "conv_id"), "batch")
     pads = F.size(F.filter("attention_mask", lambda x: x == 0)).cast("long")
     return rows.groupBy("batch").agg(F.max(F.size("input_ids")).alias("padded_len"), F.count("*").alias("n"), F.sum(pads).alias("n_pad"))
 
 
-# Pages, generation and incremental runs: no SQL says these
+# Pages, generation and incremental runs
 
 
-@query()
+_ANCHORS = """SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS text,
+unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)))) AS pos FROM pages"""
+
+
+@query(f"SELECT page_id, CAST(pos AS INTEGER) AS pos, href, trim(text) AS text FROM ({_ANCHORS})")
 def html_links(spark, sf_dir):
     return html.html_links(read(spark, sf_dir, "pages"), "page_id")
 
@@ -446,12 +460,14 @@ def html_blocks(spark, sf_dir):
     return html.html_blocks(read(spark, sf_dir, "pages"), "page_id").where(F.length("text") > 30)
 
 
-@query()
+@query(f"SELECT page_id, CAST(pos AS INTEGER) AS pos, trim(text) AS name, href FROM ({_ANCHORS}) WHERE starts_with(href, '/') AND length(trim(text)) >= 3 QUALIFY row_number() OVER (PARTITION BY page_id, lower(trim(text)) ORDER BY pos) = 1")
 def page_entries(spark, sf_dir):
-    return discover.listed(read(spark, sf_dir, "pages"), "page_id", r"(?i)^https?://")
+    """The pages' lists as paragraphs, which is where entries are looked for."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<(/?)li>", "<$1p>").alias("html"))
+    return discover.listed(pages, "page_id", r"^/")
 
 
-@query()
+@query(f"SELECT page_id, CAST(pos AS INTEGER) AS pos, trim(text) AS name, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://example.org' || href END AS source_url, '' AS description, '' AS pillar FROM ({_ANCHORS}) WHERE (contains(href, '/') OR contains(lower(href), 'http')) AND length(trim(text)) >= 2 QUALIFY row_number() OVER (PARTITION BY page_id, lower(trim(text)) ORDER BY pos) = 1")
 def page_cards(spark, sf_dir):
     return discover.carded(read(spark, sf_dir, "pages"), "page_id", "https://example.org", sections=r"(?i)http|/")
 
@@ -462,13 +478,15 @@ def page_categories(spark, sf_dir):
     return discover.in_categories(pages, "page_id", "category", "url")
 
 
-@query()
+@query(f"""SELECT source AS organisation, 'M' || doc_id AS mission_name, CAST(10 AS INTEGER) AS total_chains, {sql_text(generate.ASPECTS[0])} AS first_aspect, {sql_text(generate.ASPECTS[9])} AS last_aspect
+FROM documents WHERE length('Mission: ' || coalesce(source, 'Unknown') || CASE WHEN length(text) > 50 THEN chr(10) || 'Details:' || chr(10) || trim(left(text, 2000), ' ' || chr(10)) ELSE '' END) >= 50""")
 def generate_stub(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.col("source").alias("organisation"), F.concat(F.lit("M"), F.col("doc_id").cast("string")).alias("mission_name"), F.lit("").alias("source_url"), F.lit("").alias("scraped_at"), structure.context(F.col("source"), {}, F.col("text")).alias("context"))
-    return generate.chains(docs, aspects=generate.ASPECTS[:2]).select("organisation", "mission_name", "total_chains", F.get("qa_chains", F.lit(0))["aspect"].alias("first_aspect"))
+    aspect = lambda i: F.get("qa_chains", F.lit(i))["aspect"]
+    return generate.chains(docs).select("organisation", "mission_name", "total_chains", aspect(0).alias("first_aspect"), aspect(9).alias("last_aspect"))
 
 
-@query()
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
 def resume_stream(spark, sf_dir):
     """New events by two incremental runs, of which the second finds nothing."""
     base = shared_folder(spark)

@@ -106,13 +106,12 @@ def dataset(results: DataFrame, pos: str = "pos") -> tuple[DataFrame, DataFrame,
     return ordered, assigned, samples.accounting(results, pos)
 
 
-def training(samples_: DataFrame, tokenizer: Callable[[pd.Series], list[list[int]]] = prepare.word_tokens, batch: int = 16) -> DataFrame:
-    """Padded batches of examples of about equal length; an error if no sample can be used."""
+def training(samples_: DataFrame, tokenizer: Callable[[pd.Series], list[list[int]]] = prepare.word_tokens, batch: int = prepare.BATCH) -> DataFrame:
+    """Padded batches of `batch` examples of about equal length; an error if no sample can be used."""
     rows = checkpoint(prepare.examples(samples_, "sample_id", tokenizer=tokenizer))
     if rows.isEmpty():
         raise ValueError("no usable sample")
-    numbered = rows.withColumn("batch", F.floor(F.size("input_ids") / 64) * 1_000_000 + F.pmod(F.xxhash64("sample_id"), F.lit(1_000_000 // batch)))
-    return prepare.padded(numbered, "batch")
+    return prepare.padded(prepare.batched(rows, "sample_id", batch), "batch")
 
 
 __all__ = ["Tools", "dataset", "generate_chains", "scrape", "training"]

@@ -1,4 +1,4 @@
-"""JSON stores, JSON lines and the like, read and written without a single-file bottleneck."""
+"""JSON stores, JSON lines and the like. Lines are read and written in parallel; a store that is one JSON value is read by one task, as a whole."""
 
 from __future__ import annotations
 

@@ -177,10 +177,6 @@ def html_headings(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return _rows(pages, key, html, "tag string, text string", headings)
 
 
-def absolute(base: str, href: str) -> str:
-    return href if href.startswith("http") else urljoin(base, href)
-
-
 def absolutised(rows: DataFrame, base: str, href: str = "href") -> DataFrame:
     """rows with `url`: href resolved against the column `base`."""
 
@@ -188,4 +184,6 @@ def absolutised(rows: DataFrame, base: str, href: str = "href") -> DataFrame:
     def run(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
         return pd.Series([urljoin(b or "", h or "") for b, h in zip(bases, hrefs)], dtype=object)
 
-    return rows.withColumn("url", run(F.col(base), F.col(href)))
+    # an absolute address without dots to resolve is left as it is
+    plain = F.col(href).rlike(r"^https?://[^/?#\s]+(?:/[A-Za-z0-9_~%-][A-Za-z0-9_.~%-]*)*/?$")
+    return rows.withColumn("url", F.when(plain, F.col(href)).otherwise(run(F.when(~F.coalesce(plain, F.lit(False)), F.col(base)), F.when(~F.coalesce(plain, F.lit(False)), F.col(href)))))

@@ -50,8 +50,10 @@ def fetch_pages(urls: DataFrame, url: str = "url", fetch: Callable[[str], tuple[
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = pd.DataFrame([one(u) for u in batch[url]], columns=["status", "content_type", "body", "error"], index=batch.index)
-            yield pd.concat([batch, got.astype(object)], axis=1)
+            for i in range(len(batch)):  # a body can be large: it is handed over before the next is fetched
+                row = batch.iloc[i : i + 1]
+                got = pd.DataFrame([one(row[url].iloc[0])], columns=["status", "content_type", "body", "error"], index=row.index)
+                yield pd.concat([row, got.astype(object)], axis=1)
 
     laid = urls.repartition(parallel, F.col(url)) if parallel else urls
     return laid.mapInPandas(run, schema)

@@ -57,3 +57,5 @@ def test_from_records_to_batches(spark):
     assert assigned.where("split = 'train'").select("mission_name").distinct().count() == 8 and list(counts.first()) == [8, 0, 0, 240]
     batches = runs.training(flat)
     assert batches.count() == 240 and batches.where(F.size("input_ids") % 8 != 0).isEmpty() and batches.groupBy("batch").agg(F.count_distinct(F.size("labels")).alias("n")).where("n > 1").isEmpty()
+    sizes = [r["count"] for r in runs.training(flat, batch=32).groupBy("batch").count().orderBy("batch").collect()]
+    assert sizes == [32] * 7 + [16]
