@@ -25,16 +25,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def search(rows: DataFrame, every: int, k: int, per_shard: int, build: Callable, find: Callable, score_type: str) -> DataFrame:
     """(query_id, rank, vec_id, score): k best of all rows for each row of `rows` (vec_id, v) whose id is divisible by `every`.
 
-    Rows are dealt to shards of about `per_shard` rows by a hash of id and vector; every query goes to every shard. A shard's rows come
+    Rows are dealt to shards of about `per_shard` rows by a hash of id and vector, one shard to a partition; every query goes to every shard. Of rows that
+    repeat a query's id the one with the least vector asks, so an id has one result; all of them stay candidates of others. A shard's rows come
     before its queries in one sorted partition, so a task holds one shard and a batch of queries: build(ids, matrix) makes the
     index of those of one length, find(index, query_ids, matrix) yields (query, ids, scores) with k entries at most, best first. Only those k are shuffled on.
     """
     n = rows.count()
     shards = max(1, -(-n // per_shard))
     one = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")).select("shard", F.size("v").alias("dim"), F.lit(0).alias("query"), "vec_id", "v")
-    queries = rows.where(F.col("vec_id") % every == 0)
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.size("v").alias("dim"), F.lit(1).alias("query"), "vec_id", "v")
-    laid = one.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "dim", "query", "vec_id")
+    laid = one.union(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "dim", "query", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, index, ids, parts = None, None, [], []

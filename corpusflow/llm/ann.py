@@ -10,7 +10,11 @@ inner product of the original vectors in double precision; if fewer than k pass,
 A shard's k best join those of the others, so recall stays the same whatever the number of rows, as a shard's size is fixed.
 
 Edge cases: vectors that are null, empty, zero or hold a null or non-finite component, or whose id is null, take no part; a
-vector of another length than the query's is no candidate; all rows of the query's id count as its own; ties go to the smaller id.
+vector of another length than the query's is no candidate; all rows of the query's id count as its own, and of several the one with the least
+vector asks; ties go to the smaller id.
+
+On vectors without clusters probing can't rule much out: where the k-th neighbour's cosine is 0.36, the radius that keeps the recall is nearly half
+of the bits, and the substrings' neighbours at that radius meet nearly every row. within() then saves the float ranking of what the codes rule out.
 """
 
 from __future__ import annotations
@@ -103,7 +107,7 @@ def find(index, queries: np.ndarray, vectors: np.ndarray, k: int = K):
         if len(at) < k:
             at = np.flatnonzero(ids != q)
         score = rows[at] @ v
-        if len(at) > 4 * k:  # all that reach the k-th score, then exactly
+        if len(at) > 4 * k:  # only those that reach the k-th score are sorted
             least = np.partition(score, len(score) - k)[len(score) - k]
             at, score = at[score >= least], score[score >= least]
         order = np.lexsort((ids[at], -score))[:k]

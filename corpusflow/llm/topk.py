@@ -8,7 +8,10 @@ equals the k-th score is still scored, as ties go to the smaller id; so the resu
 
 Edge cases: vectors that are null, empty or hold a null or non-finite component, or whose id is null, take no part; a vector of
 another length than the query's is no candidate; repeated rows are candidates each, but all rows of the query's id count
-as its own; fewer candidates than k give fewer rows. Scores beyond 64 bits raise an error.
+as its own, and of several the one with the least vector asks; fewer candidates than k give fewer rows. Scores beyond 64 bits raise an error.
+
+On vectors without clusters no block's bound falls below the k-th score, and all blocks are scored: exact, but no faster than a scan. Rows that
+lie in clusters are put in blocks of their own, and most blocks are left out.
 """
 
 from __future__ import annotations
@@ -67,6 +70,16 @@ def find(index, queries: np.ndarray, vectors: np.ndarray, k: int = K):
         yield q, best_id, best_score.astype(np.int64)
 
 
+def scored(index, vectors: np.ndarray, k: int = K) -> float:
+    """The share of blocks whose bound reaches the k-th score, that is of those that find() scores."""
+    _, whole, most, least = index
+    share = []
+    for v in np.floor(SCALE * vectors):
+        bound, score = most @ np.maximum(v, 0) + least @ np.minimum(v, 0), np.sort(whole @ v)
+        share.append(np.mean(bound >= score[-min(k, len(score))]))
+    return float(np.mean(share))
+
+
 def top(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", every: int = EVERY, k: int = K, per_shard: int = PER_SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score) of every row whose id is divisible by `every`, against all rows but itself."""
     return search(usable(vectors, id_col, vector), every, k, per_shard, build, lambda i, q, v: find(i, q, v, k), "long")

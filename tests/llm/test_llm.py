@@ -264,6 +264,37 @@ def test_top_k_over_shards(spark, tables):
     assert small == sorted(map(tuple, topk.top(tables["embeddings"]).collect()))
 
 
+def clustered(n, centres=40, spread=0.02, dim=32):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(centres, dim))[rng.integers(0, centres, n)] + spread * rng.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_blocks_of_clustered_vectors_are_left_out():
+    x = clustered(8000)
+    index = topk.build(np.arange(8000), x)
+    assert topk.scored(index, x[:50]) < 0.5
+    for q, ids, _ in topk.find(index, np.arange(20), x[:20]):
+        score = np.floor(1024 * x) @ np.floor(1024 * x[q])
+        score[q] = -np.inf
+        assert ids.tolist() == np.lexsort((np.arange(8000), -score))[:10].tolist()
+
+
+def test_probing_of_clustered_vectors_meets_few():
+    x = clustered(8000)
+    turn = ann.rotation(x)
+    index = ann.build(np.arange(8000), x, {32: (turn, 3)})
+    code = ann._bits(x[:50] @ turn)
+    met = [len(ann.within(index, c)) for c in code]
+    assert 0 < np.mean(met) < 0.2 * 8000
+
+
+def test_repeated_query_ids_have_one_result(spark):
+    rows = [(0, [1.0, 0.0], 1), (0, [0.0, 1.0], 1), (1, [1.0, 0.1], 1), (2, [0.1, 1.0], 1)]
+    got = [tuple(r)[:3] for r in topk.top(spark.createDataFrame(rows, EMBEDDINGS)).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 2), (0, 2, 1)]
+
+
 def test_hamming_ball_is_whole():
     rng = np.random.default_rng(5)
     rows = rng.normal(size=(3000, 32))
