@@ -3,7 +3,7 @@
 Examples are EXAMPLES labelled training rows at most, those whose ids have the smallest hashes (a documented bound; the fit,
 not the scoring, is bounded). Terms are the character n-grams of letters, n from 4 to 6 and whole words, with a blank for a word's ends, that
 a chi-squared test finds more often in toxic examples, by sequential covering, repeated without the words that
-hold kept terms until nothing passes; their TF-IDF vectors have unit length. The index keeps postings in
+hold kept terms until nothing passes, without a limit on terms or passes; their TF-IDF vectors have unit length. The index keeps postings in
 blocks of examples with each term's maximum per block. A query takes blocks by falling sums of its weights times these
 maxima, scores whole blocks through their postings, and stops when the next bound falls below the k-th cosine, so the k
 nearest are exact; ties go to the example with the smaller id.
@@ -34,9 +34,9 @@ from pyspark.sql import types as T
 from ._common import checkpoint, fold
 from .quality import isotonic
 
-EXAMPLES, CANDIDATES, TERMS, NEIGHBOURS, PRIOR = 8192, 4096, 512, 15, 0.25
+EXAMPLES, NEIGHBOURS, PRIOR = 8192, 15, 0.25
 #: Least chi-squared value, some seven toxic examples more than chance has, and least ratio of a term's odds to be in a toxic example to the base odds.
-LEAST_CHI2, LEAST_ODDS, ROUNDS = 60.0, 5.0, 6
+LEAST_CHI2, LEAST_ODDS = 60.0, 5.0
 #: How often a term must occur for each of its dimensions: in place of a weight by frequency, which a vector of one term would lose.
 LEVELS = (1, 2, 3, 5)
 _BLOCK, _HELD_OUT, _FLUSH = 64, 0, 150_000
@@ -50,8 +50,7 @@ def terms_of(text: str) -> set[str]:
         w = f" {w} "
         for n in range(4, 7):
             found.update(w[i : i + n] for i in range(len(w) - n + 1))
-        if len(w) < 40:
-            found.add(w)
+        found.add(w)
     return found
 
 
@@ -121,7 +120,7 @@ def chi_squared(n, y, all_n, all_y):
 
 def own_evidence(names: list[str], found: list[np.ndarray], toxic: np.ndarray) -> list[int]:
     """Terms by sequential covering: the one with the largest chi-squared value among the examples that hold no kept term, until none
-    passes the test or TERMS are kept. Of those within a fifth of the largest the longest is taken, so pieces that occur
+    passes the test. Of those within a fifth of the largest the longest is taken, so pieces that occur
     elsewhere by chance (`rthl` of ` worthless `) teach nothing, and neither does what stands beside another term."""
     all_n, all_y = float(len(toxic)), float(toxic.sum())
     where: list[list[int]] = [[] for _ in names]
@@ -132,7 +131,7 @@ def own_evidence(names: list[str], found: list[np.ndarray], toxic: np.ndarray) -
         for i in at.tolist():
             where[i].append(d)
     length, open_, kept = np.array([len(t) for t in names]), np.ones(len(toxic), dtype=bool), []
-    while len(kept) < TERMS:
+    while True:
         fine = (n > 0) & (n < all_n) & (y * (all_n - all_y) >= LEAST_ODDS * (n - y) * all_y)
         value = np.zeros(len(names))
         value[fine] = chi_squared(n[fine], y[fine], all_n, all_y)
@@ -192,7 +191,7 @@ def vote(nearest: list[tuple[float, int]], toxic: np.ndarray, base: float) -> fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", examples: int = EXAMPLES) -> dict:
-    """A model of plain arrays whose size is bounded by EXAMPLES, TERMS and the length of a vector."""
+    """A model of plain arrays whose size is bounded by EXAMPLES and the terms that pass the test on them."""
     known = labels.where(f"{id_col} is not null and {label} is not null and {label} in (0, 1)").where(fold(F.col(id_col), 5) != _HELD_OUT)
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(examples).collect()
@@ -240,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         n, y = F.col("n").cast("double"), F.col("y").cast("double")
         chi2 = chi_squared(n, y, all_n, all_y)
         picked = counts.where((F.col("term") != "") & (n < all_n) & (y * (all_n - all_y) >= LEAST_ODDS * (n - y) * all_y)).withColumn("chi2", chi2)
-        terms = picked.where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(CANDIDATES).select("term", "n").collect()
+        terms = picked.where(F.col("chi2") >= LEAST_CHI2).orderBy("term").select("term").collect()  # of EXAMPLES texts
     if not 0 < all_y < all_n or not terms:
         return model | {"base": all_y / all_n, "none": all_y / all_n}
     names = [r["term"] for r in terms]
@@ -257,13 +256,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         return texts.mapInPandas(run, f"id {kind}, toxic int, at array<int>, n array<double>").orderBy("id").collect()
 
     kept: list[str] = []
-    for _ in range(ROUNDS):
+    while True:  # a word that holds a kept term is left out of the next pass, so each pass keeps others, of finitely many
         rows = counted(names, kept)
         more = own_evidence(names, [np.array(r["at"], dtype=np.int64) for r in rows], np.array([r["toxic"] for r in rows]))
-        kept += [names[i] for i in more if names[i] not in kept]
-        if not more or len(kept) >= TERMS:
+        more = [names[i] for i in more if names[i] not in kept]
+        kept += more
+        if not more:
             break
-    names = kept[:TERMS]
+    names = kept
     if not names:
         return model | {"base": all_y / all_n, "none": all_y / all_n}
     rows = counted(names, [])

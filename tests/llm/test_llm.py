@@ -490,6 +490,14 @@ def test_toxicity_edges(spark):
     assert len(toxicity.classify(docs, labels(spark, [(1, 1, 1), (4, 1, 0), (6, 1, 0)])).collect()) == 8
 
 
+def test_toxicity_terms_without_limits():
+    word = "x" * 200
+    assert f" {word} " in toxicity.terms_of(word)
+    found = [np.array([i // 8]) for i in range(8 * 600)] + [np.empty(0, np.int64)] * 43_200
+    toxic_ = np.array([1] * (8 * 600) + [0] * 43_200)
+    assert sorted(toxicity.own_evidence([f"term{i:03}" for i in range(600)], found, toxic_)) == list(range(600))
+
+
 def test_nearest_examples_by_brute_force():
     rng = np.random.default_rng(8)
     vectors = []
