@@ -47,6 +47,12 @@ def merge_fields(rows: DataFrame, keys: list[str], order: list[str], fields: lis
     return rows.groupBy(*keys).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields])
 
 
+def saved(status: DataFrame, store: DataFrame, name: str = "name", category: str = "") -> DataFrame:
+    """Records of a keyed store (key, fields) for the entries of status that went well, by name or by `category::name`."""
+    key = F.concat_ws("::", category, name) if category else F.col(name)
+    return store.join(status.where(F.col("status") == "ok").select(key.alias("key")).distinct(), "key", "left_semi")
+
+
 def union_sources(sources: list[tuple[str, DataFrame]]) -> DataFrame:
     """Bag union in order, with `org` and `src_pos`; columns that a source lacks are null."""
     out = None

@@ -26,6 +26,7 @@ class Tools:
     fetch: Get
     read: Callable[[bytes], list[str]]
     ocr: Callable[[bytes, int], str] | None = None
+    peek: Get | None = None  #: fetches the start of a page, where links are looked for; without it `fetch` does
 
 
 def _body(fetch: Get) -> Callable[[str], bytes | None]:
@@ -52,7 +53,7 @@ def scrape(refs: DataFrame, org: str, style: str, tools: Tools, extra: tuple[str
     """
     results = checkpoint(search(refs.select(acquire.query(org, F.col("name")).alias("q")), "q", tools.ask, acquire.RESULTS))
     results = refs.select("name", acquire.query(org, F.col("name")).alias("q")).join(results, "q").select("name", "rank", "url")
-    sniffed = fetch_pages(acquire.to_sniff(results, "name"), fetch=tools.fetch).where("body is not null").select("name", "rank", F.col("url").alias("page"), acquire.sniff(F.col("body")).alias("html"))
+    sniffed = fetch_pages(acquire.to_sniff(results, "name"), fetch=tools.peek or tools.fetch).where("body is not null").select("name", "rank", F.col("url").alias("page"), acquire.sniff(F.col("body")).alias("html"))
     on_pages = html_links(sniffed.withColumn("k", F.concat_ws("\n", "name", "rank", "page")), "k").where(F.endswith(F.lower("href"), F.lit(".pdf")))
     first = on_pages.groupBy("k").agg(F.min_by("href", "pos").alias("href")).withColumn("p", F.split("k", "\n"))
     first = absolutised(first.select(F.get("p", F.lit(0)).alias("name"), F.get("p", F.lit(1)).cast("int").alias("rank"), F.get("p", F.lit(2)).alias("page"), "href"), "page").select("name", "rank", "url")

@@ -62,6 +62,21 @@ def write_lines(rows: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).json(path)
 
 
+def write_array(rows: DataFrame, path: str, by: list[str]) -> None:
+    """One file, in a folder, with all rows as one indented JSON list in the order of `by`, nulls explicit; no rows give an empty list.
+
+    For programs that read nothing else: one task sorts (on disk, if need be) and streams all rows. Large data go to write_lines().
+    """
+    keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(by)]
+    body = rows.select(F.lit(0).alias("__end"), *keys, F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
+    end = rows.sparkSession.range(1).select(F.lit(1).alias("__end"))
+    one = body.unionByName(end, allowMissingColumns=True).repartition(1).sortWithinPartitions("__end", *[f"__k{i}" for i in range(len(by))])
+    one = one.withColumn("__n", F.monotonically_increasing_id())  # of the only partition; a column, as its value counts evaluations
+    first = F.col("__n") == 0
+    before = F.when(F.col("__end") == 1, F.when(first, "[]").otherwise("]")).otherwise(F.when(first, "[").otherwise(","))
+    one.select(F.concat(before, F.coalesce("value", F.lit(""))).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_version(rows: DataFrame, store: str) -> str:
     """Write a new version of a store beside the old ones and return its path; a reader of the old one is never disturbed."""
     path = f"{store}/v-{uuid.uuid4().hex}"
@@ -77,6 +92,12 @@ def done_names(spark: SparkSession, path: str, name: str = "mission_name") -> Da
         return spark.createDataFrame([], f"{name} string")
 
 
+def prior_results(spark: SparkSession, path: str, record: str, name: str = "mission_name") -> tuple[DataFrame, DataFrame]:
+    """(results, done names) of a JSON store of an earlier run; a missing or broken one counts as empty."""
+    results = read_records(spark, path, record)
+    return results, results.select(name).where(F.col(name).isNotNull()).distinct()
+
+
 def write_metrics(spark: SparkSession, path: str, **metrics) -> None:
     """One flat JSON object."""
     spark.createDataFrame([metrics]).coalesce(1).write.mode("overwrite").json(path)

@@ -6,10 +6,12 @@ treats 401 and 403 as final, and keeps to limits of size and time.
 
 from __future__ import annotations
 
+import json
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,15 +19,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..operators.acquire import SNIFF_BYTES
+
 AGENT = "corpusflow"
 
 
-def get(url: str, timeout: float = 20, attempts: int = 3, pause: float = 1.0, most: int = 60_000_000) -> tuple[int, str, bytes]:
-    """(status, content type, body) of a URL; network errors are tried again, answers of the server are final."""
+def get(url: str, timeout: float = 20, attempts: int = 3, pause: float = 1.0, most: int = 60_000_000, cut: bool = False) -> tuple[int, str, bytes]:
+    """(status, content type, body) of a URL; network errors are tried again, answers of the server are final.
+
+    A body beyond `most` bytes is an error, before it is read if its length is declared; with `cut` its first `most` bytes are the body.
+    """
     for i in range(attempts):
         try:
             with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": AGENT}), timeout=timeout) as r:
-                body = r.read(most + 1)
+                declared = r.headers.get("Content-Length") or ""
+                if not cut and declared.isdigit() and int(declared) > most:
+                    raise ValueError("too large")
+                body = r.read(most if cut else most + 1)
                 if len(body) > most:
                     raise ValueError("too large")
                 return r.status, r.headers.get("Content-Type", ""), body
@@ -38,6 +48,44 @@ def get(url: str, timeout: float = 20, attempts: int = 3, pause: float = 1.0, mo
     raise OSError("no attempt")
 
 
+class Store(Protocol):
+    """What open_store() needs of a document store's client."""
+
+    def ping(self) -> object: ...
+
+    def unique_index(self, key: str) -> object: ...
+
+
+def peek(url: str) -> tuple[int, str, bytes]:
+    """As get(), but reading stops after the part in which links to documents are looked for."""
+    return get(url, most=SNIFF_BYTES, cut=True)
+
+
+def _post(url: str, payload: dict, timeout: float) -> dict:
+    request = urllib.request.Request(url, json.dumps(payload).encode(), {"Content-Type": "application/json", "User-Agent": AGENT})
+    with urllib.request.urlopen(request, timeout=timeout) as r:
+        return json.load(r)
+
+
+def completer(url: str, model: str, timeout: float = 240, attempts: int = 3, pause: float = 3, options: dict | None = None, post: Callable[[str, dict, float], dict] = _post) -> Callable[[Iterable[str]], list[str]]:
+    """A completer for operators.generate that posts each prompt to a local model service and takes `response` of its answer.
+
+    An error is tried again after `pause` seconds, an empty reply is not; what fails `attempts` times is ''.
+    """
+    options = {"temperature": 0.7, "num_predict": 1500} if options is None else options
+
+    def one(prompt: str) -> str:
+        for i in range(attempts):
+            try:
+                return (post(url, {"model": model, "prompt": prompt, "stream": False, "options": options}, timeout).get("response") or "").strip()
+            except Exception:
+                if i + 1 < attempts:
+                    time.sleep(pause)
+        return ""
+
+    return lambda prompts: [one(p) for p in prompts]
+
+
 def fetch_pages(urls: DataFrame, url: str = "url", fetch: Callable[[str], tuple[int, str, bytes]] = get, parallel: int | None = None) -> DataFrame:
     """urls with (status, content_type, body, error); a failure is a row with a null body."""
     schema = StructType([*urls.schema.fields]).add("status", "integer").add("content_type", "string").add("body", "binary").add("error", "string")
@@ -106,6 +154,19 @@ class _PageReader(DataSourceReader):
         yield partition.value, status, body
 
 
+def open_store(uri: str, connect: Callable[[str], Store], key: str) -> Store | None:
+    """A connected document store with a unique index on `key`; None without an address or if the store can't be reached."""
+    if not uri:
+        return None
+    try:
+        store = connect(uri)
+        store.ping()
+        store.unique_index(key)
+    except Exception:
+        return None
+    return store
+
+
 def store_sink(upsert: Callable[[list[dict]], int], key: str, label: str = "store") -> type[DataSource]:
     """A sink class to register: upsert() gets rows as dicts, in batches, and must be idempotent for a key."""
 
