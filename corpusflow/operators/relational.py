@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import holds
+from .numbering import number
 
 
 def keep_first(rows: DataFrame, keys: list[Column], pos: list[str]) -> DataFrame:
@@ -88,8 +89,17 @@ def listing(rows: DataFrame, category: str, name: str, pos: str) -> DataFrame:
     return rows.groupBy(category).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, name))), lambda x: x[name]).alias("names"))
 
 
-def progress(durations: DataFrame, pos: str, seconds: str, total: int) -> DataFrame:
-    """With `eta`: the mean of all durations before, times what is left. A report over a run's entries, in one window."""
-    done = Window.orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    index = F.row_number().over(Window.orderBy(pos))
-    return durations.withColumn("index", index).withColumn("eta", F.avg(seconds).over(done) * (F.lit(total) - F.col("index") + 1))
+def progress(durations: DataFrame, pos: str, seconds: str, total: int, block: int = 1 << 16) -> DataFrame:
+    """With `index`, and `eta`: the mean of all durations before, times what is left; null at first. Null durations count as none.
+
+    Rows are added up within blocks of the index, and the blocks' sums, of which there are few, before them.
+    """
+    rows = number(durations, [pos], into="index").withColumn("__block", F.floor((F.col("index") - 1) / block))
+    sums = rows.groupBy("__block").agg(F.sum(seconds).alias("s"), F.count(seconds).alias("n"))
+    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__block", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("__s"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n"))
+    within = Window.partitionBy("__block").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
+    s = F.col("__s") + F.coalesce(F.sum(seconds).over(within), F.lit(0))
+    n = F.col("__n") + F.count(seconds).over(within)
+    rows = rows.join(sums, "__block").withColumn("eta", F.try_divide(s, n) * (F.lit(total) - F.col("index") + 1))
+    return rows.select(*durations.columns, "index", "eta")

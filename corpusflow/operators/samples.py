@@ -10,7 +10,7 @@ from .numbering import number
 
 #: Levels in order, with the difficulty of each.
 LEVELS = (("level_1", "basic"), ("level_2", "intermediate"), ("level_3", "advanced"))
-PROMPT = "You are an expert assistant for space missions, astronomy, and scientific research."
+PROMPT = "Answer questions on space missions and astronomy accurately, and say so where something is not known."
 
 
 def named(results: DataFrame) -> DataFrame:
