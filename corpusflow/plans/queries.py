@@ -160,6 +160,26 @@ def anti_join_done(spark, sf_dir):
     return relational.not_done(orders.select("o_custkey", "o_orderkey"), orders.where("o_orderstatus = 'F'"), ["o_custkey"], ["o_orderkey"])
 
 
+@query("SELECT l_linestatus || '::' || l_orderkey AS key, l_linenumber FROM lineitem WHERE l_linestatus || '::' || l_orderkey IN (SELECT o_orderstatus || '::' || o_orderkey FROM orders WHERE o_totalprice > 100000)")
+def saved_records(spark, sf_dir):
+    price = F.when(F.col("o_totalprice") > 100000, "ok").otherwise("failed")
+    status = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderstatus").alias("category"), price.alias("status"))
+    store = read(spark, sf_dir, "lineitem").select(F.concat_ws("::", "l_linestatus", "l_orderkey").alias("key"), "l_linenumber")
+    return relational.saved(status, store, category="category")
+
+
+TOTAL = 1_000_000
+
+
+@query(f"""
+WITH d AS (SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS seconds, row_number() OVER (ORDER BY c_custkey) AS index FROM customer),
+e AS (SELECT *, sum(seconds) OVER w AS s, count(seconds) OVER w AS n FROM d WINDOW w AS (ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT c_custkey, seconds, index, CASE WHEN n > 0 THEN CAST(s AS DOUBLE) / CAST(n AS DOUBLE) * ({TOTAL} - index + 1) END AS eta FROM e""")
+def progress_eta(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.floor("c_acctbal").cast("long").alias("seconds"))
+    return relational.progress(rows, "c_custkey", "seconds", TOTAL)
+
+
 LINKS_SQL = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href, unnest(range(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)))) AS rank FROM pages"
 
 
