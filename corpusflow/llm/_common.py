@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,15 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, counted: DataFrame |
     return many.join(each, [key, "__part"]).drop("__part")
 
 
+def kept_in_worker(name: str, key: Hashable, make: Callable[[Any], Any]) -> Any:
+    """make(key), kept for the tasks to come of this Python worker: the last one of each name. This package travels by value with each task, so
+    a module of the worker's own holds it."""
+    kept = sys.modules.setdefault("_corpusflow_worker", types.ModuleType("_corpusflow_worker")).__dict__
+    if name not in kept or kept[name][0] != key:
+        kept[name] = key, make(key)
+    return kept[name][1]
+
+
 def packed(x: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(x, dtype=np.float64).tobytes(), 1)
 

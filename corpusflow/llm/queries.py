@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, licenses, mixing, pii, quality, simhash, topk, toxicity
+from . import ann, bpe, langid, licenses, mixing, packing, pii, quality, simhash, topk, toxicity, whitening, yinyang
 from ._common import fold, read
 
 #: Name of the vocabulary file that op7 uses; a parameter of vocabulary().
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: And of the tokenizer that op12 uses; a parameter of definition().
+TOKENIZER = "word_bpe_49k.json"
 
 
 def vocabulary(name: str = VOCABULARY) -> tuple[list[bytes], str]:
@@ -21,6 +23,14 @@ def vocabulary(name: str = VOCABULARY) -> tuple[list[bytes], str]:
     return bpe.read_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
 
 
+def definition(name: str = TOKENIZER) -> str:
+    """A tokenizer as JSON; read on the driver only."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"), "lang")
     docs = docs.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
@@ -68,6 +78,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), definition())
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,11 +97,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_language_id, op2_mixing, op3_quality, op4_license_scan, op5_nearest_neighbours, op6_exact_top_k, op7_byte_bpe, op8_simhash, op9_pii, op10_toxicity, pipeline)
+    each = (op1_language_id, op2_mixing, op3_quality, op4_license_scan, op5_nearest_neighbours, op6_exact_top_k, op7_byte_bpe, op8_simhash, op9_pii, op10_toxicity, op11_centroid_clustering, op12_packing, op13_whitening, pipeline)
     return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op1_language_id": sql.LANGUAGE, "op2_mixing": sql.MIXING, "op6_exact_top_k": sql.TOP_K, "op9_pii": sql.PII}
+    return {"op1_language_id": sql.LANGUAGE, "op2_mixing": sql.MIXING, "op6_exact_top_k": sql.TOP_K, "op9_pii": sql.PII, "op11_centroid_clustering": sql.CLUSTERING}

@@ -126,3 +126,28 @@ WITH d AS (
 )
 SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN best USING (rid)
 """
+
+
+def _clustering(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds, each as a query over all vectors and centroids."""
+    apart = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    nearest = lambda i: f"a{i} AS MATERIALIZED (SELECT rid, vec_id, x, c, d FROM (SELECT v.rid, v.vec_id, v.x, c.c, {apart} AS d FROM v, c{i} c) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)"
+    mean = lambda i: f"""m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT c, i, sum(e) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS e, unnest(range(len(x))) AS i FROM a{i}) GROUP BY c, i) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (c))"""
+    steps = ",\n".join(f"{nearest(i)},\n{mean(i)}" for i in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1 AS c, x FROM v QUALIFY c < {k}
+), {steps},
+{nearest(rounds)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(list_aggregate(c{rounds}.x, 'string_agg', ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)
+"""
+
+
+CLUSTERING = _clustering()
