@@ -14,6 +14,7 @@ from ..operators import acquire, generate, prepare, relational, samples, split,
 from ..operators.numbering import checkpoint
 from ..sources.html import absolutised, html_blocks, html_links
 from ..sources.http import fetch_pages, search
+from ..sources.polite import Politeness, fetch_politely
 
 Get = Callable[[str], tuple[int, str, bytes]]
 
@@ -27,6 +28,14 @@ class Tools:
     read: Callable[[bytes], list[str]]
     ocr: Callable[[bytes, int], str] | None = None
     peek: Get | None = None  #: fetches the start of a page, where links are looked for; without it `fetch` does
+    polite: Politeness | None = None  #: with it pages are fetched by sessions at a host's rate, in place of `fetch` and `peek`; documents by `fetch`
+    search_pause: float = 0.0  #: seconds between two searches
+    tasks: int | None = None  #: that fetch at a time
+
+    def pages(self, urls: DataFrame, start_only: bool = False) -> DataFrame:
+        if self.polite is not None:
+            return fetch_politely(urls, limits=self.polite, parallel=self.tasks)
+        return fetch_pages(urls, fetch=(self.peek or self.fetch) if start_only else self.fetch, parallel=self.tasks)
 
 
 def _body(fetch: Get) -> Callable[[str], bytes | None]:
@@ -51,16 +60,16 @@ def scrape(refs: DataFrame, org: str, style: str, tools: Tools, extra: tuple[str
     Documents are looked for by search, then on the entry's page; entries without one take the page's text, and, for tables, what the
     table says of them. Each tier runs for the entries that the tiers before missed; what it fetched is kept before it is used again.
     """
-    results = checkpoint(search(refs.select(acquire.query(org, F.col("name")).alias("q")), "q", tools.ask, acquire.RESULTS))
+    results = checkpoint(search(refs.select(acquire.query(org, F.col("name")).alias("q")), "q", tools.ask, acquire.RESULTS, tools.search_pause))
     results = refs.select("name", acquire.query(org, F.col("name")).alias("q")).join(results, "q").select("name", "rank", "url")
-    sniffed = fetch_pages(acquire.to_sniff(results, "name"), fetch=tools.peek or tools.fetch).where("body is not null").select("name", "rank", F.col("url").alias("page"), acquire.sniff(F.col("body")).alias("html"))
+    sniffed = tools.pages(acquire.to_sniff(results, "name"), start_only=True).where("body is not null").select("name", "rank", F.col("url").alias("page"), acquire.sniff(F.col("body")).alias("html"))
     on_pages = html_links(sniffed.withColumn("k", F.concat_ws("\n", "name", "rank", "page")), "k").where(F.endswith(F.lower("href"), F.lit(".pdf")))
     first = on_pages.groupBy("k").agg(F.min_by("href", "pos").alias("href")).withColumn("p", F.split("k", "\n"))
     first = absolutised(first.select(F.get("p", F.lit(0)).alias("name"), F.get("p", F.lit(1)).cast("int").alias("rank"), F.get("p", F.lit(2)).alias("page"), "href"), "page").select("name", "rank", "url")
     found = checkpoint(acquire.fetched(acquire.candidates(results, first, "name"), "name", "urls", _body(tools.fetch))).where("content is not null")
 
     missed = refs.join(found.select("name"), "name", "left_anti").where(F.coalesce("source_url", F.lit("")) != "").select("name", F.col("source_url").alias("url"))
-    pages = checkpoint(fetch_pages(missed, fetch=tools.fetch))
+    pages = checkpoint(tools.pages(missed))
     links = html_links(pages.where("body is not null").select("name", F.col("body").cast("string").alias("html")), "name").join(pages.select("name", F.col("url").alias("page")), "name")
     own = absolutised(links.where(F.endswith(F.lower("href"), F.lit(".pdf"))), "page").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda x: x["url"]).alias("urls"))
     own = own.withColumn("urls", F.col("urls") if style == "tables" else F.slice("urls", 1, 1))  # tables try all of a page's documents
@@ -75,7 +84,7 @@ def scrape(refs: DataFrame, org: str, style: str, tools: Tools, extra: tuple[str
 
     rest = refs.join(documents.select("name"), "name", "left_anti")
     unread = rest.join(pages.select("name"), "name", "left_anti").where(F.coalesce("source_url", F.lit("")) != "").select("name", F.col("source_url").alias("url"))
-    again = pages.unionByName(checkpoint(fetch_pages(unread, fetch=tools.fetch)))  # entries whose document could not be read
+    again = pages.unionByName(checkpoint(tools.pages(unread)))  # entries whose document could not be read
     texts = _page_texts(again.join(rest.select("name"), "name", "left_semi"), extra).select("name", F.col("texts").alias("pages"), F.lit("webpage").alias("method"))
     done = documents.unionByName(texts, allowMissingColumns=True)
     if style == "tables":

@@ -10,18 +10,20 @@ import json
 import time
 import urllib.error
 import urllib.request
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
+from urllib.parse import urlsplit
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..operators.acquire import SNIFF_BYTES
-
-AGENT = "corpusflow"
+from .polite import AGENT, Politeness, Session, paced
 
 
 def get(url: str, timeout: float = 20, attempts: int = 3, pause: float = 1.0, most: int = 60_000_000, cut: bool = False) -> tuple[int, str, bytes]:
@@ -107,25 +109,35 @@ def fetch_pages(urls: DataFrame, url: str = "url", fetch: Callable[[str], tuple[
     return laid.mapInPandas(run, schema)
 
 
-def search(names: DataFrame, name: str, ask: Callable[[str], list[dict]], most: int = 15) -> DataFrame:
-    """(name, rank, url) of an injected search service; an error gives no results."""
+def search(names: DataFrame, name: str, ask: Callable[[str], list[dict]], most: int = 15, pause: float = 0.0, parallel: int = 1) -> DataFrame:
+    """(name, rank, url) of an injected search service; an error gives no results.
+
+    With a `pause` the service, which is one host, is asked once in so many seconds at most: by `parallel` tasks, each of which waits so many times as long.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        due = time.monotonic() + (pause * TaskContext.get().partitionId() if pause else 0)
         for batch in batches:
-            rows = []
             for n in batch[name]:
+                if pause:
+                    time.sleep(max(0.0, due - time.monotonic()))
+                    due = time.monotonic() + pause * parallel
                 try:
                     found = ask(n)[:most]
                 except Exception:
                     found = []
-                rows += [(n, i, x.get("href") or x.get("url") or "") for i, x in enumerate(found)]
-            yield pd.DataFrame(rows, columns=[name, "rank", "url"])
+                rows = [(n, i, x.get("href") or x.get("url") or "") for i, x in enumerate(found)]
+                yield pd.DataFrame(rows, columns=[name, "rank", "url"])
 
-    return names.select(name).mapInPandas(run, f"{name} string, rank int, url string")
+    laid = names.select(name).repartition(parallel) if pause else names.select(name)
+    return laid.mapInPandas(run, f"{name} string, rank int, url string")
 
 
 class PageSource(DataSource):
-    """spark.read.format("pages").option("urls", "<one a line>"): (url, status, body)."""
+    """spark.read.format("pages").option("urls", "<one a line>"): (url, status, body).
+
+    Addresses are grouped by host into `tasks` partitions (8), each with one session, and a host is asked `rate` times a second (1) at most.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -140,18 +152,24 @@ class PageSource(DataSource):
 
 class _PageReader(DataSourceReader):
     def __init__(self, options):
-        self.urls = [u for u in options.get("urls", "").split("\n") if u.strip()]
-        self.timeout = float(options.get("timeout", 20))
+        self.urls = [u.strip() for u in options.get("urls", "").split("\n") if u.strip()]
+        self.tasks = int(options.get("tasks", 8))
+        self.limits = Politeness(rate=float(options.get("rate", 1)), timeout=float(options.get("timeout", 20)), attempts=int(options.get("attempts", 4)))
 
     def partitions(self):
-        return [InputPartition(u) for u in self.urls]
+        groups: dict[int, list[tuple[str, str]]] = {}
+        for u in self.urls:
+            host = urlsplit(u).netloc.lower()
+            groups.setdefault(zlib.crc32(host.encode()) % self.tasks, []).append((host, u))
+        return [InputPartition(g) for _, g in sorted(groups.items())]
 
     def read(self, partition):
+        session = Session(self.limits)
         try:
-            status, _, body = get(partition.value, self.timeout)
-        except Exception:
-            status, body = None, None
-        yield partition.value, status, body
+            for url, a, _ in paced(((host, u, u) for host, u in partition.value), session.get, self.limits):
+                yield url, a.status, a.body if a.status is not None else None
+        finally:
+            session.close()
 
 
 def open_store(uri: str, connect: Callable[[str], Store], key: str) -> Store | None:
