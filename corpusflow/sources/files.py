@@ -1,4 +1,4 @@
-"""JSON stores, JSON lines and the like. Lines are read and written in parallel; a store that is one JSON value is read by one task, as a whole."""
+"""JSON stores, JSON lines and the like, read and written in parallel; of a store that is one JSON value each task reads a range of bytes (bigjson)."""
 
 from __future__ import annotations
 
@@ -8,42 +8,52 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bigjson import values
+
 #: Keys under which a list of results can stand, in the order in which they are tried.
 WRAPPERS = ("missions", "data", "results", "records")
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.text(path, wholetext=True)
-    except AnalysisException:  # no such file: an empty store
-        return spark.createDataFrame([], "value string")
+def _members(rows: DataFrame, record: str) -> DataFrame:
+    """(pos, key, r) of the members of objects, as maps of one entry; what is no such member has no row."""
+    entry = F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), f"map<string,struct<{record}>>")
+    return rows.where(F.col("text").rlike(r'^\s*"')).select("pos", F.explode(entry).alias("key", "r")).where("r is not null")
 
 
 def read_keyed(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """(key, record fields) of a JSON object of records; a missing or broken file is empty. `record` is DDL."""
-    rows = _whole(spark, path).select(F.explode(F.from_json("value", f"map<string,struct<{record}>>")).alias("key", "r"))
-    return rows.select("key", "r.*")
+    """(key, record fields) of a JSON object of records, the last one of a repeated key; a missing or broken file is empty. `record` is DDL."""
+    rows = _members(values(spark, path).where("root = '{'"), record)
+    return rows.groupBy("key").agg(F.max_by("r", "pos").alias("r")).select("key", "r.*")
 
 
 def read_records(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """Records of a JSON list or of a JSON object's values."""
-    text = _whole(spark, path)
-    is_list = F.startswith(F.ltrim("value"), F.lit("["))
-    listed = F.when(is_list, F.from_json("value", f"array<struct<{record}>>")).otherwise(F.map_values(F.from_json("value", f"map<string,struct<{record}>>")))
-    return text.select(F.posexplode(listed).alias("pos", "r")).select("pos", "r.*")
+    """(pos, record fields) of a JSON list or of a JSON object's values, where a repeated key counts once, as in read_keyed(); a missing or broken file is empty."""
+    rows = values(spark, path)
+    listed = rows.where("root = '['").select("pos", F.from_json("text", f"struct<{record}>").alias("r"))
+    keyed = _members(rows.where("root = '{'"), record).groupBy("key").agg(F.max_by("r", "pos").alias("r"), F.min("pos").alias("pos")).select("pos", "r")
+    return listed.unionByName(keyed).select("pos", "r.*")
 
 
 def read_results(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """Results in a list, in an object under the first of WRAPPERS that holds a list, or as one object; a broken root raises an error."""
-    kind = f"array<struct<{record}>>"
-    value = F.try_parse_json("value")
-    one = F.array(F.from_json("value", f"struct<{record}>"))
-    root = F.substring(F.ltrim("value"), 1, 1)
-    rows = F.when(root == "[", F.from_json("value", kind))
+    """(pos, result fields) of results in a list, in an object under the first of WRAPPERS that holds a list, or as one object; a broken root raises an error, an empty file has no results.
+
+    A list, whichever way it stands, is read by ranges; an object without any is one result, and read as such.
+    """
+    kind = f"struct<{record}>"
+    inner = values(spark, path, 2)
+    name = F.regexp_extract("header", r'^\s*"([^"\\]*)"\s*:\s*\[\s*$', 1)
+    named = inner.where("root = '{'").withColumn("name", name)
+    held = {r["name"] for r in named.where(F.col("name").isin(*WRAPPERS)).select("name").distinct().collect()}  # of four at most
     for w in WRAPPERS:
-        inner = F.get_json_object("value", f"$.{w}")
-        rows = rows.when((root == "{") & F.startswith(F.ltrim(inner), F.lit("[")), F.from_json(inner, kind))
-    rows = rows.when(root == "{", one).otherwise(F.raise_error(F.lit("the root is neither a list nor an object")))
+        if w in held:
+            return named.where((F.col("name") == w) & F.col("text").isNotNull()).select("pos", F.from_json("text", kind).alias("r")).select("pos", "r.*")
+    listed = values(spark, path).where("root = '['")
+    if not listed.isEmpty():
+        return listed.select("pos", F.from_json("text", kind).alias("r")).select("pos", "r.*")
+    # an empty list, one object, or no valid root
+    value, root = F.try_parse_json("value"), F.substring(F.ltrim("value"), 1, 1)
+    rows = F.when(root == "[", F.from_json("value", f"array<{kind}>")).when(root == "{", F.array(F.from_json("value", kind)))
+    rows = rows.otherwise(F.raise_error(F.lit("the root is neither a list nor an object")))
     checked = F.when(value.isNull(), F.raise_error(F.lit("no valid JSON"))).otherwise(rows)
     return spark.read.text(path, wholetext=True).select(F.posexplode(checked).alias("pos", "r")).select("pos", "r.*")
 
