@@ -7,6 +7,7 @@ import tempfile
 import types
 import zlib
 from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -38,6 +39,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, what runs in Python workers gets and gives so many rows at a time, where the session has more: for whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) < rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fold(column: Column, n: int) -> Column:
     """crc32 of an id written as text, modulo n; 0 for a null id."""
     return F.coalesce(F.crc32(column.cast("string")) % n, F.lit(0)).cast("int")

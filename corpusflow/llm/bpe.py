@@ -24,9 +24,13 @@ import xxhash
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import kept_in_worker
+
 _CHUNK = 1 << 20
 #: Pre-tokens whose ids a worker keeps, some 80 MB; those of the vocabulary stay when it is full.
 _MEMO = 400_000
+#: Bytes of ids after which a batch is handed over.
+_PART = 8 << 20
 _MASK = (1 << 64) - 1
 
 
@@ -169,19 +173,20 @@ class Codec:
 
 
 def _codec(spark: SparkSession, tokens: list[bytes], pattern: str):
-    """A function that gives a worker its codec: made at its first use in a process, then kept, for all tasks alike."""
+    """A function that gives a worker its codec: made at its first use in a process, then kept for tasks of the same vocabulary."""
     key = f"{hashlib.sha256(b' '.join(map(base64.b64encode, tokens))).hexdigest()}:{pattern}"
     sent = spark.sparkContext.broadcast((tokens, *build_hash(tokens), pattern))  # a vocabulary's size, whatever the input
 
     def get() -> Codec:
-        kept = regex.__dict__.setdefault("_corpusflow_codecs", {})  # a module that outlives the task; this one travels by value
-        if key not in kept:
-            kept[key] = Codec(*sent.value)
-        return kept[key]
+        return kept_in_worker("bpe", key, lambda _: Codec(*sent.value))
 
     return get
 
 
+def _lists(ends: list[int], ids: bytearray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(ids)]))
+
+
 def encode(text: Column, spark: SparkSession, tokens: list[bytes], pattern: str) -> Column:
     """array<int> of the ids of a text."""
     get = _codec(spark, tokens, pattern)
@@ -195,7 +200,11 @@ def encode(text: Column, spark: SparkSession, tokens: list[bytes], pattern: str)
                 for part in codec.encode(text.as_py() or ""):
                     out += part
                 ends.append(len(out) // 4)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(out)]))
+                if len(out) >= _PART:
+                    yield _lists(ends, out)
+                    ends, out = [0], bytearray()
+            if len(ends) > 1:
+                yield _lists(ends, out)
 
     return ids(text)
 

@@ -154,11 +154,13 @@ class Scanner:
                             found.add((-held, -likeness, name, span[0] + a, span[0] + b, gain, missing, besides))
         if not found:
             return []
-        line, taken, out = None, [], []
+        line, begun, ended, out = None, [], [], []
         for held, less, name, a, b, gain, missing, besides in sorted(found):
-            if any(a < d and c < b for c, d in taken):
+            at = bisect_right(begun, a)  # taken places lie apart, in order
+            if (at and ended[at - 1] > a) or (at < len(begun) and begun[at] < b):
                 continue
-            taken.append((a, b))
+            begun.insert(at, a)
+            ended.insert(at, b)
             if line is None:
                 places = np.fromiter((m.start() for m in _WORD.finditer(low)), np.int64, len(own))
                 line = np.searchsorted(np.flatnonzero(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4") == 10), places)

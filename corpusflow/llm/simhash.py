@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import added, checkpoint, looked_up, packed
+from ._common import added, batches_of, checkpoint, looked_up, packed
 from ._components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -343,6 +343,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sim
     sequences are one node before anything is compared, so a large group of copies costs one row. The sets of those texts alone that
     met another and passed the sieves are made, and a link needs an exact Jaccard similarity.
     """
+    with batches_of(docs.sparkSession, _BATCH):
+        return _near_copies(docs, id_col, text, similarity)
+
+
+def _near_copies(docs: DataFrame, id_col: str, text: str, similarity: float) -> DataFrame:
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
     marks = checkpoint(signed(rows, similarity).withColumn("node", F.xxhash64("digest")))
     # the node is a short name of the digest: should two digests share it, both texts are met and compared, but never taken for equal
