@@ -103,6 +103,15 @@ def completed(requests: DataFrame, complete: Callable[[pd.Series], list[str]], a
     return requests.mapInPandas(run, schema)
 
 
+def attempted(requests: DataFrame, complete: Callable[[pd.Series], list[str]], clock: Column | None = None) -> DataFrame:
+    """requests (with `prompt`) after one attempt each, with `chain`, `ok` and `at`: a log for streaming.retry, which says what to ask again and when.
+
+    A model may answer otherwise when it is asked again, so write the log before reading it twice: the attempt that was written is the one that counts.
+    """
+    done = completed(requests, complete, attempts=1)
+    return done.withColumn("ok", F.col("chain").isNotNull()).withColumn("at", clock if clock is not None else F.current_timestamp())
+
+
 def chains(records: DataFrame, complete: Callable[[pd.Series], list[str]] = stub, aspects: tuple[str, ...] = ASPECTS) -> DataFrame:
     """(key columns, total_chains, qa_chains) from (organisation, mission_name, source_url, scraped_at, context): entries whose context is long
     enough and that got a chain; chains in the order of the aspects, each under the aspect that was asked for."""
@@ -122,4 +131,4 @@ def outcome(context: Column, n_chains: Column) -> Column:
     return F.when(F.length(context) < LEAST_CONTEXT, "skipped").when(F.coalesce(n_chains, F.lit(0)) == 0, "failed").otherwise("done")
 
 
-__all__ = ["ASPECTS", "after_reasoning", "chains", "completed", "is_chain", "lenient", "outcome", "parsed", "prompt", "stub"]
+__all__ = ["ASPECTS", "after_reasoning", "attempted", "chains", "completed", "is_chain", "lenient", "outcome", "parsed", "prompt", "stub"]

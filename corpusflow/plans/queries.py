@@ -16,6 +16,8 @@ from ..functions.patterns import FIELDS
 from ..operators import acquire, discover, generate, prepare, relational, samples, split, structure
 from ..operators.numbering import number, shared_folder
 from ..sources import html
+from ..sources.keyed import KeyedStore
+from ..streaming import retry
 from ..streaming.resume import process_new
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -516,3 +518,39 @@ def resume_stream(spark, sf_dir):
         process_new(spark, f"{base}/in", source.schema, f"{base}/state", lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
     return spark.read.parquet(f"{base}/out").groupBy("user_id").agg(F.count("*").alias("n"))
 
+
+def thirds(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """All events, as three parts one after the other in time, as they would arrive."""
+    events = read(spark, sf_dir, "events")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(ms), F.max(ms)).first()
+    at = F.floor((ms - F.lit(low)) * 3 / F.lit((high or 0) - (low or 0) + 1))
+    return [events.where(F.coalesce(at, F.lit(2)) == i) for i in range(3)]
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events WHERE ts IS NOT NULL GROUP BY user_id")
+def keyed_store(spark, sf_dir):
+    """Events upserted by user into a store of snapshots, in three writes and a compaction between them."""
+    store = KeyedStore(spark, f"{shared_folder(spark)}/store", ["user_id"])
+    for i, part in enumerate(thirds(spark, sf_dir)):
+        store.upsert(part.where("ts is not null"), ["ts", "event_id"])
+        if i == 1:
+            store.compact(1)
+    return store.read().select("user_id", "event_id", "event_type", "value")
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type = 'error' AS bad FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL),
+o AS (SELECT *, count(*) FILTER (NOT bad) OVER w AS run, lead(ms) OVER w AS next FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
+f AS (SELECT *, CAST((row_number() OVER (PARTITION BY user_id, run ORDER BY ms, event_id) - 1) % 3 + 1 AS INTEGER) AS n FROM o WHERE bad),
+d AS (SELECT *, ms + CAST({retry.WAIT * 1000} * 2 ** (n - 1) AS BIGINT) AS due FROM f)
+SELECT user_id, 'dead' AS kind, make_timestamp(ms * 1000) AS at, n AS failures FROM d WHERE n = 3
+UNION ALL SELECT user_id, 'retry', make_timestamp(due * 1000), n FROM d WHERE n < 3 AND due < coalesce(next, (SELECT max(ms) FROM e))""")
+def retry_attempts(spark, sf_dir):
+    """Errors as failed attempts: when users are due again and when they are dead, by three incremental runs over the log as it grows."""
+    base = shared_folder(spark)
+    for part in thirds(spark, sf_dir):
+        log = part.select("user_id", "ts", "event_id", (F.col("event_type") != "error").alias("ok"))
+        log.write.mode("append").parquet(f"{base}/in")
+        retry.follow(spark, f"{base}/in", log.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), f"{base}/state", lambda b, n: b.write.mode("overwrite").parquet(f"{base}/out/batch={n}"), ["user_id"], "ts", "ok", "event_id")
+    return spark.read.parquet(f"{base}/out").select("user_id", "kind", F.col("at").cast("timestamp_ntz").alias("at"), "failures")
