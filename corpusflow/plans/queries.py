@@ -477,7 +477,28 @@ def html_links(spark, sf_dir):
     return html.html_links(read(spark, sf_dir, "pages"), "page_id")
 
 
-@query()
+#: The pages' elements in SQL: tokens by one pattern, then a walk over all pages at once, a token a step, with the open elements as a stack.
+_WALK = r"""
+tok AS (SELECT page_id, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]*>|<[^>]*$|[^<]+') AS ts FROM pages)),
+part AS MATERIALIZED (SELECT page_id, i, t, lower(regexp_extract(t, '^</?([A-Za-z0-9]+)', 1)) AS tag,
+  CASE WHEN regexp_matches(t, '(?i)^<(!|script|style)') OR regexp_matches(t, '^<[^>]*$') THEN 'none' WHEN starts_with(t, '</') THEN 'end' WHEN starts_with(t, '<') THEN 'start' ELSE 'text' END AS kind FROM tok),
+walk(page_id, i, tags, places) AS (
+  SELECT DISTINCT page_id, CAST(-1 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[]) FROM part
+  UNION ALL
+  SELECT p.page_id, p.i,
+    CASE WHEN p.kind = 'start' AND p.tag NOT IN ('br', 'meta', 'img', 'hr', 'input', 'link') THEN list_append(w.tags, p.tag) WHEN p.kind = 'end' AND list_contains(w.tags, p.tag) THEN w.tags[:len(w.tags) - list_position(list_reverse(w.tags), p.tag)] ELSE w.tags END,
+    CASE WHEN p.kind = 'start' AND p.tag NOT IN ('br', 'meta', 'img', 'hr', 'input', 'link') THEN list_append(w.places, p.i) WHEN p.kind = 'end' AND list_contains(w.tags, p.tag) THEN w.places[:len(w.tags) - list_position(list_reverse(w.tags), p.tag)] ELSE w.places END
+  FROM walk w JOIN part p ON p.page_id = w.page_id AND p.i = w.i + 1),
+said AS (SELECT w.page_id, w.i, w.tags, w.places, regexp_replace(replace(replace(replace(replace(p.t, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS piece
+  FROM walk w JOIN part p USING (page_id, i) WHERE p.kind = 'text'),
+held AS (SELECT page_id, i, tags, piece, unnest(places) AS of FROM said WHERE piece <> ''),
+begun AS (SELECT w.page_id, w.i, p.tag, w.tags[:len(w.tags) - 1] AS above FROM walk w JOIN part p USING (page_id, i) WHERE p.kind = 'start')"""
+_CHROME = "['nav', 'header', 'footer', 'script', 'style', 'noscript', 'aside', 'form']"
+
+
+@query(f"""WITH RECURSIVE {_WALK},
+b AS (SELECT page_id, i, tag, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM begun WHERE tag IN ('h1', 'h2', 'h3', 'h4', 'p', 'li', 'td') AND NOT list_has_any(above, {_CHROME}))
+SELECT b.page_id, CAST(b.pos AS INTEGER) AS pos, b.tag, string_agg(h.piece, ' ' ORDER BY h.i) AS text FROM b JOIN held h ON h.page_id = b.page_id AND h.of = b.i WHERE NOT list_has_any(h.tags, {_CHROME}) GROUP BY ALL HAVING length(text) > 30""")
 def html_blocks(spark, sf_dir):
     return html.html_blocks(read(spark, sf_dir, "pages"), "page_id").where(F.length("text") > 30)
 
@@ -494,10 +515,16 @@ def page_cards(spark, sf_dir):
     return discover.carded(read(spark, sf_dir, "pages"), "page_id", "https://example.org", sections=r"(?i)http|/")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WALK},
+h AS (SELECT b.page_id, b.i, b.pos, coalesce(string_agg(h.piece, '' ORDER BY h.i), '') AS name FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM begun WHERE tag IN ('h1', 'h2', 'h3', 'h4', 'strong', 'b')) b
+  LEFT JOIN held h ON h.page_id = b.page_id AND h.of = b.i GROUP BY ALL),
+l AS (SELECT page_id, pos, trim(text) AS name, href FROM ({_ANCHORS}) WHERE regexp_matches(href, '(?i)mission|satellite|spacecraft|launch') AND length(trim(text)) >= 3),
+f AS (SELECT page_id, pos, name, href FROM l UNION ALL SELECT page_id, pos, name, '' FROM h WHERE length(name) BETWEEN 4 AND 120 AND page_id NOT IN (SELECT page_id FROM l)),
+c AS (SELECT f.*, 'c' || f.page_id % 7 AS category, CASE WHEN href = '' THEN '' WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/]+') || href ELSE href END AS source_url FROM f JOIN pages USING (page_id))
+SELECT page_id, CAST(pos AS INTEGER) AS pos, name, category, source_url FROM c QUALIFY row_number() OVER (PARTITION BY lower(name), category ORDER BY page_id, pos) = 1""")
 def page_categories(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").withColumn("category", F.concat(F.lit("c"), (F.col("page_id") % 7).cast("string")))
-    return discover.in_categories(pages, "page_id", "category", "url")
+    return discover.in_categories(pages, "page_id", "category", "url").select("page_id", F.col("at.row").alias("pos"), "name", "category", "source_url")
 
 
 @query(f"""SELECT source AS organisation, 'M' || doc_id AS mission_name, CAST(10 AS INTEGER) AS total_chains, {sql_text(generate.ASPECTS[0])} AS first_aspect, {sql_text(generate.ASPECTS[9])} AS last_aspect

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import timestamp_text
 from ..operators import acquire, generate, prepare, relational, samples, split, structure
 from ..operators.numbering import checkpoint
-from ..sources.html import absolutised, html_blocks, html_links
+from ..sources.html import absolutised, blocks, html_links, html_nodes, links
 from ..sources.http import fetch_pages, search
 from ..sources.polite import Politeness, fetch_politely
 
@@ -47,11 +47,15 @@ def _body(fetch: Get) -> Callable[[str], bytes | None]:
     return get
 
 
-def _page_texts(pages: DataFrame, extra: tuple[str, ...]) -> DataFrame:
-    """(name, texts): the blocks of over 30 characters of fetched pages."""
-    html = pages.where("body is not null").select("name", F.col("body").cast("string").alias("html"))
-    blocks = html_blocks(html, "name", extra=extra).where(F.length("text") > 30)
-    return blocks.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("texts"))
+def _parsed(pages: DataFrame) -> DataFrame:
+    """The elements of fetched pages, kept: links and texts are taken from them."""
+    return checkpoint(html_nodes(pages.where("body is not null").select("name", F.col("body").cast("string").alias("html")), "name"))
+
+
+def _page_texts(parsed: DataFrame, extra: tuple[str, ...]) -> DataFrame:
+    """(name, texts): the blocks of over 30 characters."""
+    found = blocks(parsed, "name", extra=extra).where(F.length("text") > 30)
+    return found.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("texts"))
 
 
 def scrape(refs: DataFrame, org: str, style: str, tools: Tools, extra: tuple[str, ...] = (), clock: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -70,8 +74,9 @@ def scrape(refs: DataFrame, org: str, style: str, tools: Tools, extra: tuple[str
 
     missed = refs.join(found.select("name"), "name", "left_anti").where(F.coalesce("source_url", F.lit("")) != "").select("name", F.col("source_url").alias("url"))
     pages = checkpoint(tools.pages(missed))
-    links = html_links(pages.where("body is not null").select("name", F.col("body").cast("string").alias("html")), "name").join(pages.select("name", F.col("url").alias("page")), "name")
-    own = absolutised(links.where(F.endswith(F.lower("href"), F.lit(".pdf"))), "page").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda x: x["url"]).alias("urls"))
+    parsed = _parsed(pages)
+    linked = links(parsed, "name").join(pages.select("name", F.col("url").alias("page")), "name")
+    own = absolutised(linked.where(F.endswith(F.lower("href"), F.lit(".pdf"))), "page").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda x: x["url"]).alias("urls"))
     own = own.withColumn("urls", F.col("urls") if style == "tables" else F.slice("urls", 1, 1))  # tables try all of a page's documents
     found = found.unionByName(checkpoint(acquire.fetched(own, "name", "urls", _body(tools.fetch))).where("content is not null"))
 
@@ -84,8 +89,9 @@ def scrape(refs: DataFrame, org: str, style: str, tools: Tools, extra: tuple[str
 
     rest = refs.join(documents.select("name"), "name", "left_anti")
     unread = rest.join(pages.select("name"), "name", "left_anti").where(F.coalesce("source_url", F.lit("")) != "").select("name", F.col("source_url").alias("url"))
-    again = pages.unionByName(checkpoint(tools.pages(unread)))  # entries whose document could not be read
-    texts = _page_texts(again.join(rest.select("name"), "name", "left_semi"), extra).select("name", F.col("texts").alias("pages"), F.lit("webpage").alias("method"))
+    late = _parsed(tools.pages(unread))  # entries whose document could not be read
+    late = late.repartition(max(1, late.rdd.getNumPartitions()))  # a kept table claims partitions by key that it need not have, and a union would pair them
+    texts = _page_texts(parsed.unionByName(late).join(rest.select("name"), "name", "left_semi"), extra).select("name", F.col("texts").alias("pages"), F.lit("webpage").alias("method"))
     done = documents.unionByName(texts, allowMissingColumns=True)
     if style == "tables":
         bare = refs.join(done.select("name"), "name", "left_anti")

@@ -1,17 +1,18 @@
-"""Flat rows out of HTML pages: links, cards, table cells and text blocks.
+"""Flat rows out of HTML pages: links, cards, table cells and text blocks, all from one table of a page's elements.
 
-A page is parsed by the standard library's tokenizer with a small tree builder: no end tag is implied, so an unclosed element holds what
+A page is parsed once, by the standard library's tokenizer with a small tree builder: no end tag is implied, so an unclosed element holds what
 follows; an end tag closes the nearest open element of its name, else is ignored; void elements hold nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Elements that never have an end tag, and those that hold no text of a page.
@@ -27,33 +28,6 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
-    def walk(self) -> Iterator[Node]:
-        """Elements below, in document order."""
-        stack = [c for c in reversed(self.children) if isinstance(c, Node)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
-
-    def find(self, *tags: str) -> Iterator[Node]:
-        return (n for n in self.walk() if n.tag in tags)
-
-    @property
-    def classes(self) -> list[str]:
-        return self.attrs.get("class", "").split()
-
-    def text(self, join: str = "") -> str:
-        """Trimmed pieces of text, empty ones left out; comments, scripts and styles are none unless asked for themselves."""
-        out, stack = [], list(reversed(self.children))
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                if x.strip():
-                    out.append(x.strip())
-            elif x.tag not in ("script", "style", "template"):
-                stack += reversed(x.children)
-        return join.join(out)
-
 
 class _Builder(HTMLParser):
     def __init__(self):
@@ -89,92 +63,143 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
-def links(root: Node, within: str = "") -> Iterator[tuple]:
-    """(href, text) of all links, or of the first one in each element `within`."""
-    if not within:
-        for a in root.find("a"):
-            if "href" in a.attrs:
-                yield a.attrs["href"], a.text()
-        return
-    for box in root.find(within):
-        first = next((a for a in box.find("a") if "href" in a.attrs), None)
-        if first is not None:
-            yield first.attrs["href"], first.text()
-
-
-def cards(root: Node, css: str = "mission", heading: str = "heading", description: str = "description", pillar: str = "pillar") -> Iterator[tuple]:
-    """(href, name, description, pillar) of the elements `div` that have the class."""
-    text = lambda box, tag, name: next((x.text() for x in box.find(tag) if name in x.classes), "")
-    for box in root.find("div"):
-        if css in box.classes:
-            href = next((a.attrs["href"] for a in box.find("a") if "href" in a.attrs), None)
-            if href is not None:
-                yield href, text(box, "h3", heading), text(box, "p", description), text(box, "span", pillar)
-
-
-def cells(root: Node) -> Iterator[tuple]:
-    """(table, row, column, columns, classes, text, href) of the cells of body rows; tables without a body are one."""
-    for t, table in enumerate(root.find("table")):
-        bodies, r = list(table.find("tbody")) or [table], 0
-        for body in bodies:
-            for tr in body.find("tr"):
-                tds = list(tr.find("td"))
-                for c, td in enumerate(tds):
-                    href = next((a.attrs["href"] for a in td.find("a") if "href" in a.attrs), "")
-                    yield t, r, c, len(tds), td.classes, td.text(" "), href
-                r += bool(tds)
-
-
-def _without(node: Node, chrome: frozenset[str]) -> None:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        x.children = [c for c in x.children if not (isinstance(c, Node) and c.tag in chrome)]
-        stack += [c for c in x.children if isinstance(c, Node)]
+def flat(root: Node) -> tuple[list[dict], list[str]]:
+    """Elements in document order, and the trimmed pieces of text, empty ones and those of scripts, styles and templates left out.
 
+    An element has its place `i`, the place `last` of the last one below it, and the range `from` to `to` (exclusive) of its pieces; its attributes are the classes, and `href` if it has one.
+    """
+    nodes, pieces = [], []
+    stack: list[tuple] = [(c, False) for c in reversed(root.children)]
+    while stack:
+        x, hidden = stack.pop()
+        if isinstance(x, int):  # the end of an element
+            nodes[x]["last"], nodes[x]["to"] = len(nodes) - 1, len(pieces)
+        elif isinstance(x, str):
+            if not hidden and x.strip():
+                pieces.append(x.strip())
+        else:
+            i = len(nodes)
+            nodes.append({"i": i, "last": i, "tag": x.tag, "from": len(pieces), "to": 0, "classes": x.attrs.get("class", "").split(), "href": x.attrs.get("href")})
+            stack.append((i, False))
+            stack += [(c, hidden or x.tag in ("script", "style", "template")) for c in reversed(x.children)]
+    return nodes, pieces
 
-def blocks(root: Node, extra: tuple[str, ...] = (), tags: tuple[str, ...] = BLOCKS) -> Iterator[tuple]:
-    """(tag, text) of text blocks outside a page's chrome. Blocks overlap where they nest."""
-    _without(root, CHROME | set(extra))
-    for x in root.find(*tags):
-        yield x.tag, x.text(" ")
 
+_NODE = pa.struct([("i", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("from", pa.int32()), ("to", pa.int32()), ("classes", pa.list_(pa.string())), ("href", pa.string())])
+_NODES = "array<struct<i: int, last: int, tag: string, from: int, to: int, classes: array<string>, href: string>>"
 
-def headings(root: Node) -> Iterator[tuple]:
-    for x in root.find(*HEADINGS):
-        yield x.tag, x.text()
 
+def html_nodes(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, nodes, pieces) of each page, parsed once: what flat() gives. Whatever is looked for on a page is an expression over these.
 
-def _rows(pages: DataFrame, key: str, html: str, fields: str, extract: Callable[[Node], Iterator[tuple]]) -> DataFrame:
-    """(key, pos, fields) for every row that `extract` finds, pos in document order from 0."""
-    kind, names = pages.schema[key].dataType.simpleString(), [f.split()[0] for f in fields.split(", ")]
+    Keep it (checkpoint) where several things are looked for.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(k, i, *x) for k, page in zip(batch[key], batch["__html"]) for i, x in enumerate(extract(parse(page)))]
-            yield pd.DataFrame(found, columns=[key, "pos", *names])
+            for low in range(0, batch.num_rows, 64):  # a page's elements take more room than its text
+                part = batch.slice(low, 64)
+                found = [flat(parse(x.as_py())) for x in part.column(1)]
+                columns = [part.column(0), pa.array([n for n, _ in found], pa.list_(_NODE)), pa.array([p for _, p in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, [key, "nodes", "pieces"])
 
-    return pages.select(key, F.col(html).alias("__html")).mapInPandas(run, f"{key} {kind}, pos int, {fields}")
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, F.col(html).cast("string").alias("__html")).mapInArrow(run, f"`{key}` {kind}, nodes {_NODES}, pieces array<string>")
 
 
-def html_links(pages: DataFrame, key: str, html: str = "html", within: str = "") -> DataFrame:
-    return _rows(pages, key, html, "href string, text string", lambda r: links(r, within))
+# Expressions over `nodes` and `pieces`. An element holds the elements behind it up to its last one, and a range of the pieces.
 
 
-def html_cards(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    return _rows(pages, key, html, "href string, name string, description string, pillar string", cards)
+def _below(node: Column) -> Column:
+    return F.slice(F.col("nodes"), node["i"] + 2, node["last"] - node["i"])
 
 
-def html_cells(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    return _rows(pages, key, html, "tbl int, row int, col int, n_cols int, classes array<string>, text string, href string", cells)
+def _find(nodes: Column, *tags: str) -> Column:
+    return F.filter(nodes, lambda n: n["tag"].isin(*tags))
 
 
-def html_blocks(pages: DataFrame, key: str, html: str = "html", extra: tuple[str, ...] = ()) -> DataFrame:
-    return _rows(pages, key, html, "tag string, text string", lambda r: blocks(r, extra))
+def _text(node: Column, join: str = "") -> Column:
+    return F.array_join(F.slice(F.col("pieces"), node["from"] + 1, node["to"] - node["from"]), join)
+
+
+def _first(nodes: Column) -> Column:
+    return F.get(nodes, F.lit(0))
+
+
+def _rows(table: DataFrame, key: str, found: Column, *fields: str) -> DataFrame:
+    """(key, pos, fields) for every element of the array `found`, pos from 0."""
+    return table.select(key, F.posexplode(found).alias("pos", "__x")).select(key, "pos", *[F.col(f"__x.{f}") for f in fields])
+
+
+def links(table: DataFrame, key: str, within: str = "") -> DataFrame:
+    """(key, pos, href, text) of all links, or of the first one in each element `within`."""
+    fields = lambda a: F.struct(a["href"].alias("href"), _text(a).alias("text"))
+    addressed = lambda nodes: F.filter(nodes, lambda n: (n["tag"] == "a") & n["href"].isNotNull())
+    if not within:
+        return _rows(table, key, F.transform(addressed(F.col("nodes")), fields), "href", "text")
+    each = F.filter(F.transform(_find(F.col("nodes"), within), lambda box: _first(addressed(_below(box)))), lambda a: a.isNotNull())
+    return _rows(table, key, F.transform(each, fields), "href", "text")
+
+
+def cards(table: DataFrame, key: str, css: str = "mission", heading: str = "heading", description: str = "description", pillar: str = "pillar") -> DataFrame:
+    """(key, pos, href, name, description, pillar) of the elements `div` that have the class and a link."""
+
+    def said(box: Column, tag: str, name: str) -> Column:
+        found = _first(F.filter(_below(box), lambda n: (n["tag"] == tag) & F.array_contains(n["classes"], name)))
+        return F.when(found.isNotNull(), _text(found)).otherwise("")
+
+    def card(box: Column) -> Column:
+        href = _first(F.filter(_below(box), lambda n: (n["tag"] == "a") & n["href"].isNotNull()))["href"]
+        return F.struct(href.alias("href"), said(box, "h3", heading).alias("name"), said(box, "p", description).alias("description"), said(box, "span", pillar).alias("pillar"))
+
+    boxes = F.filter(F.col("nodes"), lambda n: (n["tag"] == "div") & F.array_contains(n["classes"], css))
+    return _rows(table, key, F.filter(F.transform(boxes, card), lambda c: c["href"].isNotNull()), "href", "name", "description", "pillar")
 
 
-def html_headings(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    return _rows(pages, key, html, "tag string, text string", headings)
+def cells(table: DataFrame, key: str) -> DataFrame:
+    """(key, pos, tbl, row, col, n_cols, classes, text, href) of the cells of body rows; tables without a body are one."""
+
+    def rows_of(t: Column) -> Column:
+        bodies = _find(_below(t), "tbody")
+        rows = F.flatten(F.transform(F.when(F.size(bodies) > 0, bodies).otherwise(F.array(t)), lambda b: _find(_below(b), "tr")))
+        return F.filter(F.transform(rows, lambda r: _find(_below(r), "td")), lambda tds: F.size(tds) > 0)
+
+    def cell(t: Column, r: Column, c: Column, tds: Column, td: Column) -> Column:
+        href = _first(F.filter(_below(td), lambda n: (n["tag"] == "a") & n["href"].isNotNull()))["href"]
+        return F.struct(t.alias("tbl"), r.alias("row"), c.alias("col"), F.size(tds).alias("n_cols"), td["classes"].alias("classes"), _text(td, " ").alias("text"), F.coalesce(href, F.lit("")).alias("href"))
+
+    every = F.transform(_find(F.col("nodes"), "table"), lambda t, i: F.flatten(F.transform(rows_of(t), lambda tds, r: F.transform(tds, lambda td, c: cell(i, r, c, tds, td)))))
+    return _rows(table, key, F.flatten(every), "tbl", "row", "col", "n_cols", "classes", "text", "href")
+
+
+def blocks(table: DataFrame, key: str, extra: tuple[str, ...] = (), tags: tuple[str, ...] = BLOCKS) -> DataFrame:
+    """(key, pos, tag, text) of text blocks outside a page's chrome. Blocks overlap where they nest."""
+    chrome = F.col("__chrome")
+
+    def block(n: Column) -> Column:
+        own = F.slice(F.col("pieces"), n["from"] + 1, n["to"] - n["from"])
+        inner = F.filter(chrome, lambda c: (c["i"] > n["i"]) & (c["i"] <= n["last"]))
+        kept = F.filter(own, lambda _, j: ~F.exists(inner, lambda c: (c["from"] <= j + n["from"]) & (j + n["from"] < c["to"])))
+        return F.struct(n["tag"].alias("tag"), F.array_join(F.when(F.size(inner) > 0, kept).otherwise(own), " ").alias("text"))
+
+    outside = F.filter(_find(F.col("nodes"), *tags), lambda n: ~F.exists(chrome, lambda c: (c["i"] <= n["i"]) & (n["i"] <= c["last"])))
+    return _rows(table.withColumn("__chrome", _find(F.col("nodes"), *sorted(CHROME | set(extra)))), key, F.transform(outside, block), "tag", "text")
+
+
+def headings(table: DataFrame, key: str) -> DataFrame:
+    """(key, pos, tag, text)."""
+    return _rows(table, key, F.transform(_find(F.col("nodes"), *HEADINGS), lambda n: F.struct(n["tag"].alias("tag"), _text(n).alias("text"))), "tag", "text")
+
+
+# The same from pages, where only one thing is looked for.
+
+
+def html_links(pages: DataFrame, key: str, html: str = "html", within: str = "") -> DataFrame:
+    return links(html_nodes(pages, key, html), key, within)
+
+
+def html_blocks(pages: DataFrame, key: str, html: str = "html", extra: tuple[str, ...] = ()) -> DataFrame:
+    return blocks(html_nodes(pages, key, html), key, extra)
 
 
 def absolutised(rows: DataFrame, base: str, href: str = "href") -> DataFrame:
