@@ -74,19 +74,23 @@ def report(rows: DataFrame, dims: list[str], pos: str) -> DataFrame:
     for d in dims:
         one = rows.groupBy(F.col(d).cast("string").alias("value")).agg(F.count("*").alias("n"), F.min(pos).alias("first")).select(F.lit(d).alias("dim"), "*")
         out = one if out is None else out.unionByName(one)
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("n"), "first")).cast("long")).drop("first")
+    return number(out.withColumn("__fall", -F.col("n")), ["__fall", "first"], ["dim"], "rank").drop("first", "__fall")
 
 
 def run_summary(status: DataFrame) -> DataFrame:
-    """(total, ok_document, ok_other, failed, failed_names) of (name, status, method, source)."""
+    """(total, ok_document, ok_other, failed) of (name, status, method, source); failures() names what failed."""
     ok = F.col("status") == "ok"
-    names = F.array_sort(F.collect_list(F.when(~ok, F.col("name"))))
-    return status.agg(F.count("*").alias("total"), F.count_if(ok & (F.col("source") == "pdf")).alias("ok_document"), F.count_if(ok & (F.col("source") != "pdf")).alias("ok_other"), F.count_if(~ok).alias("failed"), names.alias("failed_names"))
+    return status.agg(F.count("*").alias("total"), F.count_if(ok & (F.col("source") == "pdf")).alias("ok_document"), F.count_if(ok & (F.col("source") != "pdf")).alias("ok_other"), F.count_if(~ok).alias("failed"))
+
+
+def failures(status: DataFrame) -> DataFrame:
+    """(n, name): the entries that failed, by name, numbered from 1."""
+    return number(status.where(F.col("status") != "ok").select("name"), ["name"]).select("n", "name")
 
 
 def listing(rows: DataFrame, category: str, name: str, pos: str) -> DataFrame:
-    """(category, names): names in order of appearance."""
-    return rows.groupBy(category).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, name))), lambda x: x[name]).alias("names"))
+    """(category, n, name): names in order of appearance, numbered from 1 in each category."""
+    return number(rows.select(category, name, pos), [pos], [category]).select(category, "n", name)
 
 
 def progress(durations: DataFrame, pos: str, seconds: str, total: int, block: int = 1 << 16) -> DataFrame:

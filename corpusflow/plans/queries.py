@@ -400,15 +400,25 @@ def report_counts(spark, sf_dir):
     return relational.report(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id")
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority LIKE '1%') AS ok_document, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority NOT LIKE '1%') AS ok_other, count(*) FILTER (o_orderstatus <> 'F') AS failed, string_agg(lpad(CAST(o_orderkey AS VARCHAR), 9, '0'), ',' ORDER BY o_orderkey) FILTER (o_orderstatus <> 'F') AS failed_names FROM orders")
+def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as entries of a run: those finished went well, the most urgent by a document."""
+    ok, source = F.col("o_orderstatus") == "F", F.when(F.startswith("o_orderpriority", F.lit("1")), "pdf").otherwise("webpage")
+    return read(spark, sf_dir, "orders").select(F.when(ok, "ok").otherwise("failed").alias("status"), source.alias("source"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("name"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority LIKE '1%') AS ok_document, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority NOT LIKE '1%') AS ok_other, count(*) FILTER (o_orderstatus <> 'F') AS failed FROM orders")
 def run_summary(spark, sf_dir):
-    status = read(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", "ok").otherwise("failed").alias("status"), F.when(F.startswith("o_orderpriority", F.lit("1")), "pdf").otherwise("webpage").alias("source"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("name"))
-    return relational.run_summary(status).withColumn("failed_names", F.array_join("failed_names", ","))
+    return relational.run_summary(run_status(spark, sf_dir))
+
+
+@query("SELECT row_number() OVER (ORDER BY name) AS n, name FROM (SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS name FROM orders WHERE o_orderstatus <> 'F')")
+def run_failures(spark, sf_dir):
+    return relational.failures(run_status(spark, sf_dir))
 
 
-@query("SELECT p_brand, string_agg(p_name, '|' ORDER BY p_partkey) AS names FROM part GROUP BY p_brand")
+@query("SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, p_name FROM part")
 def category_listing(spark, sf_dir):
-    return relational.listing(read(spark, sf_dir, "part"), "p_brand", "p_name", "p_partkey").select("p_brand", F.array_join("names", "|").alias("names"))
+    return relational.listing(read(spark, sf_dir, "part"), "p_brand", "p_name", "p_partkey")
 
 
 @query("SELECT DISTINCT l_linenumber AS n, CASE WHEN l_linenumber < 2 THEN 2 WHEN l_linenumber > 6 THEN 6 ELSE l_linenumber END AS layout FROM lineitem")
