@@ -5,42 +5,121 @@ from __future__ import annotations
 #: Case-insensitive, dot matches line ends, Unicode classes and unix lines.
 FLAGS = "(?isdU)"
 
-# The kinds of value after a label.
-_DATE = r"[:\s]+([A-Za-z0-9 ,/\-]+)"
-_DAY = r"[:\s]+([A-Za-z]+ \d{1,2},?\s+\d{4})"
-_LINE = r"[:\s]+(.+?)(?:\n|\.)"
-_BLOCK = r"[:\s]+(.+?)(?:\n\n|\z)"
-
-# Labels in the order in which they are tried, with the kind of value. `list` pages have these; `cards` and
-# `tables` pages have the ones below.
-_LIST = {
-    "launch_date": [(r"launch\s+date", _DATE), (r"launched", _DATE), (r"launch", _DAY)],
-    "end_date": [(r"end\s+date", _DATE), (r"decommission(?:ed)?", _DATE), (r"mission end", _DATE)],
-    "objective": [(r"objective[s]?", _BLOCK), (r"purpose", _BLOCK), (r"mission overview", _BLOCK), (r"goals?", _BLOCK)],
-    "agency": [(r"agency", _LINE), (r"managed by", _LINE), (r"lead center", _LINE)],
-    "spacecraft": [(r"spacecraft", _LINE), (r"satellite", _LINE), (r"vehicle", _LINE)],
-    "orbit": [(r"orbit(?:al)? (?:type|altitude|parameters?)", _LINE), (r"altitude", _LINE), (r"inclination", _LINE)],
-    "instruments": [(r"instrument[s]?", _BLOCK), (r"payload[s]?", _BLOCK)],
-}
-_CARDS = {
-    "launch_date": _LIST["launch_date"],
-    "end_date": [*_LIST["end_date"], (r"end of (?:mission|operations)", _DATE)],
-    "objective": [*_LIST["objective"], (r"aims?\s+to", r"\s+(.+?)(?:\.|$)")],
-    "agency": [(r"agency", _LINE), (r"managed by", _LINE), (r"lead centre", _LINE), (r"lead center", _LINE), (r"prime contractor", _LINE)],
-    "spacecraft": [*_LIST["spacecraft"], (r"probe", _LINE)],
-    "orbit": [*_LIST["orbit"], (r"sun[- ]synchronous orbit", r"[:\s]*(.+?)(?:\n|\.)")],
-    "instruments": [*_LIST["instruments"], (r"sensor[s]?", _BLOCK)],
-    "launch_vehicle": [(r"launch vehicle", _LINE), (r"launched (?:by|on|aboard)", _LINE), (r"rocket", _LINE), ("", r"(ariane\s*\d+[^.]*)"), ("", r"(vega[^.]*)"), ("", r"(soyuz[^.]*)")],
-}
-_TABLES = {
-    "launch_date": _LIST["launch_date"][:2],
-    "objective": _LIST["objective"][:3],
-    "agency": _LIST["agency"][:2],
-    "spacecraft": _LIST["spacecraft"][:2],
-    "orbit": [(r"orbit(?:al)? (?:type|altitude)", _LINE), (r"altitude", _LINE)],
+# The patterns of each field for each style of source, in the order in which they are tried, in Java's syntax.
+PATTERNS = {
+    "list": {
+        "launch_date": [
+            r"launch\s+date[:\s]+([A-Za-z0-9 ,/\-]+)",
+            r"launched[:\s]+([A-Za-z0-9 ,/\-]+)",
+            r"launch[:\s]+([A-Za-z]+ \d{1,2},?\s+\d{4})",
+        ],
+        "end_date": [
+            r"end\s+date[:\s]+([A-Za-z0-9 ,/\-]+)",
+            r"decommission(?:ed)?[:\s]+([A-Za-z0-9 ,/\-]+)",
+            r"mission end[:\s]+([A-Za-z0-9 ,/\-]+)",
+        ],
+        "objective": [
+            r"objective[s]?[:\s]+(.+?)(?:\n\n|\z)",
+            r"purpose[:\s]+(.+?)(?:\n\n|\z)",
+            r"mission overview[:\s]+(.+?)(?:\n\n|\z)",
+            r"goals?[:\s]+(.+?)(?:\n\n|\z)",
+        ],
+        "agency": [
+            r"agency[:\s]+(.+?)(?:\n|\.)",
+            r"managed by[:\s]+(.+?)(?:\n|\.)",
+            r"lead center[:\s]+(.+?)(?:\n|\.)",
+        ],
+        "spacecraft": [
+            r"spacecraft[:\s]+(.+?)(?:\n|\.)",
+            r"satellite[:\s]+(.+?)(?:\n|\.)",
+            r"vehicle[:\s]+(.+?)(?:\n|\.)",
+        ],
+        "orbit": [
+            r"orbit(?:al)? (?:type|altitude|parameters?)[:\s]+(.+?)(?:\n|\.)",
+            r"altitude[:\s]+(.+?)(?:\n|\.)",
+            r"inclination[:\s]+(.+?)(?:\n|\.)",
+        ],
+        "instruments": [
+            r"instrument[s]?[:\s]+(.+?)(?:\n\n|\z)",
+            r"payload[s]?[:\s]+(.+?)(?:\n\n|\z)",
+        ],
+    },
+    "cards": {
+        "launch_date": [
+            r"launch\s+date[:\s]+([A-Za-z0-9 ,/\-]+)",
+            r"launched[:\s]+([A-Za-z0-9 ,/\-]+)",
+            r"launch[:\s]+([A-Za-z]+ \d{1,2},?\s+\d{4})",
+        ],
+        "end_date": [
+            r"end\s+date[:\s]+([A-Za-z0-9 ,/\-]+)",
+            r"decommission(?:ed)?[:\s]+([A-Za-z0-9 ,/\-]+)",
+            r"mission end[:\s]+([A-Za-z0-9 ,/\-]+)",
+            r"end of (?:mission|operations)[:\s]+([A-Za-z0-9 ,/\-]+)",
+        ],
+        "objective": [
+            r"objective[s]?[:\s]+(.+?)(?:\n\n|\z)",
+            r"purpose[:\s]+(.+?)(?:\n\n|\z)",
+            r"mission overview[:\s]+(.+?)(?:\n\n|\z)",
+            r"goals?[:\s]+(.+?)(?:\n\n|\z)",
+            r"aims?\s+to\s+(.+?)(?:\.|$)",
+        ],
+        "agency": [
+            r"agency[:\s]+(.+?)(?:\n|\.)",
+            r"managed by[:\s]+(.+?)(?:\n|\.)",
+            r"lead centre[:\s]+(.+?)(?:\n|\.)",
+            r"lead center[:\s]+(.+?)(?:\n|\.)",
+            r"prime contractor[:\s]+(.+?)(?:\n|\.)",
+        ],
+        "spacecraft": [
+            r"spacecraft[:\s]+(.+?)(?:\n|\.)",
+            r"satellite[:\s]+(.+?)(?:\n|\.)",
+            r"vehicle[:\s]+(.+?)(?:\n|\.)",
+            r"probe[:\s]+(.+?)(?:\n|\.)",
+        ],
+        "orbit": [
+            r"orbit(?:al)? (?:type|altitude|parameters?)[:\s]+(.+?)(?:\n|\.)",
+            r"altitude[:\s]+(.+?)(?:\n|\.)",
+            r"inclination[:\s]+(.+?)(?:\n|\.)",
+            r"sun[- ]synchronous orbit[:\s]*(.+?)(?:\n|\.)",
+        ],
+        "instruments": [
+            r"instrument[s]?[:\s]+(.+?)(?:\n\n|\z)",
+            r"payload[s]?[:\s]+(.+?)(?:\n\n|\z)",
+            r"sensor[s]?[:\s]+(.+?)(?:\n\n|\z)",
+        ],
+        "launch_vehicle": [
+            r"launch vehicle[:\s]+(.+?)(?:\n|\.)",
+            r"launched (?:by|on|aboard)[:\s]+(.+?)(?:\n|\.)",
+            r"rocket[:\s]+(.+?)(?:\n|\.)",
+            r"(ariane\s*\d+[^.]*)",
+            r"(vega[^.]*)",
+            r"(soyuz[^.]*)",
+        ],
+    },
+    "tables": {
+        "launch_date": [
+            r"launch\s+date[:\s]+([A-Za-z0-9 ,/\-]+)",
+            r"launched[:\s]+([A-Za-z0-9 ,/\-]+)",
+        ],
+        "objective": [
+            r"objective[s]?[:\s]+(.+?)(?:\n\n|\z)",
+            r"purpose[:\s]+(.+?)(?:\n\n|\z)",
+            r"mission overview[:\s]+(.+?)(?:\n\n|\z)",
+        ],
+        "agency": [
+            r"agency[:\s]+(.+?)(?:\n|\.)",
+            r"managed by[:\s]+(.+?)(?:\n|\.)",
+        ],
+        "spacecraft": [
+            r"spacecraft[:\s]+(.+?)(?:\n|\.)",
+            r"satellite[:\s]+(.+?)(?:\n|\.)",
+        ],
+        "orbit": [
+            r"orbit(?:al)? (?:type|altitude)[:\s]+(.+?)(?:\n|\.)",
+            r"altitude[:\s]+(.+?)(?:\n|\.)",
+        ],
+    },
 }
 
-#: Patterns of each field for each style of source, in Java's syntax.
-FIELDS: dict[str, dict[str, list[str]]] = {
-    style: {field: [f"{FLAGS}{label}{value}" for label, value in rows] for field, rows in table.items()} for style, table in (("list", _LIST), ("cards", _CARDS), ("tables", _TABLES))
-}
+#: The same with the flags that they are meant with.
+FIELDS: dict[str, dict[str, list[str]]] = {style: {field: [FLAGS + p for p in patterns] for field, patterns in fields.items()} for style, fields in PATTERNS.items()}
