@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from .pii import IBAN, KINDS, WINDOW
-
 MIXING = """
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS key, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
@@ -45,13 +43,28 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+#: Fixed values, stated here once more so that the SQL does not follow the operator: countries by the length of their IBANs, and of each kind the base score, the words that raise it and those that lower it.
+_IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_IBAN = "(?:" + "|".join(f"(?:{'|'.join(names.split())})[0-9][0-9](?: ?[A-Z0-9]){{{length - 4}}}" for length, names in _IBAN_COUNTRIES.items()) + ")"
+_SCORES = {
+    "email": (0.9, "mail mails email contact write correo courriel", ""),
+    "ip": (0.6, "ip address host server login", "version release section chapter"),
+    "card": (0.8, "card visa mastercard credit karte carte tarjeta", "isbn order serial tracking"),
+    "phone": (0.7, "phone telephone telefon call tel mobile fax whatsapp", ""),
+    "iban": (0.8, "iban account bank konto compte cuenta", ""),
+}
+_WINDOW = 40
+
 #: The contract's patterns, and for IBANs one without lookaround.
 _PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": rf"\b{IBAN}\b",
+    "iban": rf"\b{_IBAN}\b",
 }
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({_DIGITS})[i] AS INT) ELSE CAST(reverse({_DIGITS})[i] AS INT) * 2 // 10 + CAST(reverse({_DIGITS})[i] AS INT) * 2 % 10 END)) % 10 = 0"
@@ -65,24 +78,24 @@ _VALID = {
 }
 
 
-def _near(words: tuple[str, ...], amount: str) -> str:
-    return f"CASE WHEN regexp_matches(around, '(?:^|[^a-z])(?:{'|'.join(words)})') THEN {amount} ELSE 0 END" if words else "0"
+def _near(words: str, amount: str) -> str:
+    """The amount if one of the words stands whole in the text around."""
+    return f"CASE WHEN regexp_matches(around, '(?:^|[^a-z])(?:{'|'.join(words.split())})(?:[^a-z]|$)') THEN {amount} ELSE 0 END" if words else "0"
 
 
 def _pii() -> str:
     matched = " UNION ALL ".join(
-        f"SELECT rid, t, '{k.name}' AS kind, {i} AS ord, regexp_extract_all(t, '{_PLAIN[k.name]}') AS ms, regexp_split_to_array(t, '{_PLAIN[k.name]}') AS ps FROM d WHERE regexp_matches(t, '{_PLAIN[k.name]}')"
-        for i, k in enumerate(KINDS)
+        f"SELECT rid, t, '{k}' AS kind, {i} AS ord, regexp_extract_all(t, '{_PLAIN[k]}') AS ms, regexp_split_to_array(t, '{_PLAIN[k]}') AS ps FROM d WHERE regexp_matches(t, '{_PLAIN[k]}')" for i, k in enumerate(_SCORES)
     )
-    fine = " OR ".join(f"(kind = '{k.name}' AND CASE WHEN kind = '{k.name}' THEN {_VALID[k.name]} END)" for k in KINDS)
-    score = "CASE kind " + " ".join(f"WHEN '{k.name}' THEN {k.score}::DOUBLE + {_near(k.more, '0.1::DOUBLE')} - {_near(k.less, '0.3::DOUBLE')}" for k in KINDS) + " END"
+    fine = " OR ".join(f"(kind = '{k}' AND CASE WHEN kind = '{k}' THEN {_VALID[k]} END)" for k in _SCORES)
+    score = "CASE kind " + " ".join(f"WHEN '{k}' THEN {base}::DOUBLE + {_near(more, '0.1::DOUBLE')} - {_near(less, '0.3::DOUBLE')}" for k, (base, more, less) in _SCORES.items()) + " END"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 x AS ({matched}),
 e AS (SELECT rid, t, kind, ord, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, unnest(ps[2:len(ms) + 1]) AS after FROM x),
 s AS (SELECT *, sum(length(p)) OVER w + sum(length(m)) OVER w - length(m) AS a FROM e WINDOW w AS (PARTITION BY rid, kind ORDER BY i)),
 f AS (SELECT rid, kind, ord, CAST(a AS BIGINT) AS a, CAST(a + length(m) AS BIGINT) AS b,
-  lower(right(p, {WINDOW}) || ' ' || left(after, {WINDOW})) AS around FROM s WHERE {fine}),
+  lower(right(p, {_WINDOW}) || ' ' || left(after, {_WINDOW})) AS around FROM s WHERE {fine}),
 g AS (SELECT rid, kind, ord, a, kind || ':' || a || ':' || b AS span, printf('%.2f', {score}) AS score FROM f),
 o AS (SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
   count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'iban') AS n_iban, string_agg(span, ',' ORDER BY ord, a) FILTER (kind <> 'iban') AS base,

@@ -437,6 +437,20 @@ def test_pii_spans_that_overlap(spark):
     assert row["text"] == "see [IP] and +1 4111 1111 1111 1111, [EMAIL],[EMAIL] " + "é" * 5000 + " [EMAIL] end"
 
 
+def test_pii_scores_are_those_of_the_sql(spark, tmp_path):
+    """Where whole context words, their ends and the window decide."""
+    texts = [
+        "she called +1 2345 6789 0 now", "call +1 2345 6789 0 now", "recall +1 2345 6789 0", "+1 2345 6789 0 call", "+1 2345 6789 0 calls", "tel. +1 2345 6789 0", "CALL:+1 2345 6789 0",
+        "call" + " " * 37 + "+1 2345 6789 0", "call" + " " * 36 + "+1 2345 6789 0", "versions 1.2.3.4", "version 1.2.3.4 host", "host 1.2.3.4 and 5.6.7.8 server", "ips 1.2.3.4", "visa 4111 1111 1111 1111 order",
+        "orders 4111 1111 1111 1111", "konto DE89 3704 0044 0532 0130 00", "kontos DE89 3704 0044 0532 0130 00", "mail a@b.de", "gmail a@b.de", "a@b.de, write", None, "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert oracle.difference(spark, queries.op9_pii, queries.oracle_sql()["op9_pii"], str(tmp_path)) == ""
+    scores = {r["doc_id"]: r["scores"] for r in pii.detect(docs).collect()}
+    assert [scores[i] for i in range(5)] == ["0.70", "0.80", "0.70", "0.80", "0.70"] and scores[7] == "0.70" and scores[8] == "0.80"
+
+
 def test_pii_time_follows_the_number_of_matches(spark):
     n = 100_000
     text = " ".join(f"é{i}@host{i}.org 10.0.{i % 300}.7" for i in range(n))
