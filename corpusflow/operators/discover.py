@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..sources.html import absolutised, cards, cells, headings, html_links, html_nodes, links
+from ..sources.html import CARD, CELL, HEADING, LINK, absolutised, cards_of, cells, cells_of, has, headings_of, html_links, html_nodes, links_of, rows_of
 from .numbering import checkpoint
 from .relational import fallback, keep_first
 
@@ -64,20 +64,20 @@ def carded(pages: DataFrame, key: str, base: str, html: str = "html", sections:
     """(key, pos, name, source_url, description, pillar) of cards; of links into `sections` on pages without any card."""
     shown = lambda rows: keep_first(rows.where(F.length("name") >= 2), [F.col(key), F.lower("name")], ["pos"])
     url = F.when(F.startswith("href", F.lit("http")), F.col("href")).otherwise(F.concat(F.lit(base), F.col("href")))
-    table = checkpoint(html_nodes(pages, key, html))
-    primary = cards(table, key).select(key, "pos", strip(F.col("name")).alias("name"), url.alias("source_url"), "description", "pillar")
-    second = links(table, key).where(F.col("href").rlike(sections))
+    kept = checkpoint(html_nodes(pages, key, html).select(key, cards_of().alias("cards"), links_of().alias("links")))
+    primary = rows_of(kept, key, F.col("cards"), *CARD).select(key, "pos", strip(F.col("name")).alias("name"), url.alias("source_url"), "description", "pillar")
+    second = rows_of(kept, key, F.col("links"), *LINK).where(F.col("href").rlike(sections))
     second = second.select(key, "pos", strip(F.col("text")).alias("name"), url.alias("source_url"), F.lit("").alias("description"), F.lit("").alias("pillar"))
     return fallback(shown(primary), shown(second), key)
 
 
 def tabled(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """rows_of_tables() of pages."""
-    return rows_of_tables(html_nodes(pages, key, html), key)
+    return rows_of_tables(cells(html_nodes(pages, key, html), key), key)
 
 
-def rows_of_tables(table: DataFrame, key: str) -> DataFrame:
-    """(key, tbl, row, href, fields: map) of table rows that have a name of 2 characters at least.
+def rows_of_tables(found: DataFrame, key: str) -> DataFrame:
+    """(key, tbl, row, href, fields: map) of the table rows of cells that have a name of 2 characters at least.
 
     A cell's field is that of its first known class; a later cell of the same field wins. Rows without any known class go by
     position, surplus cells are col_<i>. Cells that say nothing are left out.
@@ -86,7 +86,7 @@ def rows_of_tables(table: DataFrame, key: str) -> DataFrame:
     field = F.get(F.filter(F.transform("classes", lambda c: F.try_element_at(known, c)), lambda f: f.isNotNull()), F.lit(0))
     place = F.array(*[F.array(*map(F.lit, LAYOUTS[n])) for n in sorted(LAYOUTS)])
     by_place = F.coalesce(F.get(F.get(place, layout(F.col("n_cols")) - 2), F.col("col")), F.concat(F.lit("col_"), F.col("col").cast("string")))
-    shown = cells(table, key).select(key, "tbl", "row", "col", "text", "href", field.alias("by_class"), by_place.alias("by_place"))
+    shown = found.select(key, "tbl", "row", "col", "text", "href", field.alias("by_class"), by_place.alias("by_place"))
     rows = shown.groupBy(key, "tbl", "row").agg(
         F.array_sort(F.collect_list(F.when(F.col("by_class").isNotNull() & (F.col("by_class") != "_sl"), F.struct("col", F.col("by_class").alias("field"), "text")))).alias("classed"),
         F.array_sort(F.collect_list(F.when(F.col("by_place") != "_sl", F.struct("col", F.col("by_place").alias("field"), "text")))).alias("placed"),
@@ -104,14 +104,16 @@ def in_categories(pages: DataFrame, key: str, category: str, base: str, html: st
     names = ["name", *TABLE_FIELDS]
     get = lambda k: F.coalesce(F.try_element_at("fields", F.lit(k)), F.lit("")).alias(k)
     extra = F.map_filter("fields", lambda k, v: ~k.isin(*names))
-    table = checkpoint(html_nodes(pages, key, html))  # each page is parsed once
-    first = rows_of_tables(table, key).select(key, F.struct("tbl", "row").alias("at"), F.coalesce("href", F.lit("")).alias("href"), *[get(k) for k in names], extra.alias("extra"))
-    with_tables = table.where(F.exists("nodes", lambda n: n["tag"] == "table")).select(key).union(pages.where(F.lower(html).contains("<table")).select(key)).distinct()
-    plain = table.join(with_tables, key, "left_anti")
+    # each page is parsed once, and what is looked for is kept, not the page
+    kept = html_nodes(pages, key, html).select(key, cells_of().alias("cells"), links_of().alias("links"), headings_of().alias("headings"), has("table").alias("table"))
+    kept = checkpoint(kept)
+    first = rows_of_tables(rows_of(kept, key, F.col("cells"), *CELL), key).select(key, F.struct("tbl", "row").alias("at"), F.coalesce("href", F.lit("")).alias("href"), *[get(k) for k in names], extra.alias("extra"))
+    with_tables = kept.where("table").select(key).union(pages.where(F.lower(html).contains("<table")).select(key)).distinct()
+    plain = kept.join(with_tables, key, "left_anti")
     at = F.struct(F.lit(0).alias("tbl"), F.col("pos").alias("row")).alias("at")
-    linked = links(plain, key).where(F.col("href").rlike(RELATED)).select(key, at, "href", strip(F.col("text")).alias("name")).where(F.length("name") >= 3)
+    linked = rows_of(plain, key, F.col("links"), *LINK).where(F.col("href").rlike(RELATED)).select(key, at, "href", strip(F.col("text")).alias("name")).where(F.length("name") >= 3)
     linked = keep_first(linked, [F.col(key), F.lower("name")], ["at"])
-    bold = headings(plain, key).select(key, at, F.lit("").alias("href"), strip(F.col("text")).alias("name")).where(F.length("name").between(4, 120))
+    bold = rows_of(plain, key, F.col("headings"), *HEADING).select(key, at, F.lit("").alias("href"), strip(F.col("text")).alias("name")).where(F.length("name").between(4, 120))
     found = first.unionByName(fallback(linked, bold, key), allowMissingColumns=True)
     found = found.join(pages.select(key, category, base), key)
     found = keep_first(found, [F.lower("name"), F.col(category)], [key, "at"])

@@ -20,6 +20,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CHROME = frozenset("nav header footer script style noscript aside form".split())
 BLOCKS = ("h1", "h2", "h3", "h4", "p", "li", "td")
 HEADINGS = ("h1", "h2", "h3", "h4", "strong", "b")
+#: Fields of the rows made here.
+LINK, CARD, CELL, HEADING = ("href", "text"), ("href", "name", "description", "pillar"), ("tbl", "row", "col", "n_cols", "classes", "text", "href"), ("tag", "text")
 
 
 class Node:
@@ -126,23 +128,28 @@ def _first(nodes: Column) -> Column:
     return F.get(nodes, F.lit(0))
 
 
-def _rows(table: DataFrame, key: str, found: Column, *fields: str) -> DataFrame:
+def rows_of(table: DataFrame, key: str, found: Column, *fields: str) -> DataFrame:
     """(key, pos, fields) for every element of the array `found`, pos from 0."""
     return table.select(key, F.posexplode(found).alias("pos", "__x")).select(key, "pos", *[F.col(f"__x.{f}") for f in fields])
 
 
-def links(table: DataFrame, key: str, within: str = "") -> DataFrame:
-    """(key, pos, href, text) of all links, or of the first one in each element `within`."""
+def links_of(within: str = "") -> Column:
+    """array<struct<href, text>> of all links, or of the first one in each element `within`."""
     fields = lambda a: F.struct(a["href"].alias("href"), _text(a).alias("text"))
     addressed = lambda nodes: F.filter(nodes, lambda n: (n["tag"] == "a") & n["href"].isNotNull())
     if not within:
-        return _rows(table, key, F.transform(addressed(F.col("nodes")), fields), "href", "text")
+        return F.transform(addressed(F.col("nodes")), fields)
     each = F.filter(F.transform(_find(F.col("nodes"), within), lambda box: _first(addressed(_below(box)))), lambda a: a.isNotNull())
-    return _rows(table, key, F.transform(each, fields), "href", "text")
+    return F.transform(each, fields)
+
+
+def links(table: DataFrame, key: str, within: str = "") -> DataFrame:
+    """(key, pos, href, text) of links_of()."""
+    return rows_of(table, key, links_of(within), *LINK)
 
 
-def cards(table: DataFrame, key: str, css: str = "mission", heading: str = "heading", description: str = "description", pillar: str = "pillar") -> DataFrame:
-    """(key, pos, href, name, description, pillar) of the elements `div` that have the class and a link."""
+def cards_of(css: str = "mission", heading: str = "heading", description: str = "description", pillar: str = "pillar") -> Column:
+    """array<struct<href, name, description, pillar>> of the elements `div` that have the class and a link."""
 
     def said(box: Column, tag: str, name: str) -> Column:
         found = _first(F.filter(_below(box), lambda n: (n["tag"] == tag) & F.array_contains(n["classes"], name)))
@@ -153,13 +160,18 @@ def cards(table: DataFrame, key: str, css: str = "mission", heading: str = "head
         return F.struct(href.alias("href"), said(box, "h3", heading).alias("name"), said(box, "p", description).alias("description"), said(box, "span", pillar).alias("pillar"))
 
     boxes = F.filter(F.col("nodes"), lambda n: (n["tag"] == "div") & F.array_contains(n["classes"], css))
-    return _rows(table, key, F.filter(F.transform(boxes, card), lambda c: c["href"].isNotNull()), "href", "name", "description", "pillar")
+    return F.filter(F.transform(boxes, card), lambda c: c["href"].isNotNull())
 
 
-def cells(table: DataFrame, key: str) -> DataFrame:
-    """(key, pos, tbl, row, col, n_cols, classes, text, href) of the cells of body rows; tables without a body are one."""
+def cards(table: DataFrame, key: str) -> DataFrame:
+    """(key, pos, href, name, description, pillar) of cards_of()."""
+    return rows_of(table, key, cards_of(), *CARD)
+
+
+def cells_of() -> Column:
+    """array<struct<tbl, row, col, n_cols, classes, text, href>> of the cells of body rows; tables without a body are one."""
 
-    def rows_of(t: Column) -> Column:
+    def body_rows(t: Column) -> Column:
         bodies = _find(_below(t), "tbody")
         rows = F.flatten(F.transform(F.when(F.size(bodies) > 0, bodies).otherwise(F.array(t)), lambda b: _find(_below(b), "tr")))
         return F.filter(F.transform(rows, lambda r: _find(_below(r), "td")), lambda tds: F.size(tds) > 0)
@@ -168,8 +180,13 @@ def cells(table: DataFrame, key: str) -> DataFrame:
         href = _first(F.filter(_below(td), lambda n: (n["tag"] == "a") & n["href"].isNotNull()))["href"]
         return F.struct(t.alias("tbl"), r.alias("row"), c.alias("col"), F.size(tds).alias("n_cols"), td["classes"].alias("classes"), _text(td, " ").alias("text"), F.coalesce(href, F.lit("")).alias("href"))
 
-    every = F.transform(_find(F.col("nodes"), "table"), lambda t, i: F.flatten(F.transform(rows_of(t), lambda tds, r: F.transform(tds, lambda td, c: cell(i, r, c, tds, td)))))
-    return _rows(table, key, F.flatten(every), "tbl", "row", "col", "n_cols", "classes", "text", "href")
+    every = F.transform(_find(F.col("nodes"), "table"), lambda t, i: F.flatten(F.transform(body_rows(t), lambda tds, r: F.transform(tds, lambda td, c: cell(i, r, c, tds, td)))))
+    return F.flatten(every)
+
+
+def cells(table: DataFrame, key: str) -> DataFrame:
+    """(key, pos, tbl, row, col, n_cols, classes, text, href) of cells_of()."""
+    return rows_of(table, key, cells_of(), *CELL)
 
 
 def blocks(table: DataFrame, key: str, extra: tuple[str, ...] = (), tags: tuple[str, ...] = BLOCKS) -> DataFrame:
@@ -183,12 +200,22 @@ def blocks(table: DataFrame, key: str, extra: tuple[str, ...] = (), tags: tuple[
         return F.struct(n["tag"].alias("tag"), F.array_join(F.when(F.size(inner) > 0, kept).otherwise(own), " ").alias("text"))
 
     outside = F.filter(_find(F.col("nodes"), *tags), lambda n: ~F.exists(chrome, lambda c: (c["i"] <= n["i"]) & (n["i"] <= c["last"])))
-    return _rows(table.withColumn("__chrome", _find(F.col("nodes"), *sorted(CHROME | set(extra)))), key, F.transform(outside, block), "tag", "text")
+    return rows_of(table.withColumn("__chrome", _find(F.col("nodes"), *sorted(CHROME | set(extra)))), key, F.transform(outside, block), "tag", "text")
+
+
+def headings_of() -> Column:
+    """array<struct<tag, text>>."""
+    return F.transform(_find(F.col("nodes"), *HEADINGS), lambda n: F.struct(n["tag"].alias("tag"), _text(n).alias("text")))
 
 
 def headings(table: DataFrame, key: str) -> DataFrame:
     """(key, pos, tag, text)."""
-    return _rows(table, key, F.transform(_find(F.col("nodes"), *HEADINGS), lambda n: F.struct(n["tag"].alias("tag"), _text(n).alias("text"))), "tag", "text")
+    return rows_of(table, key, headings_of(), *HEADING)
+
+
+def has(tag: str) -> Column:
+    """Whether a page has such an element."""
+    return F.exists("nodes", lambda n: n["tag"] == tag)
 
 
 # The same from pages, where only one thing is looked for.
