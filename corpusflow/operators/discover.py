@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..sources.html import CARD, CELL, HEADING, LINK, absolutised, cards_of, cells, cells_of, has, headings_of, html_links, html_nodes, links_of, rows_of
+from ..sources.html import CARD, CELL, LINK, absolutised, cards_of, cells, cells_of, has, headings_of, html_links, html_nodes, links_of, rows_of
 from .numbering import checkpoint
 from .relational import fallback, keep_first
 
@@ -104,16 +104,18 @@ def in_categories(pages: DataFrame, key: str, category: str, base: str, html: st
     names = ["name", *TABLE_FIELDS]
     get = lambda k: F.coalesce(F.try_element_at("fields", F.lit(k)), F.lit("")).alias(k)
     extra = F.map_filter("fields", lambda k, v: ~k.isin(*names))
-    # each page is parsed once, and what is looked for is kept, not the page
-    kept = html_nodes(pages, key, html).select(key, cells_of().alias("cells"), links_of().alias("links"), headings_of().alias("headings"), has("table").alias("table"))
+    # each page is parsed once, and only what can be an entry is kept: an unclosed heading holds the rest of its page
+    entry = lambda x, i, href: F.struct(i.alias("row"), href.alias("href"), strip(x["text"]).alias("name"))
+    linked = F.filter(F.transform(links_of(), lambda x, i: entry(x, i, x["href"])), lambda x: x["href"].rlike(RELATED) & (F.length(x["name"]) >= 3))
+    bold = F.filter(F.transform(headings_of(), lambda x, i: entry(x, i, F.lit(""))), lambda x: F.length(x["name"]).between(4, 120))
+    kept = html_nodes(pages, key, html).select(key, cells_of().alias("cells"), linked.alias("links"), bold.alias("headings"), has("table").alias("table"))
     kept = checkpoint(kept)
     first = rows_of_tables(rows_of(kept, key, F.col("cells"), *CELL), key).select(key, F.struct("tbl", "row").alias("at"), F.coalesce("href", F.lit("")).alias("href"), *[get(k) for k in names], extra.alias("extra"))
     with_tables = kept.where("table").select(key).union(pages.where(F.lower(html).contains("<table")).select(key)).distinct()
     plain = kept.join(with_tables, key, "left_anti")
-    at = F.struct(F.lit(0).alias("tbl"), F.col("pos").alias("row")).alias("at")
-    linked = rows_of(plain, key, F.col("links"), *LINK).where(F.col("href").rlike(RELATED)).select(key, at, "href", strip(F.col("text")).alias("name")).where(F.length("name") >= 3)
+    at = F.struct(F.lit(0).alias("tbl"), "row").alias("at")
+    linked, bold = (rows_of(plain, key, F.col(c), "row", "href", "name").select(key, at, "href", "name") for c in ("links", "headings"))
     linked = keep_first(linked, [F.col(key), F.lower("name")], ["at"])
-    bold = rows_of(plain, key, F.col("headings"), *HEADING).select(key, at, F.lit("").alias("href"), strip(F.col("text")).alias("name")).where(F.length("name").between(4, 120))
     found = first.unionByName(fallback(linked, bold, key), allowMissingColumns=True)
     found = found.join(pages.select(key, category, base), key)
     found = keep_first(found, [F.lower("name"), F.col(category)], [key, "at"])
