@@ -20,3 +20,7 @@ def cut_titles(spark, tmp_path_factory):
 
 def test_blocks_with_references_cut_short(spark, cut_titles):
     assert oracle.difference(spark, QUERIES["html_blocks"], SQL["html_blocks"], cut_titles) == ""
+
+
+def test_categories_with_references_cut_short(spark, cut_titles):
+    assert oracle.difference(spark, QUERIES["page_categories"], SQL["page_categories"], cut_titles) == ""
