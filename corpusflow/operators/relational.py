@@ -88,6 +88,13 @@ def failures(status: DataFrame) -> DataFrame:
     return number(status.where(F.col("status") != "ok").select("name"), ["name"]).select("n", "name")
 
 
+def run_report(status: DataFrame) -> DataFrame:
+    """(total, ok_document, ok_other, failed, n, failed_name): run_summary() beside each of failures(); one row without a name if nothing failed."""
+    counts = run_summary(status)
+    named = failures(status).select("n", F.col("name").alias("failed_name")).crossJoin(F.broadcast(counts)).select(*counts.columns, "n", "failed_name")
+    return named.unionByName(counts.where("failed = 0"), allowMissingColumns=True)
+
+
 def listing(rows: DataFrame, category: str, name: str, pos: str) -> DataFrame:
     """(category, n, name): names in order of appearance, numbered from 1 in each category."""
     return number(rows.select(category, name, pos), [pos], [category]).select(category, "n", name)

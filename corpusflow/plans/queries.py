@@ -406,9 +406,11 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.when(ok, "ok").otherwise("failed").alias("status"), source.alias("source"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("name"))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority LIKE '1%') AS ok_document, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority NOT LIKE '1%') AS ok_other, count(*) FILTER (o_orderstatus <> 'F') AS failed FROM orders")
+@query("""WITH s AS (SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority LIKE '1%') AS ok_document, count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority NOT LIKE '1%') AS ok_other, count(*) FILTER (o_orderstatus <> 'F') AS failed FROM orders),
+f AS (SELECT row_number() OVER (ORDER BY name) AS n, name AS failed_name FROM (SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS name FROM orders WHERE o_orderstatus <> 'F'))
+SELECT total, ok_document, ok_other, failed, n, failed_name FROM s LEFT JOIN f ON true""")
 def run_summary(spark, sf_dir):
-    return relational.run_summary(run_status(spark, sf_dir))
+    return relational.run_report(run_status(spark, sf_dir))
 
 
 @query("SELECT row_number() OVER (ORDER BY name) AS n, name FROM (SELECT lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS name FROM orders WHERE o_orderstatus <> 'F')")

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.text import duration, timestamp_text
 from corpusflow.operators import acquire, generate
-from corpusflow.operators.relational import progress
+from corpusflow.operators.relational import progress, run_report
+from corpusflow.plans.queries import QUERIES
 from corpusflow.sources import files
 from corpusflow.sources.http import store_sink
 from corpusflow.streaming.resume import into_batches, process_new
@@ -77,3 +78,12 @@ def test_store_sink(spark, tmp_path):
     for n in (1, 2):
         spark.createDataFrame([("a", n), ("b", n)], "k string, n int").write.format("little_store").mode("append").save()
     assert sorted(p.read_text() for p in tmp_path.glob("*.json")) == ['{"k": "a", "n": 2}', '{"k": "b", "n": 2}']
+
+
+def test_run_report_names_every_failure(spark, sf):
+    status = spark.createDataFrame([("e", "failed", ""), ("a", "ok", "pdf"), ("b", "ok", "webpage"), ("c", "failed", "")], "name string, status string, source string")
+    assert sorted(tuple(r) for r in run_report(status).collect()) == [(4, 1, 1, 2, 1, "c"), (4, 1, 1, 2, 2, "e")]
+    assert [tuple(r) for r in run_report(status.where("status = 'ok'")).collect()] == [(2, 1, 1, 0, None, None)]
+    assert [tuple(r) for r in run_report(status.where("false")).collect()] == [(0, 0, 0, 0, None, None)]
+    failed = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderstatus <> 'F'").count()
+    assert QUERIES["run_summary"](spark, sf).where("failed_name is not null").count() == failed > 0
