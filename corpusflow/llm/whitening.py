@@ -1,10 +1,11 @@
 """Embedding whitening by matrix-free block subspace iteration.
 
 A component c becomes the whole number x = floor(SCALE * c) + SHIFT. The fit list holds each different vector once; it is packed in blocks and kept
-in the checkpoint folder, so vectors are shuffled once. A pass over the blocks computes Z = X'(XQ) on rows centred before they are multiplied, for a block of
-orthonormal columns Q; the covariance itself is never formed unless Q spans everything. Rayleigh-Ritz on Q'Z gives eigenpairs, ZW - QWL their
-residuals; QR of Z gives the next Q. The iteration ends when the residuals of all k components are below TOLERANCE times the largest eigenvalue. Q has BLOCK * k columns
-at most: a spectrum without gaps needs such room, and a vector of no more components than that is done in one pass. A last pass whitens the fit list and
+in the checkpoint folder, so vectors are shuffled once. A pass over the blocks computes Z = X'(XQ) on rows centred before they are multiplied, for a block Q
+of k orthonormal columns; the covariance itself is never formed. The driver keeps a space S of BLOCK * k columns at most with its images Z: Rayleigh-Ritz on S'Z
+gives eigenpairs, ZW - SWL their residuals; the best Ritz vectors stay, and the residuals, made orthonormal to them by QR, are the next Q. As the space holds
+earlier blocks, a spectrum that is flat or far from zero needs few more passes than another. The iteration ends when the residuals of all k components
+are below TOLERANCE times the largest eigenvalue, or when S spans everything, which vectors of more than BLOCK * k components never come to. A last pass whitens the fit list and
 measures how far its covariance is from the identity.
 
 Parts of sums are added one after the other by row of Z, so neither the driver nor a task holds more than one row for each task. Sums of x are whole numbers.
@@ -28,7 +29,7 @@ from ._common import added, checkpoint, packed
 from ._shards import _matrix
 from .yinyang import finite
 
-K, SCALE, SHIFT, BLOCK = 16, 64, 1_000_000, 4
+K, SCALE, SHIFT, BLOCK = 16, 64, 1_000_000, 3
 TOLERANCE, PASSES, SEED, NO_VARIANCE = 1e-13, 1000, 13, 1e-12
 
 
@@ -121,28 +122,34 @@ def _summed(blocks: DataFrame, d: int, make) -> np.ndarray:
 
 def components(blocks: DataFrame, d: int, n: int, mean: np.ndarray, k: int = K, block: int = BLOCK, tolerance: float = TOLERANCE, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, float, int]:
     """(eigenvalues, eigenvectors by column, trace, passes) of the covariance: the k largest, without those of no variance."""
-    k, b = min(k, d), min(d, block * min(k, d))
-    q = np.eye(d) if b == d else np.linalg.qr(np.random.default_rng(SEED).normal(size=(d, b)))[0]
+    k = min(k, d)
+    new = np.linalg.qr(np.random.default_rng(SEED).normal(size=(d, k)))[0]
+    space, images = np.empty((d, 0)), np.empty((d, 0))
     for i in range(1, passes + 1):
 
-        def product(x: np.ndarray, q: np.ndarray = q) -> np.ndarray:
+        def product(x: np.ndarray, q: np.ndarray = new) -> np.ndarray:
             y = x - mean
             z = y.T @ (y @ q)
             return np.vstack([z, np.full((1, z.shape[1]), (y * y).sum())])
 
         z = _summed(blocks, d, product) / n
-        z, trace = z[:d], float(z[d, 0])
-        values, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
-        values, turn = values[::-1][:k], turn[:, ::-1]
-        vectors = q @ turn[:, :k]
-        left = np.linalg.norm(z @ turn[:, :k] - vectors * values, axis=0)
-        if left.max(initial=0.0) <= tolerance * max(values[0], 0.0):
+        trace = float(z[d, 0])
+        space, images = np.hstack([space, new]), np.hstack([images, z[:d]])
+        values, turn = np.linalg.eigh((space.T @ images + images.T @ space) / 2)
+        values, space, images = values[::-1], space @ turn[:, ::-1], images @ turn[:, ::-1]
+        left = images[:, :k] - space[:, :k] * values[:k]
+        sizes = np.linalg.norm(left, axis=0)
+        if sizes.max(initial=0.0) <= tolerance * max(values[0], 0.0):
             break
-        if b == d:  # the whole space: what is left is rounding
+        if space.shape[1] == d:  # the whole space: what is left is rounding
             break
-        q = np.linalg.qr(z)[0]
+        room = min(space.shape[1], max(block - 1, 1) * k)
+        space, images = space[:, :room], images[:, :room]
+        # QR gives orthonormal columns also where a residual is nothing, then any direction
+        new = np.linalg.qr(np.hstack([space, left / np.maximum(sizes, 1e-300)]))[0][:, room : min(room + k, d)]
     else:
         raise ValueError(f"residuals above {tolerance} after {passes} passes")
+    values, vectors = values[:k], space[:, :k]
     varied = values > NO_VARIANCE * max(values[0], 0.0)
     values, vectors = values[varied], vectors[:, varied]
     vectors = vectors / np.linalg.norm(vectors, axis=0)

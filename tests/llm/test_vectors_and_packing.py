@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -119,6 +120,26 @@ def test_whitening_equals_brute_force(spark, d, k, n):
         assert min(np.abs(a - b).max(), np.abs(a + b).max()) < 1e-6
 
 
+def test_whitening_iterates_at_the_size_of_the_query(spark, monkeypatch):
+    df, _ = vectors(spark, 500, 64, spread=1.0)
+    rows = df.where("size(embedding) = 64").select(F.col("embedding").cast("array<double>").alias("v")).where("forall(v, x -> abs(x) < 1e9)")
+    blocks = whitening.fit_list(rows, 64, whitening.SCALE)
+    n, s = whitening.sums(blocks, 64)
+    widths, made = [], whitening._summed
+
+    def summed(blocks, d, make):
+        z = made(blocks, d, make)
+        widths.append(z.shape[1])
+        return z
+
+    monkeypatch.setattr(whitening, "_summed", summed)
+    values, axes, trace, passes = whitening.components(blocks, 64, n, np.array([a / n for a in s]))
+    assert passes == len(widths) > 3 and max(widths) == whitening.K  # blocks of k columns, never the covariance
+    x = np.concatenate(list(whitening._each([pa.RecordBatch.from_arrays([pa.array([r[c] for r in blocks.collect()]) for c in ("kind", "x")], ["kind", "x"])], 64)))
+    e, u = np.linalg.eigh(np.cov(x.T, bias=True))
+    assert np.abs(values / e[::-1][:16] - 1).max() < 1e-12 and abs(trace / e.sum() - 1) < 1e-12 and np.abs(np.abs((axes * u[:, ::-1][:, :16]).sum(axis=0)) - 1).max() < 1e-9
+
+
 def test_whitening_of_little(spark):
     df, rows = vectors(spark, 4)
     assert whitening.whiten(df.where("vec_id < 0")).collect() == []
