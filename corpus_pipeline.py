@@ -27,7 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the row with the smallest doc_id stays; rows without an id have no place in that order and stay."""
+    """Texts are linked by their SimHash fingerprints, as in op8, and by their shingle sets. Of each class the row with the smallest doc_id stays;
+    rows without an id have no place in that order and stay."""
     return simhash.one_of_each(_own(docs))
 
 

@@ -266,28 +266,28 @@ def apart(a: bytes, b: bytes) -> int:
     return (x ^ int.from_bytes(b, "little")).bit_count()
 
 
-def signed(rows: DataFrame, similarity: float) -> DataFrame:
-    """(doc_id, hash, digest, size, keys, bits) of rows (doc_id, hash, text). A word sequence that a task has met has no keys and bits."""
+def signed(rows: DataFrame, similarity: float, prints: bool = False) -> DataFrame:
+    """(doc_id, hash, digest, size, keys, bits, fp) of rows (doc_id, hash, text). A word sequence that a task has met has no keys, bits and fingerprint."""
     sent = rows.sparkSession.sparkContext.broadcast(counted(rows))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sent.value, set()
         for batch in (x.slice(i, _BATCH) for x in batches for i in range(0, x.num_rows, _BATCH)):
             texts = batch.column(2).to_pylist()
-            digests, sizes, keys, bits = list(map(_digest, texts)), [], [], []
-            for digest, h in zip(digests, sets(texts)):
+            digests, sizes, keys, bits, fps = list(map(_digest, texts)), [], [], [], []
+            for digest, text, h in zip(digests, texts, sets(texts)):
                 if digest in seen:
-                    sizes.append(None), keys.append(None), bits.append(None)
+                    sizes.append(None), keys.append(None), bits.append(None), fps.append(None)
                     continue
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(digest)
-                sizes.append(len(h)), keys.append(prefix(h, similarity, counts).view(np.int64)), bits.append(parity(h))
-            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "hash", "digest", "size", "keys", "bits"])
+                sizes.append(len(h)), keys.append(prefix(h, similarity, counts).view(np.int64)), bits.append(parity(h)), fps.append(fingerprint(text) if prints else None)
+            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "hash", "digest", "size", "keys", "bits", "fp"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "hash", "text").mapInArrow(run, f"doc_id {kind}, hash long, digest binary, size int, keys array<long>, bits binary")
+    return rows.select("doc_id", "hash", "text").mapInArrow(run, f"doc_id {kind}, hash long, digest binary, size int, keys array<long>, bits binary, fp long")
 
 
 def _least_shared(similarity: float, a: Column, b: Column) -> Column:
@@ -336,22 +336,24 @@ def others(buckets: DataFrame, classes: DataFrame, similarity: float) -> DataFra
     return pairs.distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, radius: int | None = None) -> DataFrame:
     """(doc_id, hash): of every class of texts that copies and near copies link the row of smallest id (then of smallest hash).
 
+    With a radius, fingerprints within so many bits link as well, as they do in near_duplicates(): the classes are those of both kinds of links.
+
     `hash` is xxhash64 of the text, so that different texts under one id are told apart. Rows without an id are left out. Equal word
     sequences are one node before anything is compared, so a large group of copies costs one row. The sets of those texts alone that
     met another and passed the sieves are made, and a link needs an exact Jaccard similarity.
     """
     with batches_of(docs.sparkSession, _BATCH):
-        return _near_copies(docs, id_col, text, similarity)
+        return _near_copies(docs, id_col, text, similarity, radius)
 
 
-def _near_copies(docs: DataFrame, id_col: str, text: str, similarity: float) -> DataFrame:
+def _near_copies(docs: DataFrame, id_col: str, text: str, similarity: float, radius: int | None) -> DataFrame:
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
-    marks = checkpoint(signed(rows, similarity).withColumn("node", F.xxhash64("digest")))
+    marks = checkpoint(signed(rows, similarity, radius is not None).withColumn("node", F.xxhash64("digest")))
     # the node is a short name of the digest: should two digests share it, both texts are met and compared, but never taken for equal
-    reps = checkpoint(marks.groupBy("digest").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "hash")).alias("rep")))
+    reps = checkpoint(marks.groupBy("digest").agg(F.min("node").alias("node"), F.min(F.struct("doc_id", "hash")).alias("rep"), F.min("fp").alias("fp")))
     emitted = marks.where("keys is not null").select("node", "size", F.posexplode("keys").alias("pos", "key"))
     by = Window.partitionBy("key")
     met = emitted.withColumn("low", F.min("node").over(by)).withColumn("high", F.max("node").over(by)).where("low <> high")
@@ -376,6 +378,10 @@ def _near_copies(docs: DataFrame, id_col: str, text: str, similarity: float) ->
         return checkpoint(two.where(same >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - same) - 1e-9).select("a", "b"))
 
     linked = alike(checkpoint(stars(buckets, similarity)))
+    if radius is not None:  # each word sequence with the smallest one that its fingerprint reaches
+        prints = reps.select(F.col("digest").alias("doc_id"), "fp")
+        reached = looked_up(prints, checkpoint(classes(prints, radius)), "fp").where("doc_id <> component_id")
+        linked = checkpoint(linked.union(reached.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))))
     found = components(linked)
     rest = alike(checkpoint(others(buckets, found.select(F.xxhash64("node").alias("node"), F.xxhash64("component").alias("component")), similarity)))
     if not rest.isEmpty():  # classes that stars have made, joined further
@@ -387,9 +393,9 @@ def _near_copies(docs: DataFrame, id_col: str, text: str, similarity: float) ->
     return reps.join(goes, "digest", "left_anti").select("rep.*")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The row of each class that near_copies() names; of rows of that very id and text the least stays. Rows without an id stay."""
-    kept = checkpoint(near_copies(docs, id_col, text, similarity).select(F.col("doc_id").alias(id_col), F.col("hash").alias("__hash")))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The row of each class that fingerprints within the radius and near copies link; of rows of that very id and text the least stays. Rows without an id stay."""
+    kept = checkpoint(near_copies(docs, id_col, text, similarity, radius).select(F.col("doc_id").alias(id_col), F.col("hash").alias("__hash")))
     named = docs.where(F.col(id_col).isNotNull()).withColumn("__hash", F.xxhash64(F.col(text))).join(kept, [id_col, "__hash"], "left_semi")
     rest = [c for c in docs.columns if c != id_col]
     # the join has the rows of an id and text together and in order, so the least of them needs no more shuffle

@@ -634,3 +634,15 @@ def test_near_copies_in_a_hot_group(spark):
     rows += [(1000 + i, " ".join(base)) for i in range(600)] + [(2000 + i, f"common line of many texts that stands here {i} own {i} words {i * 7} follow") for i in range(20)]
     got = {r["doc_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
     assert got == {0, *range(2000, 2020)}
+
+
+def test_one_of_each_also_links_by_fingerprints(spark):
+    rng = np.random.default_rng(16)
+    texts = []
+    for i in range(12):  # a line that is repeated decides the fingerprint; what follows differs, so the sets do as well
+        line = " ".join(f"l{i}y{x}" for x in range(7))
+        texts += [(2 * i + j, f"{(line + ' ') * 200}{' '.join(f'w{x}' for x in rng.integers(0, 10**9, 30))}") for j in range(2)]
+    docs = spark.createDataFrame(texts + [(100, "all of its own words stay here")], "doc_id long, text string")
+    assert simhash.near_copies(docs).count() == 25
+    linked = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == linked and len(linked) == 13
