@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from ..functions.text import or_empty, strip
 from .numbering import number
 
 IGNORED, MOST_TOKENS, LEAST_TOKENS, MULTIPLE, BATCH = -100, 2048, 4, 8, 16
+#: Texts that a tokenizer gets at a time: their numbers take far more room than the texts, and a worker's batch may be 10,000 rows.
+TOKENISED = 64
 #: Fields that every sample must have.
 REQUIRED = ("sample_id", "source_id", "mission_name", "organization", "aspect", "difficulty", "chain_id", "messages")
 
@@ -45,13 +48,20 @@ def word_tokens(texts: pd.Series) -> list[list[int]]:
     return [[zlib.crc32(w.encode()) % 50_000 for w in t.split(" ")] if t else [] for t in texts]
 
 
-def tokenised(text: Column, tokenizer: Callable[[pd.Series], list[list[int]]] = word_tokens, most: int = MOST_TOKENS) -> Column:
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def tokenised(rows: DataFrame, tokenizer: Callable[[pd.Series], list[list[int]]] = word_tokens, most: int = MOST_TOKENS) -> DataFrame:
+    """(id, input_ids, prefix) of rows (id, text, shown): the tokens of text, and how many shown has, `most` at most. One pass, so a task has one
+    Python worker, which holds the tokens of TOKENISED texts at a time."""
+    key = rows.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.Series([x[:most] for x in tokenizer(batch)])
+            for low in range(0, batch.num_rows, TOKENISED):
+                part = batch.slice(low, TOKENISED)
+                text, shown = (tokenizer(pd.Series(part.column(i).to_pylist(), dtype=object)) for i in (1, 2))
+                columns = [part.column(0), pa.array([x[:most] for x in text], pa.list_(pa.int32())), pa.array([min(len(x), most) for x in shown], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, [key, "input_ids", "prefix"])
 
-    return run(text)
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, input_ids array<int>, prefix int")
 
 
 def masked(ids: Column, prefix: Column) -> Column:
@@ -64,8 +74,8 @@ def examples(samples: DataFrame, id_col: str, messages: str = "messages", tokeni
     """(id, input_ids, attention_mask, labels) of the samples that can be learnt from. The prefix is all messages that aren't an
     assistant's, as suits samples of one turn; turn_mask() serves those of several."""
     rows = samples.select(F.col(id_col), cleaned(F.col(messages)).alias("m")).where(F.size("m") > 0)
-    rows = rows.select(id_col, tokenised(rendered(F.col("m")), tokenizer, most).alias("input_ids"), tokenised(rendered(F.filter("m", lambda m: m["role"] != "assistant"), True), tokenizer, most).alias("prefix"))
-    rows = rows.where(F.size("input_ids") >= LEAST_TOKENS).withColumn("labels", masked(F.col("input_ids"), F.size("prefix")))
+    rows = tokenised(rows.select(id_col, rendered(F.col("m")).alias("text"), rendered(F.filter("m", lambda m: m["role"] != "assistant"), True).alias("shown")), tokenizer, most)
+    rows = rows.where(F.size("input_ids") >= LEAST_TOKENS).withColumn("labels", masked(F.col("input_ids"), F.col("prefix")))
     rows = rows.where(F.exists("labels", lambda x: x != IGNORED))
     return rows.select(id_col, "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"), "labels")
 

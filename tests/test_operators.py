@@ -160,3 +160,15 @@ def test_fetching_without_a_network(spark):
     rows = http.fetch_pages(urls, fetch=lambda u: (200, "text/html", b"x") if u == "a" else 1 / 0).orderBy("url").collect()
     assert rows[0]["body"] == b"x" and rows[1]["body"] is None and "zero" in rows[1]["error"]
     assert [tuple(r) for r in http.search(urls.withColumnRenamed("url", "n"), "n", lambda n: [{"href": n}, {"url": "u"}, {}] if n == "a" else 1 / 0).collect()] == [("a", 0, "a"), ("a", 1, "u"), ("a", 2, "")]
+
+
+def test_a_tokenizer_gets_few_texts_at_a_time(spark):
+    def tokenizer(texts):
+        assert len(texts) <= 64
+        return prepare.word_tokens(texts)
+
+    turns = [F.struct(F.lit(r).alias("role"), F.concat(F.lit(f"{r} "), F.col("id").cast("string"), F.lit(" words")).alias("content")) for r in ("user", "assistant")]
+    rows = spark.range(0, 5000, 1, 1).select("id", F.array(*turns).alias("messages"))
+    found = prepare.examples(rows, "id", tokenizer=tokenizer)
+    assert sorted(map(str, found.collect())) == sorted(map(str, prepare.examples(rows, "id").collect())) and found.count() == 5000
+    assert str(found._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1 and "ArrowEvalPython" not in str(found._jdf.queryExecution().executedPlan())
