@@ -172,3 +172,13 @@ def test_a_tokenizer_gets_few_texts_at_a_time(spark):
     found = prepare.examples(rows, "id", tokenizer=tokenizer)
     assert sorted(map(str, found.collect())) == sorted(map(str, prepare.examples(rows, "id").collect())) and found.count() == 5000
     assert str(found._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1 and "ArrowEvalPython" not in str(found._jdf.queryExecution().executedPlan())
+
+
+def test_padding_tokenises_few_texts_at_a_time(spark):
+    def tokenizer(texts):
+        assert len(texts) <= 64
+        return prepare.word_tokens(texts)
+
+    rows = spark.range(0, 1000, 1, 1).select("id", F.array(*[F.struct(F.lit(r).alias("role"), F.repeat(F.lit("word "), (F.col("id") % 9 + 3).cast("int")).alias("content")) for r in ("user", "assistant")]).alias("messages"))
+    found = prepare.padded(prepare.batched(prepare.examples(rows, "id", tokenizer=tokenizer), "id"), "batch")
+    assert found.count() == 1000 and found.select("batch").distinct().count() == 63 and found.where("size(input_ids) % 8 <> 0 or size(input_ids) <> size(labels)").isEmpty()
