@@ -1,14 +1,14 @@
 """Embedding whitening by matrix-free block subspace iteration.
 
 A component c becomes the whole number x = floor(SCALE * c) + SHIFT. The fit list holds each different vector once; it is packed in blocks and kept
-in the checkpoint folder, so vectors are shuffled once. A pass over the blocks computes Z = X'(XQ) on rows centred before they are multiplied, for a block Q
+in the checkpoint folder, so vectors are shuffled once, in as many parts as its size needs, as each pass runs a task on each of them. A pass over the blocks computes Z = X'(XQ) on rows centred before they are multiplied, for a block Q
 of k orthonormal columns; the covariance itself is never formed. The driver keeps a space S of BLOCK * k columns at most with its images Z: Rayleigh-Ritz on S'Z
 gives eigenpairs, ZW - SWL their residuals; the best Ritz vectors stay, and the residuals, made orthonormal to them by QR, are the next Q. As the space holds
 earlier blocks, a spectrum that is flat or far from zero needs few more passes than another. The iteration ends when the residuals of all k components
 are below TOLERANCE times the largest eigenvalue, or when S spans everything, which vectors of more than BLOCK * k components never come to. A last pass whitens the fit list and
 measures how far its covariance is from the identity.
 
-Parts of sums are added one after the other by row of Z, so neither the driver nor a task holds more than one row for each task. Sums of x are whole numbers.
+Parts of sums are added by entry of Z, as a grouping of Spark's own, so nothing holds the parts of all tasks. Sums of x are whole numbers.
 
 Edge cases: vectors that are null, empty, or hold a null or non-finite entry take no part, nor do those of another length than the commonest (of equally
 common ones the longest); null and repeated ids are treated row by row; a direction in which the fit list does not vary has no unit variance and is no component, so a
@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import added, checkpoint, packed
+from ._common import checkpoint
 from ._shards import _matrix
 from .yinyang import finite
 
 K, SCALE, SHIFT, BLOCK = 16, 64, 1_000_000, 3
 TOLERANCE, PASSES, SEED, NO_VARIANCE = 1e-13, 1000, 13, 1e-12
+#: Entries of vectors that a part of the fit list is worth.
+ENTRIES = 1 << 20
 
 
 def whole(column: pa.Array, scale: int) -> np.ndarray:
@@ -67,8 +69,8 @@ def _smallest(x: np.ndarray) -> np.ndarray:
     return x.astype("<i1" if most < 2**7 else "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<i8")
 
 
-def fit_list(rows: DataFrame, d: int, scale: int) -> DataFrame:
-    """(kind, x): blocks of the different vectors of rows (v)."""
+def fit_list(rows: DataFrame, d: int, scale: int, parts: int | None = None) -> DataFrame:
+    """(kind, x): blocks of the different vectors of rows (v), in `parts` partitions at most."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +83,8 @@ def fit_list(rows: DataFrame, d: int, scale: int) -> DataFrame:
                 x = _smallest(_rows(batch.column(0), d))
                 yield pa.RecordBatch.from_arrays([pa.array([x.dtype.str]), pa.array([x.tobytes()], pa.binary())], ["kind", "x"])
 
-    return checkpoint(rows.select("v").mapInArrow(code, "code binary").distinct().mapInArrow(block, "kind string, x binary"))
+    codes = rows.select("v").mapInArrow(code, "code binary").distinct()
+    return checkpoint((codes.coalesce(parts) if parts else codes).mapInArrow(block, "kind string, x binary"))
 
 
 def _each(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[np.ndarray]:
@@ -106,7 +109,7 @@ def sums(blocks: DataFrame, d: int) -> tuple[int, list[int]]:
 
 
 def _summed(blocks: DataFrame, d: int, make) -> np.ndarray:
-    """The sum over all blocks of make(x), a matrix, added up row by row."""
+    """The sum over all blocks of make(x), a matrix, added up by entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -114,10 +117,13 @@ def _summed(blocks: DataFrame, d: int, make) -> np.ndarray:
             part = make(x)
             total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(map(packed, total)), pa.binary())], ["key", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
 
-    rows = added(blocks.mapInArrow(run, "key int, data binary"))
-    return np.array([rows[i] for i in range(len(rows))])
+    entries = blocks.mapInArrow(run, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "x"))
+    found = entries.groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+    total = np.empty((found["i"].max() + 1, found["j"].max() + 1))
+    total[found["i"], found["j"]] = found["x"]
+    return total
 
 
 def components(blocks: DataFrame, d: int, n: int, mean: np.ndarray, k: int = K, block: int = BLOCK, tolerance: float = TOLERANCE, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -167,7 +173,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
         return spark.createDataFrame([], schema)
     d = common["d"]
     rows = rows.where(F.size("v") == d)
-    blocks = fit_list(rows, d, scale)
+    blocks = fit_list(rows, d, scale, -(-common["count"] * d // ENTRIES))
     n, s = sums(blocks, d)  # of x - shift, which changes neither n*x - S nor what is centred
     mean = np.array([a / n for a in s])
     values, axes, trace, _ = components(blocks, d, n, mean, k, block)

@@ -140,6 +140,28 @@ def test_whitening_iterates_at_the_size_of_the_query(spark, monkeypatch):
     assert np.abs(values / e[::-1][:16] - 1).max() < 1e-12 and abs(trace / e.sum() - 1) < 1e-12 and np.abs(np.abs((axes * u[:, ::-1][:, :16]).sum(axis=0)) - 1).max() < 1e-9
 
 
+def test_passes_of_whitening_run_as_many_tasks_as_the_fit_list_is_worth(spark, monkeypatch):
+    df, rows = vectors(spark, 300, 64)
+    parts, made = [], whitening._summed
+
+    def summed(blocks, d, make):
+        parts.append(blocks.rdd.getNumPartitions())
+        return made(blocks, d, make)
+
+    monkeypatch.setattr(whitening, "_summed", summed)
+    monkeypatch.setattr(whitening, "ENTRIES", 64 * 100)
+    wide = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wide}
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        found = whitening.whiten(df).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == 16 * len(rows) and max(parts) <= -(-len(rows) // 100)
+
+
 def test_whitening_of_little(spark):
     df, rows = vectors(spark, 4)
     assert whitening.whiten(df.where("vec_id < 0")).collect() == []
