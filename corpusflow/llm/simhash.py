@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import added, batches_of, checkpoint, looked_up, packed
+from ._common import added, batches_of, checkpoint, gathered, looked_up, packed
 from ._components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -366,10 +366,11 @@ def _near_copies(docs: DataFrame, id_col: str, text: str, similarity: float, rad
 
     def alike(pairs: DataFrame) -> DataFrame:
         """(a, b) as digests, those of pairs (a, b) of nodes that are so similar."""
+        pairs = gathered(pairs)
         sides = [bits.select(F.col("node").alias(s), F.struct("digest", "size", "bits").alias(f"x{s}")) for s in "ab"]
         both = looked_up(looked_up(pairs, sides[0], "a"), sides[1], "b", pairs)
         both = both.where(F.col("xa.size") + F.col("xb.size") - least_apart("xa.bits", "xb.bits") >= 2 * _least_shared(similarity, F.col("xa.size"), F.col("xb.size")))
-        sifted = checkpoint(both.select(F.col("xa.digest").alias("a"), F.col("xb.digest").alias("b")))
+        sifted = gathered(checkpoint(both.select(F.col("xa.digest").alias("a"), F.col("xb.digest").alias("b"))))
         wanted = sifted.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(reps, "digest").select("digest", "rep.*")
         whole = checkpoint(rows.join(wanted, ["doc_id", "hash"]).dropDuplicates(["digest"]).select("digest", shingle_set("text").alias("set")))
         one = looked_up(sifted, whole.select(F.col("digest").alias("a"), F.col("set").alias("set_a")), "a")
@@ -378,10 +379,12 @@ def _near_copies(docs: DataFrame, id_col: str, text: str, similarity: float, rad
         return checkpoint(two.where(same >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - same) - 1e-9).select("a", "b"))
 
     linked = alike(checkpoint(stars(buckets, similarity)))
-    if radius is not None:  # each word sequence with the smallest one that its fingerprint reaches
-        prints = reps.select(F.col("digest").alias("doc_id"), "fp")
-        reached = looked_up(prints, checkpoint(classes(prints, radius)), "fp").where("doc_id <> component_id")
-        linked = checkpoint(linked.union(reached.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))))
+    if radius is not None:  # each word sequence with the smallest one of its fingerprint, and those with each other that links() joins
+        smallest = checkpoint(reps.groupBy("fp").agg(F.min("digest").alias("smallest")))
+        same = looked_up(reps.select("digest", "fp"), smallest, "fp").where("digest <> smallest").select(F.col("digest").alias("a"), F.col("smallest").alias("b"))
+        a, b = (smallest.select(F.col("fp").alias(s), F.col("smallest").alias(f"x{s}")) for s in "ab")
+        near = gathered(checkpoint(links(smallest.select("fp"), radius))).join(a, "a").join(b, "b").select(F.col("xa").alias("a"), F.col("xb").alias("b"))
+        linked = checkpoint(linked.union(same).union(near))
     found = components(linked)
     rest = alike(checkpoint(others(buckets, found.select(F.xxhash64("node").alias("node"), F.xxhash64("component").alias("component")), similarity)))
     if not rest.isEmpty():  # classes that stars have made, joined further

@@ -636,6 +636,18 @@ def test_near_copies_in_a_hot_group(spark):
     assert got == {0, *range(2000, 2020)}
 
 
+def test_few_links_are_joined_in_one_partition(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(i, 100) for i in range(50, 90)], "a long, b long").repartition(8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = components(links)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found.rdd.getNumPartitions() == 1
+    assert dict(found.collect()) == {i: 0 for i in range(21)} | {i: 50 for i in [*range(50, 90), 100]}
+
+
 def test_one_of_each_also_links_by_fingerprints(spark):
     rng = np.random.default_rng(16)
     texts = []
