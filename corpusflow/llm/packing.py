@@ -35,6 +35,8 @@ from ._common import checkpoint, kept_in_worker
 CAPACITY, UNIT, END = 4096, 64, 2
 _CHUNK, _YOUNG, _FLUSH = 1 << 20, 250_000, 8 << 20
 
+#: Marks that may end a plain word.
+_MARKS = ".,;:!?"
 #: How the tokenizer's vocabulary writes bytes, those of visible characters as themselves, the others from 256 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
@@ -57,13 +59,14 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
+        self.simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([" + _MARKS + "]?)").fullmatch
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
     def _model(self, word: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_HIDDEN))]
+        # ASCII letters and marks stand for themselves in the vocabulary
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_HIDDEN))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _resolve(self, words: set[str]) -> None:
@@ -73,11 +76,16 @@ class Encoder:
         for word in words:
             known = old.get(word)
             if known is None:
-                m = self.simple(word)
-                if m is None:
+                if word.isascii():  # as `simple`, for less
+                    letters, mark = (word, "") if word.isalpha() else (word[:-1], word[-1])
+                    fits = letters.isalpha() and mark in _MARKS
+                else:
+                    m = self.simple(word)
+                    fits = m is not None
+                    letters, mark = m.groups() if fits else (word, "")
+                if not fits:
                     rest.append(word)
                     continue
-                letters, mark = m.groups()
                 if mark not in marks:
                     marks[mark] = self._model(mark)
                 known = self._model(letters.lower()) + marks[mark]

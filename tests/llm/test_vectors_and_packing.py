@@ -183,6 +183,22 @@ def packed_rows(spark, ids=False, texts=TEXTS):
     return rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string, length int, rank string").repartition(3), queries.definition(), ids=ids)
 
 
+def test_words_of_ascii_reach_the_model_as_they_are(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    class Untouched(dict):
+        def __getitem__(self, key):
+            raise AssertionError(chr(key))
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        encoder = packing.Encoder(f.read())
+    monkeypatch.setattr(packing, "_HIDDEN", Untouched())
+    for text in ("Plain words, and a MARK! or? two;: of them.", "a, , a,, .a x1 don't A B-c [d] e?! f\x0b g\x1f", "it's we'll , ,, . !a a!"):
+        got = np.frombuffer(b"".join(encoder.encode(text)), "<u4").tolist()
+        assert got == Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_equals_the_library(spark):
     rows, df = packed_rows(spark, ids=True)
     found = df.collect()
