@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from ..functions.text import or_empty, strip
 from .numbering import number
 
 IGNORED, MOST_TOKENS, LEAST_TOKENS, MULTIPLE, BATCH = -100, 2048, 4, 8, 16
-#: Texts that a tokenizer gets at a time: their numbers take far more room than the texts, and a worker's batch may be 10,000 rows.
-TOKENISED = 64
+#: Texts, and bytes of them, that a tokenizer gets at a time: their numbers take far more room than the texts, and a worker's batch may be 10,000 rows.
+TOKENISED, TOKENISED_BYTES = 64, 1 << 19
 #: Fields that every sample must have.
 REQUIRED = ("sample_id", "source_id", "mission_name", "organization", "aspect", "difficulty", "chain_id", "messages")
 
@@ -48,17 +49,29 @@ def word_tokens(texts: pd.Series) -> list[list[int]]:
     return [[zlib.crc32(w.encode()) % 50_000 for w in t.split(" ")] if t else [] for t in texts]
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, shown) in order, TOKENISED at most and with TOKENISED_BYTES of texts at most; a row that has more is a part of its own."""
+    low = held = 0
+    for i, sizes in enumerate(zip(*(pc.binary_length(batch.column(c)).to_pylist() for c in (1, 2)))):
+        size = sum(n or 0 for n in sizes)
+        if i > low and (i - low == TOKENISED or held + size > TOKENISED_BYTES):
+            yield batch.slice(low, i - low)
+            low, held = i, 0
+        held += size
+    if low < batch.num_rows:
+        yield batch.slice(low)
+
+
 def tokenised(rows: DataFrame, tokenizer: Callable[[pd.Series], list[list[int]]] = word_tokens, most: int = MOST_TOKENS) -> DataFrame:
     """(id, input_ids, prefix) of rows (id, text, shown): the tokens of text, and how many shown has, `most` at most. One pass, so a task has one
-    Python worker, which holds the tokens of TOKENISED texts at a time."""
+    Python worker, which holds the tokens of few texts at a time."""
     key = rows.columns[0]
+    tokens = lambda part, i: tokenizer(pd.Series(part.column(i).to_pylist(), dtype=object))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, TOKENISED):
-                part = batch.slice(low, TOKENISED)
-                text, shown = (tokenizer(pd.Series(part.column(i).to_pylist(), dtype=object)) for i in (1, 2))
-                columns = [part.column(0), pa.array([x[:most] for x in text], pa.list_(pa.int32())), pa.array([min(len(x), most) for x in shown], pa.int32())]
+            for part in _parts(batch):
+                columns = [part.column(0), pa.array([x[:most] for x in tokens(part, 1)], pa.list_(pa.int32())), pa.array([min(len(x), most) for x in tokens(part, 2)], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, [key, "input_ids", "prefix"])
 
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, input_ids array<int>, prefix int")

@@ -182,3 +182,16 @@ def test_padding_tokenises_few_texts_at_a_time(spark):
     rows = spark.range(0, 1000, 1, 1).select("id", F.array(*[F.struct(F.lit(r).alias("role"), F.repeat(F.lit("word "), (F.col("id") % 9 + 3).cast("int")).alias("content")) for r in ("user", "assistant")]).alias("messages"))
     found = prepare.padded(prepare.batched(prepare.examples(rows, "id", tokenizer=tokenizer), "id"), "batch")
     assert found.count() == 1000 and found.select("batch").distinct().count() == 63 and found.where("size(input_ids) % 8 <> 0 or size(input_ids) <> size(labels)").isEmpty()
+
+
+def test_a_tokenizer_gets_few_long_texts_at_a_time(spark):
+    def tokenizer(texts):
+        assert len(texts) == 1 or sum(len(t or "") for t in texts) <= 1 << 19
+        return prepare.word_tokens(texts)
+
+    content = lambda role: F.when(F.col("id") % 50 == 7, F.repeat(F.lit(f"{role} "), 200_000)).otherwise(F.repeat(F.concat(F.lit(f"{role} "), F.col("id").cast("string"), F.lit(" ")), (F.col("id") % 5 * 1000 + 1).cast("int")))
+    rows = spark.range(0, 300, 1, 1).select("id", F.array(*[F.struct(F.lit(r).alias("role"), content(r).alias("content")) for r in ("assistant", "user")]).alias("messages"))
+    found = prepare.tokenised(rows.select("id", prepare.rendered(F.col("messages")).alias("text"), F.when(F.col("id") % 3 > 0, F.lit("a b c")).alias("shown")), tokenizer).collect()
+    assert [r["id"] for r in found] == list(range(300)) and all(r["prefix"] == (3 if r["id"] % 3 else 0) for r in found)
+    size = lambda i: 400_006 if i % 50 == 7 else 4 * (i % 5 * 1000 + 1) + 6
+    assert all(abs(len(r["input_ids"]) - min(size(r["id"]), 2048)) <= 4 for r in found) and {len(r["input_ids"]) for r in found} >= {2048}
