@@ -12,17 +12,19 @@ task and length give the rank among all. Only the histogram reaches the driver,
 rank says which use of which pattern it fills, so pieces are never gathered.
 
 Edge cases: a null or empty text is its end id alone; rows without an id and repeated rows are packed each; no documents, no pieces; of the last sequence, if
-nothing fills it, the rest is padding. Texts of any length are encoded a megabyte at a time.
+nothing fills it, the rest is padding. Texts are encoded a megabyte at a time, short ones together and long ones in parts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +35,52 @@ from pyspark.sql import functions as F
 from ._common import checkpoint, kept_in_worker
 
 CAPACITY, UNIT, END = 4096, 64, 2
-_CHUNK, _YOUNG, _FLUSH = 1 << 20, 250_000, 8 << 20
+_CHUNK, _KEYS, _HELD, _FLUSH = 1 << 20, 500_000, 16 << 20, 8 << 20
 
-#: Marks that may end a plain word.
-_MARKS = ".,;:!?"
+#: Words of visible ASCII and letters of Latin-1, which the normaliser only puts in lower case; and the tokenizer's pattern on these, with blanks between words.
+_PLAIN = r"[ -~À-ÖØ-öø-ÿ]*"
+_PART = r"[a-zß-öø-ÿ]+| |[0-9]|'(?:[stmd]|re|ve|ll)|[!-/:-@\[-`{-~]+"
 #: How the tokenizer's vocabulary writes bytes, those of visible characters as themselves, the others from 256 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
+class Numbered:
+    """Ids of keys, which are numbered as they are met; `first` has none. They lie in one array by number."""
+
+    def __init__(self, first: str):
+        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
+        self.ids, self.starts, self.held = np.empty(0, "<u4"), np.zeros(2, np.int64), self.numbers[first]
+
+    def full(self) -> bool:
+        return len(self.numbers) > _KEYS or self.held > _HELD
+
+    def of(self, keys: Iterable[str], found: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Numbers of keys. `found` gives the ids of new ones and how many each has."""
+        at = np.fromiter(map(self.numbers.__getitem__, keys), np.int64)
+        more = len(self.numbers) + 1 - len(self.starts)
+        if more:
+            new = list(islice(reversed(self.numbers), more))[::-1]
+            ids, sizes = found(new)
+            self.ids = np.concatenate([self.ids, ids])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.held += sum(map(len, new))
+        return at
+
+    def joined(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbers one after the other, and where those of each end."""
+        first = self.starts[at]
+        sizes = self.starts[at + 1] - first
+        ends = np.cumsum(sizes)
+        return self.ids[np.arange(sizes.sum()) + np.repeat(first - ends + sizes, sizes)], ends
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, word by word; one per worker.
 
-    A blank, tab or line break ends a word whatever stands beside it, so a word's ids are the same in every text. Two generations of words are kept: what was
-    not met since the last two changes is forgotten. A word of plain letters and perhaps one mark goes to the tokenizer's model
-    as the normaliser would leave it; any other goes through the whole tokenizer.
+    A blank, tab or line break ends a word whatever stands beside it, so a word's ids are the same in every text. A plain word is cut into parts as the normaliser and
+    the tokenizer's pattern do; the new parts of many texts go to the tokenizer's model in one call, as an id that ends a part stands nowhere else. Any other word goes
+    through the whole tokenizer. Words and parts are kept, and all are forgotten beyond _KEYS of them or _HELD characters.
     """
 
     def __init__(self, definition: str):
@@ -58,55 +91,82 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([" + _MARKS + "]?)").fullmatch
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
-
-    def _model(self, word: str) -> bytes:
-        # ASCII letters and marks stand for themselves in the vocabulary
-        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_HIDDEN))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _resolve(self, words: set[str]) -> None:
-        if len(self.young) + len(words) > _YOUNG:
-            self.old, self.young = self.young, {"": b""}
-        young, old, marks, rest = self.young, self.old, self.marks, []
-        for word in words:
-            known = old.get(word)
-            if known is None:
-                if word.isascii():  # as `simple`, for less
-                    letters, mark = (word, "") if word.isalpha() else (word[:-1], word[-1])
-                    fits = letters.isalpha() and mark in _MARKS
-                else:
-                    m = self.simple(word)
-                    fits = m is not None
-                    letters, mark = m.groups() if fits else (word, "")
-                if not fits:
-                    rest.append(word)
-                    continue
-                if mark not in marks:
-                    marks[mark] = self._model(mark)
-                known = self._model(letters.lower()) + marks[mark]
-            young[word] = known
-        for word, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            young[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        bare = json.loads(definition) | {"truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        self.model = Tokenizer.from_str(json.dumps(bare))
+        vocabulary, suffix = bare["model"]["vocab"], bare["model"]["end_of_word_suffix"]
+        self.final = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.final[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.plain, self.cut = re.compile(_PLAIN).fullmatch, re.compile(_PART).findall
+        self.words, self.parts = Numbered(""), Numbered(" ")
+
+    def _of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = " ".join(parts)
+        if not text.isascii():  # ASCII letters and marks stand for themselves in the vocabulary
+            alphabet = np.array([b if b == 32 or b in _VISIBLE else _HIDDEN[b] for b in range(256)], "<u4")
+            text = alphabet[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        sizes = np.diff(np.flatnonzero(self.final[ids]), prepend=-1)
+        if len(sizes) != len(parts) or sizes.sum() != len(ids):
+            raise ValueError("the vocabulary does not end each part of a word with one id")
+        return ids, sizes
+
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text, rest = " ".join(words), []
+        if not self.plain(text):
+            rest = [i for i, word in enumerate(words) if not self.plain(word)]
+            others = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+            apart = set(rest)
+            text = " ".join("" if i in apart else word for i, word in enumerate(words))
+        at = self.parts.of(self.cut(text.lower()), self._of_parts)
+        ids, ends = self.parts.joined(at)
+        sizes = np.diff(ends[at == 0], prepend=0, append=len(ids))
+        if rest:
+            more = np.fromiter(map(len, others), np.int64, len(rest))
+            before = (np.cumsum(sizes) - sizes)[rest]
+            ids = np.insert(ids, np.repeat(before, more), np.fromiter(chain.from_iterable(others), "<u4"))
+            sizes[rest] = more
+        return ids, sizes
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        if self.words.full():
+            self.words = Numbered("")
+        if self.parts.full():
+            self.parts = Numbered(" ")
+        counts = []
+
+        def split(text: str) -> list[str]:
+            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            counts.append(len(words))
+            return words
+
+        ids, ends = self.words.joined(self.words.of(chain.from_iterable(map(split, texts)), self._of_words))
+        bounds = ends[np.cumsum(counts) - 1].tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *bounds], bounds)]
 
     def encode(self, text: str) -> Iterator[bytes]:
         start, end = 0, len(text)
         while start < end:
             stop = text.find(" ", start + _CHUNK) if end - start > _CHUNK else -1
             stop = end if stop < 0 else stop
-            words = text[start:stop].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            new = set(words).difference(self.young)
-            if new:
-                if len(self.young) + len(new) > _YOUNG:  # the generations change: all words of this part are wanted
-                    new = set(words)
-                self._resolve(new)
-            yield b"".join(map(self.young.__getitem__, words))
+            yield self.together([text[start:stop]])[0]
             start = stop
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[Iterable[bytes]]:
+        """Parts of the ids of each text, in order. Short texts are encoded together."""
+        group, size = [], 0
+        for text in texts:
+            if group and size + len(text) > _CHUNK:
+                yield from ([x] for x in self.together(group))
+                group, size = [], 0
+            if len(text) > _CHUNK:
+                yield self.encode(text)
+            else:
+                group.append(text)
+                size += len(text)
+        if group:
+            yield from ([x] for x in self.together(group))
+
 
 def cuts(n: int, capacity: int = CAPACITY, unit: int = UNIT) -> list[int]:
     """Lengths of what n ids beyond whole sequences are cut into."""
@@ -138,9 +198,9 @@ def pieces(docs: DataFrame, definition: str, id_col: str = "doc_id", text: str =
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), flat))
                 return pa.RecordBatch.from_arrays(columns, names)
 
-            for i, value in enumerate(batch.column(1)):
+            for i, parts in enumerate(encoder.encode_all(value.as_py() or "" for value in batch.column(1))):
                 buffer, done, lengths, sums, kept = b"", 0, [], [], []
-                for part in encoder.encode(value.as_py() or ""):
+                for part in parts:
                     buffer += part
                     low = 0
                     while len(buffer) - low >= 4 * capacity:

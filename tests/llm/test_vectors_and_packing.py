@@ -199,6 +199,42 @@ def test_words_of_ascii_reach_the_model_as_they_are(monkeypatch):
         assert got == Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids, text
 
 
+def test_new_words_of_many_texts_reach_the_model_in_one_call(monkeypatch):
+    encoder, calls = packing.Encoder(queries.definition()), []
+    texts = [f"Word{i}*** don't (see p.{i}), 'S été-{'ab' * (i % 7)}É&&& a_b@c.d It'll" for i in range(300)]
+    want = [tuple(e.ids) for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    whole = encoder.model
+
+    class Counted:
+        def encode_batch_fast(self, rows, **other):
+            calls.append(len(rows))
+            return whole.encode_batch_fast(rows, **other)
+
+    class Unused:
+        def encode_batch_fast(self, rows, **other):
+            assert not rows, rows
+            return []
+
+    monkeypatch.setattr(encoder, "model", Counted())
+    monkeypatch.setattr(encoder, "tokenizer", Unused())
+    assert [tuple(np.frombuffer(b"".join(parts), "<u4").tolist()) for parts in encoder.encode_all(texts)] == want
+    assert calls == [1]
+
+
+@pytest.mark.parametrize("chunk,keys,held", [(1 << 20, 500_000, 16 << 20), (64, 40, 16 << 20), (300, 500_000, 200)])
+def test_odd_texts_have_the_ids_of_the_library(monkeypatch, chunk, keys, held):
+    for name, value in (("_CHUNK", chunk), ("_KEYS", keys), ("_HELD", held)):
+        monkeypatch.setattr(packing, name, value)
+    encoder = packing.Encoder(queries.definition())
+    rng = np.random.default_rng(5)
+    signs = list("abIS.,!*'<>/w01 \n\t\r\x0b\x1f\x7f\x85\xa0ßÿÀµ×÷²ªéΣςİŸK\u0301\u200bжд中文🙂") + ["'s", "'LL", "</w>", "<|endoftext|>", "the ", " word, ", "  "]
+    texts = ["", " ", "".join(map(chr, range(33, 384))), " ".join(map(chr, range(33, 384)))]
+    texts += ["".join(rng.choice(signs, n)) for n in rng.integers(0, 120, 300)] + ["".join(rng.choice(signs[:12], n)) for n in rng.integers(0, 120, 100)]
+    want = [tuple(encoder.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [tuple(np.frombuffer(b"".join(parts), "<u4").tolist()) for parts in encoder.encode_all(texts)] == want
+    assert max(len(encoder.words.numbers), len(encoder.parts.numbers)) <= keys + chunk
+
+
 def test_packing_equals_the_library(spark):
     rows, df = packed_rows(spark, ids=True)
     found = df.collect()
