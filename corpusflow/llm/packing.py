@@ -12,12 +12,11 @@ task and length give the rank among all. Only the histogram reaches the driver,
 rank says which use of which pattern it fills, so pieces are never gathered.
 
 Edge cases: a null or empty text is its end id alone; rows without an id and repeated rows are packed each; no documents, no pieces; of the last sequence, if
-nothing fills it, the rest is padding. Texts are encoded a megabyte at a time, short ones together and long ones in parts.
+nothing fills it, the rest is padding. Texts are encoded four million characters at a time, short ones together and long ones in parts.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import struct
@@ -28,6 +27,7 @@ from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,29 +35,39 @@ from pyspark.sql import functions as F
 from ._common import checkpoint, kept_in_worker
 
 CAPACITY, UNIT, END = 4096, 64, 2
-_CHUNK, _KEYS, _HELD, _FLUSH = 1 << 20, 500_000, 16 << 20, 8 << 20
+_CHUNK, _KEYS, _HELD, _FLUSH = 4 << 20, 500_000, 16 << 20, 8 << 20
 
-#: Words of visible ASCII and letters of Latin-1, which the normaliser only puts in lower case; and the tokenizer's pattern on these, with blanks between words.
-_PLAIN = r"[ -~À-ÖØ-öø-ÿ]*"
-_PART = r"[a-zß-öø-ÿ]+| |[0-9]|'(?:[stmd]|re|ve|ll)|[!-/:-@\[-`{-~]+"
+#: Kinds of bytes in plain words, those of visible ASCII and letters of Latin-1, which the normaliser only puts in lower case: 1 letters, 2 digits, 3 marks, 0 of no plain word.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[33:127], _KINDS[48:58], _KINDS[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 3, 2, 1
+_ENDING = re.compile(rb"'(?:[stmd]|re|ve|ll)").match
 #: How the tokenizer's vocabulary writes bytes, those of visible characters as themselves, the others from 256 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
+def gathered(ids: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the keys `at`, one after the other, and where those of each begin and the last end; those of key k are ids[starts[k] : starts[k + 1]]."""
+    first = starts[at]
+    sizes = starts[at + 1] - first
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    return ids[np.arange(bounds[-1], dtype=np.int32) + np.repeat((first - bounds[:-1]).astype(np.int32), sizes)], bounds
+
+
 class Numbered:
-    """Ids of keys, which are numbered as they are met; `first` has none. They lie in one array by number."""
+    """Ids of keys, which are numbered as they are met and lie in one array by number."""
 
-    def __init__(self, first: str):
+    def __init__(self):
         self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
-        self.ids, self.starts, self.held = np.empty(0, "<u4"), np.zeros(2, np.int64), self.numbers[first]
+        self.ids, self.starts, self.held = np.empty(0, "<u4"), np.zeros(1, np.int64), 0
 
     def full(self) -> bool:
         return len(self.numbers) > _KEYS or self.held > _HELD
 
-    def of(self, keys: Iterable[str], found: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Numbers of keys. `found` gives the ids of new ones and how many each has."""
-        at = np.fromiter(map(self.numbers.__getitem__, keys), np.int64)
+    def of(self, keys: pa.Array, found: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """As gathered(). `found` gives the ids of new keys and how many each has."""
+        coded = keys.dictionary_encode()
+        at = np.fromiter(map(self.numbers.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
         more = len(self.numbers) + 1 - len(self.starts)
         if more:
             new = list(islice(reversed(self.numbers), more))[::-1]
@@ -65,39 +75,57 @@ class Numbered:
             self.ids = np.concatenate([self.ids, ids])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
             self.held += sum(map(len, new))
-        return at
-
-    def joined(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of numbers one after the other, and where those of each end."""
-        first = self.starts[at]
-        sizes = self.starts[at + 1] - first
-        ends = np.cumsum(sizes)
-        return self.ids[np.arange(sizes.sum()) + np.repeat(first - ends + sizes, sizes)], ends
+        return gathered(self.ids, self.starts, at[coded.indices.to_numpy()])
+
+
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings and where those of each begin and the last end; of an array that is no slice."""
+    at, data = words.buffers()[1:]
+    offsets = np.frombuffer(at, np.int32)[: len(words) + 1]
+    return np.frombuffer(data or b"", np.uint8)[: offsets[-1]], offsets
+
+
+def parts_of(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Plain words in lower case, cut as the tokenizer's pattern does, into runs of letters, single digits, runs of marks and endings as 's; and where the parts of each begin."""
+    data, offsets = _bytes(words)
+    kinds = _KINDS[data]
+    begins = np.ones(len(data), dtype=bool)
+    begins[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == 2)
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    marked = np.flatnonzero((data == 39) & begins)
+    for p, end in zip(marked.tolist(), offsets[np.searchsorted(offsets, marked, "right")].tolist()):
+        m = _ENDING(data[p : min(p + 3, end)].tobytes())
+        if m:
+            begins[p + 1 : p + m.end()] = False
+            begins[p + m.end() : p + m.end() + 1] = True
+    at = np.append(np.flatnonzero(begins), len(data)).astype(np.int32)
+    parts = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data))
+    return parts, np.concatenate([[0], np.cumsum(begins)])[offsets]
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, word by word; one per worker.
 
-    A blank, tab or line break ends a word whatever stands beside it, so a word's ids are the same in every text. A plain word is cut into parts as the normaliser and
-    the tokenizer's pattern do; the new parts of many texts go to the tokenizer's model in one call, as an id that ends a part stands nowhere else. Any other word goes
-    through the whole tokenizer. Words and parts are kept, and all are forgotten beyond _KEYS of them or _HELD characters.
+    A blank, tab or line break ends a word whatever stands beside it, so a word's ids are the same in every text. Of some megabytes of texts each different word is looked at
+    once. A plain word is cut into parts as the normaliser and the tokenizer's pattern do; new parts go to the tokenizer's model in one call, as an id that ends a part
+    stands nowhere else. Any other word goes through the whole tokenizer. Parts and other words are kept, and all forgotten beyond _KEYS of them or _HELD characters.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
-        bare = json.loads(definition) | {"truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
-        self.model = Tokenizer.from_str(json.dumps(bare))
-        vocabulary, suffix = bare["model"]["vocab"], bare["model"]["end_of_word_suffix"]
+        self.model = Tokenizer(self.tokenizer.model)  # one model for both
+        self.model.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.final = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.final[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.plain, self.cut = re.compile(_PLAIN).fullmatch, re.compile(_PART).findall
-        self.words, self.parts = Numbered(""), Numbered(" ")
+        self.final[[i for token, i in vocabulary.items() if token.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
+        self.parts, self.others = Numbered(), Numbered()
 
     def _of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         text = " ".join(parts)
@@ -110,39 +138,41 @@ class Encoder:
             raise ValueError("the vocabulary does not end each part of a word with one id")
         return ids, sizes
 
-    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        text, rest = " ".join(words), []
-        if not self.plain(text):
-            rest = [i for i, word in enumerate(words) if not self.plain(word)]
-            others = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
-            apart = set(rest)
-            text = " ".join("" if i in apart else word for i, word in enumerate(words))
-        at = self.parts.of(self.cut(text.lower()), self._of_parts)
-        ids, ends = self.parts.joined(at)
-        sizes = np.diff(ends[at == 0], prepend=0, append=len(ids))
-        if rest:
-            more = np.fromiter(map(len, others), np.int64, len(rest))
-            before = (np.cumsum(sizes) - sizes)[rest]
-            ids = np.insert(ids, np.repeat(before, more), np.fromiter(chain.from_iterable(others), "<u4"))
-            sizes[rest] = more
-        return ids, sizes
+    def _of_others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = _bytes(words)
+        odd = _KINDS[data] == 0
+        odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # the signs of times and division
+        others = np.diff(np.concatenate([[0], np.cumsum(odd)])[offsets]) > 0
+        plain = pc.if_else(pa.array(others), "", words) if others.any() else words
+        parts, begin = parts_of(pc.utf8_lower(plain))
+        ids, bounds = self.parts.of(parts, self._of_parts)
+        starts = bounds[begin]
+        if others.any():
+            more, bounds = self.others.of(words.filter(pa.array(others)), self._of_others)
+            sizes = np.diff(starts)
+            ids = np.insert(ids, np.repeat(starts[:-1][others], np.diff(bounds)), more)
+            sizes[others] = np.diff(bounds)
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, starts
 
     def together(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        if self.words.full():
-            self.words = Numbered("")
         if self.parts.full():
-            self.parts = Numbered(" ")
-        counts = []
-
-        def split(text: str) -> list[str]:
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            counts.append(len(words))
-            return words
-
-        ids, ends = self.words.joined(self.words.of(chain.from_iterable(map(split, texts)), self._of_words))
-        bounds = ends[np.cumsum(counts) - 1].tolist()
-        return [ids[a:b].tobytes() for a, b in zip([0, *bounds], bounds)]
+            self.parts = Numbered()
+        if self.others.full():
+            self.others = Numbered()
+        column = pa.array(texts, pa.string())
+        for space in "\n\t\r":
+            column = pc.replace_substring(column, space, " ")
+        words = pc.split_pattern(column, " ")
+        coded = words.flatten().dictionary_encode()
+        ids, bounds = gathered(*self._of_words(coded.dictionary), coded.indices.to_numpy())
+        bounds = bounds[words.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
     def encode(self, text: str) -> Iterator[bytes]:
         start, end = 0, len(text)

@@ -232,7 +232,7 @@ def test_odd_texts_have_the_ids_of_the_library(monkeypatch, chunk, keys, held):
     texts += ["".join(rng.choice(signs, n)) for n in rng.integers(0, 120, 300)] + ["".join(rng.choice(signs[:12], n)) for n in rng.integers(0, 120, 100)]
     want = [tuple(encoder.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
     assert [tuple(np.frombuffer(b"".join(parts), "<u4").tolist()) for parts in encoder.encode_all(texts)] == want
-    assert max(len(encoder.words.numbers), len(encoder.parts.numbers)) <= keys + chunk
+    assert max(len(encoder.parts.numbers), len(encoder.others.numbers)) <= keys + chunk
 
 
 def test_packing_equals_the_library(spark):
